@@ -1,0 +1,6 @@
+"""Nothing is streamed: all inputs are files that are complete when they are read, and new
+files are taken up by running a job again, when stored replies are not asked for twice.
+
+The row-local operators (``with_chunks``, ``pack_chunks``, ``scan_keywords``,
+``extract_records``, ``flatten_nested``) also take streaming frames as they are.
+"""
