@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,7 +33,12 @@ def escape_action_input(text: Column) -> Column:
         inner = F.replace(inner, F.lit(raw), F.lit(escaped))
     inner = F.regexp_replace(inner, r'(?<!\\)"', r'\\"')
     fixed = F.concat(F.regexp_extract(text, _ACTION, 1), inner, F.regexp_extract(text, _ACTION, 3))
-    return F.when(F.contains(text, F.lit('"action_input"')) & text.rlike(_ACTION), fixed).otherwise(text)
+    return F.when(text.rlike(_ACTION), fixed).otherwise(text)
+
+
+def _where(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` of the texts that contain ``mark``; the others are left alone unread."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
 
 
 def clean_json(text: Column) -> Column:
@@ -41,10 +46,11 @@ def clean_json(text: Column) -> Column:
 
     Strings are left as they are, so an address with ``//`` in it survives.
     """
-    body = let(extract_fenced(text, "json"), escape_action_input)
-    body = F.regexp_replace(body, _COMMENT, "$1")
-    body = F.regexp_replace(body, _literal("True"), "$1true")
-    return strip(F.regexp_replace(body, _literal("False"), "$1false"))
+    body = _where(extract_fenced(text, "json"), '"action_input"', escape_action_input)
+    body = _where(body, "//", lambda t: F.regexp_replace(t, _COMMENT, "$1"))
+    body = _where(body, "True", lambda t: F.regexp_replace(t, _literal("True"), "$1true"))
+    body = _where(body, "False", lambda t: F.regexp_replace(t, _literal("False"), "$1false"))
+    return strip(body)
 
 
 def parse_lenient(text: Column) -> Column:

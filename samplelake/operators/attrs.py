@@ -44,17 +44,14 @@ def pair_series(attr: DataFrame, entity: DataFrame) -> DataFrame:
         )
         .withColumn("__here", F.coalesce("__before", "__leading"))
     )
-    alone = found.filter(F.col("__here").isNull())
-    linked = join_dim(alone, elsewhere, "__named").select(
+    looked_up = found.withColumn("__named", F.when(F.col("__here").isNull(), F.col("__named")))
+    inside = F.col("__here").isNotNull()
+    return join_dim(looked_up, elsewhere, "__named").select(
         "file",
         "sample",
-        F.when(F.col("__named_file").isNotNull(), F.col("__named")).alias("series"),
-        F.col("__named_file").alias("series_file"),
+        F.when(inside, F.col("__here")).when(F.col("__named_file").isNotNull(), F.col("__named")).alias("series"),
+        F.when(inside, F.col("file")).otherwise(F.col("__named_file")).alias("series_file"),
     )
-    inside = found.filter(F.col("__here").isNotNull()).select(
-        "file", "sample", F.col("__here").alias("series"), F.col("file").alias("series_file")
-    )
-    return inside.unionByName(linked)
 
 
 def pick_values(attr: DataFrame, kind: str, wanted: dict[str, str]) -> DataFrame:
@@ -111,11 +108,17 @@ def long_lines(attr: DataFrame, max_tokens: int = 1000, token_count: WordCounter
 
 
 def context_lines(
-    attr: DataFrame, pair: DataFrame, max_tokens: int = 1000, token_count: WordCounter = word_count
+    attr: DataFrame,
+    pair: DataFrame,
+    max_tokens: int = 1000,
+    token_count: WordCounter = word_count,
+    *,
+    own: DataFrame | None = None,
 ) -> DataFrame:
     """``file, sample, context``: a sample's lines and then those of its series' title, design
-    and supplementary files."""
-    own = sample_text(attr, max_tokens, token_count)
+    and supplementary files. ``own`` is the result of ``sample_text``, if it is at hand."""
+    if own is None:
+        own = sample_text(attr, max_tokens, token_count)
     shared = pick_values(attr, "SERIES", {f"__{k}": k for k in SERIES_CONTEXT})
     tail = F.concat_ws(
         "\n", *[F.concat(F.lit(f"!Series_{k} = "), F.col(f"__{k}")) for k in SERIES_CONTEXT]

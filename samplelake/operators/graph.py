@@ -157,6 +157,7 @@ def topo_layers(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         seen, layer = seen + size, layer + 1
         done = spark.read.schema(schema).parquet(path).select(F.col("id").alias("src"))
         pointed = fixed.join(latest.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
+        pointed = materialise(pointed, "pointed")
         waiting = fixed.join(pointed, "dst", "left_semi").join(done, "src", "left_anti")
         frontier = pointed.join(waiting.select("dst"), "dst", "left_anti").select(F.col("dst").alias("id"))
     if layer == 0:

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
+from samplelake.session import materialise
+
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
@@ -23,18 +25,22 @@ def join_dim(
     on: str | Sequence[str],
     how: str = "left",
     *,
-    limit: int = BROADCAST_BYTES,
+    stored: bool = False,
+    limit: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``big`` with ``dim`` on equal keys, no matter how skewed the keys of ``big`` are.
 
-    A dimension measured at no more than ``limit`` bytes is broadcast, so ``big`` is not
-    shuffled. A larger one is repeated once per salt and joined on (keys, salt), which
-    spreads a hot key over ``salts`` tasks. ``how`` must keep the left side's rows whole
-    (inner, left, left_semi, left_anti).
+    The dimension is written to the shared folder (unless it is ``stored`` already), so that
+    measuring and joining it computes it once. If it measures no more than ``limit`` bytes it
+    is broadcast and ``big`` is not shuffled. A larger one is repeated once per salt and
+    joined on (keys, salt), which spreads a hot key over ``salts`` tasks. ``how`` must keep
+    the left side's rows whole (inner, left, left_semi, left_anti).
     """
     on = [on] if isinstance(on, str) else list(on)
-    if measured_bytes(dim) <= limit:
+    if not stored:
+        dim = materialise(dim, "dimension")
+    if measured_bytes(dim) <= (BROADCAST_BYTES if limit is None else limit):
         return big.join(F.broadcast(dim), on, how)
     salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -39,7 +39,7 @@ def _gram_counts(df: DataFrame, key: str) -> DataFrame:
 
 def _vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """``key, vec``: unit vector as an array of (df, gram, w), rarest gram first."""
-    weighed = join_dim(counts, idf, "gram", "inner").select(
+    weighed = join_dim(counts, idf, "gram", "inner", stored=True).select(
         key, F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")).alias("e")
     )
     gathered = weighed.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("raw"))

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from samplelake.session import materialise
+
 BLOCK_ROWS = 1 << 20
 
 
@@ -109,11 +111,11 @@ def make_unique(
     """
     by = list(by)
     group = [*by, name]
-    numbered = ordinal(df.filter(F.col(name).isNotNull()), group, order, "__k", block_rows)
+    named = df.filter(F.col(name).isNotNull())
+    numbered = materialise(ordinal(named, group, order, "__k", block_rows), "numbered")
 
-    repeated = numbered.filter(F.col("__k") == 1).select(*group)
     suffixed = rf"(?s)^(.*)\Q{sep}\E([1-9][0-9]*)$"
-    taken = (
+    taken = materialise(
         numbered.filter((F.col("__k") == 0) & F.col(name).rlike(suffixed))
         .select(
             *by,
@@ -121,39 +123,34 @@ def make_unique(
             F.regexp_extract(name, suffixed, 2).try_cast("bigint").alias("__taken"),
         )
         .filter(F.col("__taken").isNotNull())
-        .join(repeated, group, "left_semi")
+        .join(numbered.filter(F.col("__k") == 1).select(*group), group, "left_semi"),
+        "taken",
     )
+    number = F.col("__k")
+    if taken.take(1):
+        bumps = _bumps(numbered, taken, group, order, block_rows)
+        numbered = numbered.join(bumps, [*group, "__k"], "left")
+        number = number + F.coalesce(F.col("__bump"), F.lit(0))
+    suffix = F.when(F.col("__k") > 0, F.concat(F.lit(sep), number.cast("string"))).otherwise("")
+    fresh = numbered.withColumn(name, F.concat(F.col(name), suffix)).select(*df.columns)
+    return fresh.unionByName(df.filter(F.col(name).isNull()))
+
+
+def _bumps(numbered: DataFrame, taken: DataFrame, group: list[str], order: str, block_rows: int) -> DataFrame:
+    """``group, __k, __bump``: how far the number of a later holder moves up, for the names
+    that have taken numbers."""
     ranked = ordinal(taken, group, "__taken", "__j", block_rows)
     marks = ranked.select(
         *group,
-        F.lit(None).cast("bigint").alias(order),
+        F.lit(None).cast("bigint").alias("__k"),
         (2 * (F.col("__taken") - F.col("__j") - 1) + 1).alias("__at"),
         F.lit(1).cast("bigint").alias("__mark"),
     )
     waiting = (
         numbered.filter(F.col("__k") >= 1)
         .join(taken.select(*group).distinct(), group, "left_semi")
-        .select(
-            *group,
-            F.col(order).cast("bigint").alias(order),
-            (2 * F.col("__k")).alias("__at"),
-            F.lit(0).cast("bigint").alias("__mark"),
-        )
+        .select(*group, "__k", (2 * F.col("__k")).alias("__at"), F.lit(0).cast("bigint").alias("__mark"))
     )
     both = marks.unionByName(waiting).withColumn("__block", F.floor(F.col("__at") / block_rows))
-    bumps = (
-        running(both, group, ["__block"], ["__at"], sums={"__bump": F.col("__mark")})
-        .filter(F.col(order).isNotNull())
-        .select(*by, order, "__bump")
-    )
-    number = F.col("__k") + F.coalesce(F.col("__bump"), F.lit(0))
-    fresh = F.when(F.col("__k") == 0, F.col(name)).otherwise(
-        F.concat(F.col(name), F.lit(sep), number.cast("string"))
-    )
-    named = (
-        numbered.withColumn(order, F.col(order).cast("bigint"))
-        .join(bumps, [*by, order], "left")
-        .withColumn(name, fresh)
-        .select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
-    )
-    return named.unionByName(df.filter(F.col(name).isNull()))
+    counted = running(both, group, ["__block"], ["__at"], sums={"__bump": F.col("__mark")})
+    return counted.filter(F.col("__k").isNotNull()).select(*group, "__k", "__bump")

@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.functions.replies import field
 from samplelake.functions.text import WordCounter, word_count
-from samplelake.operators.attrs import context_lines, copy_fields, long_lines, ref_context, sample_text
+from samplelake.operators.attrs import (
+    check_prefix,
+    context_lines,
+    copy_fields,
+    long_lines,
+    pair_series,
+    ref_context,
+    sample_text,
+)
 from samplelake.operators.infer import Responder, infer, parse_replies, reply_errors
-from samplelake.operators.joins import BROADCAST_BYTES, join_dim, measured_bytes
+from samplelake.operators.joins import join_dim
 from samplelake.operators.link import link_concepts
 from samplelake.operators.ordered import first_n
 from samplelake.operators.prompts import build_prompts
 from samplelake.fields import DEFAULT_FIELDS, Field, Group, split_fields
 from samplelake.session import materialise
+from samplelake.sources.soft import read_soft
 
 
 @dataclass(frozen=True)
@@ -45,13 +54,13 @@ def first_samples(pair: DataFrame, entity: DataFrame, n: int | None) -> DataFram
     return inside.unionByName(placed.filter(F.col("series").isNull())).drop("ord")
 
 
-def _context(attr: DataFrame, pair: DataFrame, group: Group, max_tokens: int, tokens: WordCounter) -> DataFrame:
+def _context(attr: DataFrame, pair: DataFrame, group: Group, texts: DataFrame) -> DataFrame:
     refs = group.refs()
     if not refs:
-        return context_lines(attr, pair, max_tokens, tokens)
-    some = ref_context(attr, pair, refs)
+        return context_lines(attr, pair, own=texts)
+    some = materialise(ref_context(attr, pair, refs), "ref-contexts")
     rest = pair.join(some.select("file", "sample"), ["file", "sample"], "left_anti")
-    return some.unionByName(context_lines(attr, rest, max_tokens, tokens))
+    return some.unionByName(context_lines(attr, rest, own=texts))
 
 
 def _ask(
@@ -59,14 +68,15 @@ def _ask(
     pair: DataFrame,
     group: Group,
     responder: Responder,
+    texts: DataFrame,
     store: str | None,
-    max_tokens: int,
     tokens: WordCounter,
+    model: str,
     options: dict,
 ) -> tuple[DataFrame, DataFrame]:
     """``file, sample`` and the group's fields; and the errors."""
-    context = _context(attr, pair, group, max_tokens, tokens)
-    prompts = materialise(build_prompts(context, group, options.pop("model", "")), "prompts")
+    context = _context(attr, pair, group, texts)
+    prompts = materialise(build_prompts(context, group, model), "prompts")
     replies = infer(prompts, responder, None, store, token_count=tokens, **options)
     parsed = parse_replies(replies)
     values = parsed.select("prompt_key", *[field(F.col("value"), f.name).alias(f.name) for f in group.fields])
@@ -81,13 +91,9 @@ def _linked(rows: DataFrame, fields: Sequence[Field], vocabulary: Vocabulary, k:
     mentions = mentions.filter(F.col("mention").isNotNull()).distinct()
     links = link_concepts(mentions, vocabulary.aliases, vocabulary.concepts, k, threshold)
     labels = materialise(links.select("mention", "label"), "links")
-    fits = measured_bytes(labels) <= BROADCAST_BYTES
     for f in fields:
         side = labels.select(F.col("mention").alias(f.name), F.col("label").alias(f"{f.name}_umls"))
-        if fits:
-            rows = rows.join(F.broadcast(side), f.name, "left")
-        else:
-            rows = join_dim(rows, side, f.name, limit=0)
+        rows = join_dim(rows, side, f.name, stored=True)
     return rows
 
 
@@ -114,17 +120,21 @@ def extract_metadata(
     token_count: WordCounter = word_count,
     k: int = 30,
     threshold: float = 0.5,
+    model: str = "",
     **options,
 ) -> Extraction:
     """A row per (file, sample) of ``pair``, with the columns of ``metadata_columns``.
 
     Without a ``responder`` the model's fields are null; without a ``vocabulary`` a mapped
     field's concept is its own text. A sample whose reply failed keeps its row, with nulls,
-    and has a row in ``errors(stage, file, accession, message)``.
+    and has a row in ``errors(stage, file, accession, message)``. ``model`` is part of the
+    prompt key; ``options`` go to ``infer``.
+
+    ``attr`` is read several times: hand over a stored table, not a plan that parses files.
     """
     copied, groups = split_fields(spec)
-    rows = copy_fields(attr, pair, copied)
-    rows = rows.join(sample_text(attr, max_tokens, token_count), ["file", "sample"], "left")
+    texts = materialise(sample_text(attr, max_tokens, token_count), "texts")
+    rows = copy_fields(attr, pair, copied).join(texts, ["file", "sample"], "left")
     errors = long_lines(attr, max_tokens, token_count).select(*ERROR)
     lonely = pair.filter(F.col("series").isNull())
     errors = errors.unionByName(
@@ -138,15 +148,49 @@ def extract_metadata(
         if responder is None:
             rows = rows.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
         else:
-            answered, failed = _ask(
-                attr, pair, group, responder, store, max_tokens, token_count, dict(options)
-            )
+            answered, failed = _ask(attr, pair, group, responder, texts, store, token_count, model, options)
             rows = rows.join(answered, ["file", "sample"], "left")
             errors = errors.unionByName(failed)
     mapped = [f for g in groups for f in g.fields if f.map_to_umls]
     if vocabulary is not None and responder is not None and mapped:
-        rows = _linked(rows, mapped, vocabulary, k, threshold)
+        rows = _linked(materialise(rows, "answered"), mapped, vocabulary, k, threshold)
     else:
         rows = rows.select("*", *[F.col(f"`{f.name}`").alias(f"{f.name}_umls") for f in mapped])
     named = rows.withColumnRenamed("sample", "gsm")
     return Extraction(named.select(*[F.col(f"`{c}`") for c in metadata_columns(spec)]), errors)
+
+
+def extract_from_files(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    spec: Sequence[Field] = DEFAULT_FIELDS,
+    responder: Responder | None = None,
+    vocabulary: Vocabulary | None = None,
+    *,
+    per_series: int | None = 2,
+    accession: str | None = None,
+    **options,
+) -> Extraction:
+    """Metadata rows of the samples in SOFT files: of each series the first ``per_series`` (a
+    falsy number takes all), or the one sample named by ``accession``.
+
+    Files are parsed once, into stored tables that hold the chosen samples and all series.
+    """
+    soft = read_soft(spark, paths)
+    entity = materialise(soft.entity, "entities")
+    whole = materialise(soft.attr, "attributes")
+    pair = pair_series(whole, entity)
+    bad = spark.createDataFrame([], "stage string, accession string, message string")
+    if accession is not None:
+        pair, bad = check_prefix(pair.filter(F.col("sample") == accession))
+    else:
+        pair = first_samples(pair, entity, per_series)
+    pair = materialise(pair, "pairs")
+    chosen = pair.select("file", F.lit("SAMPLE").alias("kind"), F.col("sample").alias("accession"))
+    attr = whole.filter("kind = 'SERIES'").unionByName(
+        join_dim(whole.filter("kind = 'SAMPLE'"), chosen, ["file", "kind", "accession"], "left_semi").select(*whole.columns)
+    )
+    done = extract_metadata(materialise(attr, "chosen"), pair, spec, responder, vocabulary, **options)
+    unread = soft.errors.select("stage", "file", F.lit(None).cast("string").alias("accession"), "message")
+    rejected = bad.select("stage", F.lit(None).cast("string").alias("file"), "accession", "message")
+    return Extraction(done.rows, done.errors.unionByName(unread).unionByName(rejected))

@@ -402,9 +402,9 @@ def _metadata_sql() -> str:
              CASE WHEN d.lang <> 'de' THEN CASE c.n % 3 WHEN 0 THEN 'blue gizmo' WHEN 1 THEN 'hot bolts' END END AS condition
       FROM counted c JOIN documents d ON c.sample = 'D' || d.doc_id
     )
-    SELECT a.sample AS gsm, a.language, a.words, a.condition, l.label AS condition_umls, NULL AS missing,
-           NULL AS title, d.lang AS type, d.source AS series_id, s.es::VARCHAR AS pubmed_id,
-           CASE WHEN q.quality IS NOT NULL THEN 'Q' || q.quality END AS platform_id, NULL AS relation, o.t AS raw_metadata
+    SELECT a.sample AS gsm, a.language, a.words, a.condition, l.label AS condition_umls, NULL::VARCHAR AS missing,
+           NULL::VARCHAR AS title, d.lang AS type, d.source AS series_id, s.es::VARCHAR AS pubmed_id,
+           CASE WHEN q.quality IS NOT NULL THEN 'Q' || q.quality END AS platform_id, NULL::VARCHAR AS relation, o.t AS raw_metadata
     FROM answers a JOIN documents d ON a.sample = 'D' || d.doc_id JOIN own o ON o.accession = a.sample
     JOIN series s ON s.source = d.source LEFT JOIN labels q ON q.doc_id = d.doc_id
     LEFT JOIN links l ON l.mention = a.condition

@@ -36,8 +36,8 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
         .union(links("customer", _node("nation", "c_nationkey"), _node("customer", "c_custkey")))
         .union(links("supplier", _node("nation", "s_nationkey"), _node("supplier", "s_suppkey")))
         .union(links("orders", _node("customer", "o_custkey"), _node("orders", "o_orderkey")))
-        .union(items.select(_node("orders", "l_orderkey"), _node("part", "l_partkey")).distinct())
-        .union(items.select(_node("supplier", "l_suppkey"), _node("part", "l_partkey")).distinct())
+        .union(items.select(_node("orders", "l_orderkey"), _node("part", "l_partkey")))
+        .union(items.select(_node("supplier", "l_suppkey"), _node("part", "l_partkey")))
     )
     return pairs.withColumn("ord", F.col("dst"))
 
@@ -130,12 +130,12 @@ labels(id, label) AS (
 
 @query(f"WITH {LINEAGE_SQL}, {LABELS_SQL} SELECT l.dst AS id, l.src AS neighbour, n.label FROM links l JOIN labels n ON n.id = l.src")
 def lineage_predecessors(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(lineage(spark, folder), _labels(spark, folder), "predecessors")
+    return neighbours(lineage(spark, folder).distinct(), _labels(spark, folder), "predecessors")
 
 
 @query(f"WITH {LINEAGE_SQL}, {LABELS_SQL} SELECT l.src AS id, l.dst AS neighbour, n.label FROM links l JOIN labels n ON n.id = l.dst")
 def lineage_successors(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(lineage(spark, folder), _labels(spark, folder), "successors")
+    return neighbours(lineage(spark, folder).distinct(), _labels(spark, folder), "successors")
 
 
 # Words of the documents for tasks of the default workflow.

@@ -15,7 +15,7 @@ from samplelake.sinks.tables import CSV_READ, write_table
 @query(
     """
     SELECT o_orderkey, o_custkey AS "head.customer", o_orderpriority AS "head.priority",
-           l.l_partkey AS "items.part", l.l_quantity AS "items.size.quantity", l.l_tax AS "items.size.tax"
+           l.l_partkey::VARCHAR AS "items.part", l.l_quantity AS "items.size.quantity", l.l_tax AS "items.size.tax"
     FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
     """
 )
@@ -23,7 +23,7 @@ def flat_orders(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "lineitem").select(
         "l_orderkey",
         F.struct(
-            F.col("l_partkey").alias("part"),
+            F.col("l_partkey").cast("string").alias("part"),
             F.struct(F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax")).alias("size"),
         ).alias("item"),
     )
@@ -78,11 +78,11 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.options(**CSV_READ).schema(docs.schema).csv(path)
 
 
-@query("SELECT doc_id, text, quality FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, text, quality::VARCHAR AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = docs.join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
     path = new_table_path(spark, "json")
     write_table(rows, path, "json")
     back = spark.read.schema(rows.schema).json(path)
-    return back.withColumn("quality", F.col("quality").cast("double"))
+    return back.withColumn("quality", F.col("quality").cast("string"))

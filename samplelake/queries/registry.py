@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.functions.text import strip
+from samplelake.session import spread
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +44,7 @@ def lines_of(text: str):
 
 def document_attr(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as samples and their sources as series, in the form of an attribute table."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     labels = table(spark, folder, "labels")
     columns = ["kind", "accession", "key", "key_ord", "pos", "value"]
 
@@ -67,7 +68,7 @@ def document_attr(spark: SparkSession, folder: str) -> DataFrame:
     )
     quality = F.concat(F.lit("Q"), F.col("quality").cast("string"))
     marks = fixed(labels, "SAMPLE", doc, "platform_id", 5, quality)
-    series = docs.groupBy("source").agg(
+    series = table(spark, folder, "documents").groupBy("source").agg(
         F.count("*").alias("n"), F.max(F.when(F.col("lang") == "es", F.col("doc_id"))).alias("es")
     )
     design = F.concat(F.col("n").cast("string"), F.lit(" documents"))

@@ -11,7 +11,7 @@ from samplelake.functions.replies import clean_json, extract_fenced, field, has_
 from samplelake.functions.text import let
 from samplelake.operators.infer import infer
 from samplelake.queries.registry import query, table
-from samplelake.session import new_table_path
+from samplelake.session import new_table_path, spread
 
 # Replies of four forms made from the events: fenced with comments and Python literals,
 # unfenced, cut off, and with a wrong type.
@@ -30,7 +30,7 @@ replies AS (
 
 
 def _replies(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+    events = spread(table(spark, folder, "events").select("event_id", "event_type", "props"))
     k = F.get_json_object("props", "$.k").cast("int")
     number = F.col("event_id").cast("string")
     text = (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "samplelake", cores: str | int = "*", **conf) -> SparkSession:
@@ -30,6 +33,17 @@ def build_session(app: str = "samplelake", cores: str | int = "*", **conf) -> Sp
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, for sessions that were not
+    started with it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="samplelake-zip-")) / "samplelake"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", root, "samplelake"))
+        _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.operators.joins import join_dim
-from samplelake.operators.ordered import make_unique, ordinal, running
+from samplelake.operators.ordered import make_unique, running
 from samplelake.session import materialise
 from samplelake.sources.soft import list_files, read_lines
 
@@ -46,7 +46,8 @@ def label_matrix(matrix: Matrix) -> DataFrame:
     """``sample, cell_id, gene_name, value``: entries with both labels."""
     cells = matrix.cells.select("sample", "cell_ix", "cell_id")
     genes = matrix.genes.select("sample", "gene_ix", "gene_name")
-    named = join_dim(join_dim(matrix.entries, cells, ["sample", "cell_ix"]), genes, ["sample", "gene_ix"])
+    by_cell = join_dim(matrix.entries, cells, ["sample", "cell_ix"])
+    named = join_dim(by_cell, genes, ["sample", "gene_ix"])
     return named.select("sample", "cell_id", "gene_name", "value")
 
 
@@ -96,7 +97,7 @@ def read_mtx(spark: SparkSession, files: DataFrame) -> Matrix:
         "file", "sample", "size", (shape[0].try_cast("bigint") == F.col("n_cells")).alias("by_cell")
     )
     sizes = materialise(sizes, "sizes")
-    known = join_dim(lines.select("file", "value"), sizes, "file", "inner")
+    known = join_dim(lines.select("file", "value"), sizes, "file", "inner", stored=True)
     plain = known.filter(F.col("value") != F.col("size")).select("sample", "by_cell", "value")
     same = known.filter(F.col("value") == F.col("size")).groupBy("sample", "by_cell", "value").agg(F.count("*").alias("n"))
     again = same.filter("n > 1").select("sample", "by_cell", "value", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
@@ -119,43 +120,56 @@ def read_mtx(spark: SparkSession, files: DataFrame) -> Matrix:
     )
 
 
+def _cells_of_line(value: Column, sep: Column) -> Column:
+    return F.transform(F.split(value, F.concat(F.lit("\\Q"), sep, F.lit("\\E"))), _unquote)
+
+
 def read_dense_matrix(spark: SparkSession, files: DataFrame) -> Matrix:
     """Dense tables from ``files(sample, path, sep, cell_by_gene, drop)``: a header line, then a
-    name and values per line. ``drop`` names rows or columns that hold no counts. Values are
-    cut to integers; text that is no number goes to ``errors``. Names are made unique.
+    name and values per line. ``drop`` names rows or columns that hold no counts; positions are
+    those of the source, so what is dropped leaves a gap. Values are cut to integers; text
+    that is no number goes to ``errors``. Names are made unique.
+
+    What is known per file (header, drop list) is joined to lines, never to values.
     """
     paths, owner = _resolved(spark, files.withColumnRenamed("path", "__path"), "__path")
-    spec = owner.join(files.select("sample", "sep", "cell_by_gene", "drop"), "sample")
-    placed = running(
-        read_lines(spark, paths).filter("value != ''"), ["file"], ["block"], ["at"], sums={"n": F.lit(1).cast("bigint")}
+    lines = read_lines(spark, paths).filter("value != ''")
+    header = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("__header"))
+    spec = owner.join(files.select("sample", "sep", "cell_by_gene", "drop"), "sample").join(header, "file")
+    spec = spec.select(
+        "*",
+        F.coalesce("drop", F.array().cast("array<string>")).alias("__drop"),
+        _cells_of_line(F.col("__header"), F.col("sep")).alias("names"),
     )
-    owned = join_dim(placed, spec, "file", "inner").select(
-        "sample", "cell_by_gene", "drop", "n", F.transform(F.split("value", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))), _unquote).alias("cols")
+    spec = materialise(spec.drop("drop", "__header"), "dense-spec")
+    numbered = running(lines, ["file"], ["block"], ["at"], sums={"n": F.lit(1).cast("bigint")}).filter("n > 1")
+    owned = join_dim(numbered, spec, "file", "inner", stored=True).select(
+        "sample", "cell_by_gene", "__drop", "names", (F.col("n") - 2).alias("row_ix"),
+        _cells_of_line(F.col("value"), F.col("sep")).alias("parts"),
     )
-    rows = owned.filter("n > 1")
-    # A header may leave out the name of the row-name column: then it is one entry shorter.
-    width = rows.groupBy("sample").agg(F.max(F.size("cols")).alias("width"))
-    header = owned.filter("n = 1").join(width, "sample").select(
-        "sample", "cell_by_gene", "drop",
-        F.posexplode(F.when(F.size("cols") == F.col("width"), F.slice("cols", 2, F.size("cols"))).otherwise(F.col("cols"))).alias("col_ix", "name"),
+    rows = owned.withColumn("name", F.col("parts")[0]).filter(~F.array_contains("__drop", F.col("name")))
+
+    # A header that leaves out the name of the row-name column is one entry shorter.
+    offset = F.when(F.size("names") == F.size("parts"), 1).otherwise(0)
+    values = rows.select(
+        "sample", "cell_by_gene", "row_ix", "__drop", "names", offset.alias("offset"),
+        F.posexplode(F.slice("parts", 2, F.size("parts"))).alias("col_ix", "text"),
+    ).filter(~F.array_contains("__drop", F.get("names", F.col("col_ix") + F.col("offset"))))
+    valued = values.select(
+        "sample", "cell_by_gene", "row_ix", F.col("col_ix").cast("bigint").alias("col_ix"), "text",
+        whole_number(F.col("text")).alias("value"),
     )
-    dropped = F.array_contains(F.coalesce("drop", F.array().cast("array<string>")), F.col("name"))
-    columns = materialise(ordinal(header.filter(~dropped), ["sample"], "col_ix", "col_no"), "columns")
-    named = rows.withColumn("name", F.col("cols")[0]).filter(~dropped).withColumn("row_ix", F.col("n") - 2)
-    names = materialise(ordinal(named.select("sample", "cell_by_gene", "row_ix", "name"), ["sample"], "row_ix", "row_no"), "rows")
-
-    cells_of = named.select("sample", "row_ix", "cell_by_gene", F.posexplode(F.slice("cols", 2, F.size("cols"))).alias("col_ix", "text"))
-    kept = join_dim(cells_of, columns.select("sample", "col_ix", "col_no"), ["sample", "col_ix"], "inner")
-    placed_rows = join_dim(kept, names.select("sample", "row_ix", "row_no"), ["sample", "row_ix"], "inner")
-    valued = placed_rows.withColumn("value", whole_number(F.col("text")))
-    entries = orient(
-        valued.filter("value != 0").select(
-            "sample", "cell_by_gene", F.col("row_no").alias("row_ix"), F.col("col_no").alias("col_ix"), "value"
-        ),
-        F.col("cell_by_gene"),
+    entries = orient(valued.filter("value != 0"), F.col("cell_by_gene"))
+
+    names = materialise(rows.select("sample", "cell_by_gene", "row_ix", "name", (F.size("parts") - 1).alias("width")), "row-names")
+    row_names = names.select("sample", "cell_by_gene", F.col("row_ix").alias("ix"), "name", F.lit(True).alias("is_row"))
+    widths = names.groupBy("sample").agg(F.max("width").alias("width"))
+    col_names = (
+        spec.join(widths, "sample")
+        .select("sample", "cell_by_gene", "__drop", F.posexplode(F.expr("slice(names, -width, width)")).alias("ix", "name"))
+        .filter(~F.array_contains("__drop", F.col("name")))
+        .select("sample", "cell_by_gene", F.col("ix").cast("bigint").alias("ix"), "name", F.lit(False).alias("is_row"))
     )
-    row_names = names.select("sample", "cell_by_gene", F.col("row_no").alias("ix"), "name", F.lit(True).alias("is_row"))
-    col_names = columns.select("sample", "cell_by_gene", F.col("col_no").alias("ix"), "name", F.lit(False).alias("is_row"))
     both = row_names.unionByName(col_names)
     on_cells = F.col("is_row") == F.col("cell_by_gene")
     cells = both.filter(on_cells).select("sample", F.col("ix").alias("cell_ix"), F.col("name").alias("cell_id"))

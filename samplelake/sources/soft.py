@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.operators.ordered import BLOCK_ROWS, running
+from samplelake.session import materialise
 
 ERRORS = "file string, stage string, message string"
 _STEP = 1 << 20
@@ -116,6 +117,7 @@ def read_soft(spark: SparkSession, paths: str | Sequence[str], *, check: bool =
         lasts={"entity": entity},
     )
     owned = placed.filter(F.col("entity").isNotNull() & (F.col("entity.accession") != ""))
+    owned = materialise(owned.select("file", "value", "line_no", "ord", "entity"), "soft-lines")
     entities = owned.filter(F.col("value").startswith("^")).select("file", "entity.*", F.col("ord") - 1)
     entities = entities.toDF("file", "kind", "accession", "ord")
 

@@ -32,7 +32,7 @@ def peek_files(spark: SparkSession, paths: str | Sequence[str], n: int = 10, wid
     """
     lines = read_lines(spark, paths)
     totals = lines.groupBy("file").agg(F.count("*").alias("total"))
-    head = first_n(lines, "file", ["block", "at"], n).withColumn("value", cut_line(F.col("value"), width))
+    head = first_n(lines.withColumn("value", cut_line(F.col("value"), width)), "file", ["block", "at"], n)
     ordered = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
     peeks = head.groupBy("file").agg(F.transform(ordered, lambda r: r["value"]).alias("lines"))
     files = list_files(spark, paths).select("file")
