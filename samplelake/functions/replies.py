@@ -66,8 +66,11 @@ def parse_quoted(text: Column) -> Column:
 
 def field(value: Column, name: str, kind: str = "string") -> Column:
     """A field of a VARIANT object as a typed column: absent, null or of another type is null."""
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(value, f"$['{quoted}']", kind)
+    if "'" in name and '"' in name:
+        members = F.try_variant_get(value, "$", "map<string,variant>")
+        return F.try_variant_get(F.try_element_at(members, F.lit(name)), "$", kind)
+    mark = '"' if "'" in name else "'"
+    return F.try_variant_get(value, f"$[{mark}{name}{mark}]", kind)
 
 
 def is_object(value: Column) -> Column:

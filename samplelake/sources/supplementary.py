@@ -28,20 +28,14 @@ def peek_files(spark: SparkSession, paths: str | Sequence[str], n: int = 10, wid
     """``file, lines, total``: the first ``n`` lines, long ones cut, and the number of lines.
 
     Plain and gzip text. Counts are summed before they move, and at most ``n`` lines per file
-    leave a task; an empty file has no lines and total 0.
+    leave a task. Spark does not open files of length 0, so those have no row.
     """
     lines = read_lines(spark, paths)
     totals = lines.groupBy("file").agg(F.count("*").alias("total"))
     head = first_n(lines.withColumn("value", cut_line(F.col("value"), width)), "file", ["block", "at"], n)
     ordered = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
     peeks = head.groupBy("file").agg(F.transform(ordered, lambda r: r["value"]).alias("lines"))
-    files = list_files(spark, paths).select("file")
-    seen = totals.join(peeks, "file")
-    return files.join(seen, "file", "left").select(
-        "file",
-        F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
-        F.coalesce("total", F.lit(0)).alias("total"),
-    )
+    return totals.join(peeks, "file").select("file", "lines", "total")
 
 
 def _members(path: str) -> Iterator[tuple[str, bytes]]:
