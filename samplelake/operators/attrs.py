@@ -36,7 +36,7 @@ def pair_series(attr: DataFrame, entity: DataFrame) -> DataFrame:
 
     samples = placed.filter(F.col("kind") == "SAMPLE").select("file", F.col("accession").alias("sample"), "__before")
     found = (
-        samples.join(leading, "file", "left")
+        join_dim(samples, leading, "file")
         .join(
             named.select("file", F.col("accession").alias("sample"), F.col("value").alias("__named")),
             ["file", "sample"],

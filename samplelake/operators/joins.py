@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from samplelake.session import materialise
 
 BROADCAST_BYTES = 32 << 20
-SALTS = 32
+SALTS = 64
+HOT_SHARE = 1000
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -19,6 +20,14 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """The keys that hold more than one ``share``-th of the rows; so there are fewer than
+    ``share`` of them. Counted with map-side sums."""
+    counts = materialise(df.groupBy(*on).agg(F.count("*").alias("__n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("t")).first()["t"]
+    return counts.filter(F.col("__n") * share > total).select(*on)
+
+
 def join_dim(
     big: DataFrame,
     dim: DataFrame,
@@ -28,20 +37,31 @@ def join_dim(
     stored: bool = False,
     limit: int | None = None,
     salts: int = SALTS,
+    share: int = HOT_SHARE,
 ) -> DataFrame:
     """Join ``big`` with ``dim`` on equal keys, no matter how skewed the keys of ``big`` are.
 
     The dimension is written to the shared folder (unless it is ``stored`` already), so that
     measuring and joining it computes it once. If it measures no more than ``limit`` bytes it
-    is broadcast and ``big`` is not shuffled. A larger one is repeated once per salt and
-    joined on (keys, salt), which spreads a hot key over ``salts`` tasks. ``how`` must keep
-    the left side's rows whole (inner, left, left_semi, left_anti).
+    is broadcast and ``big`` is not shuffled. Beyond that both sides are shuffled, with the hot
+    keys of ``big`` (``hot_keys``) and its null keys spread over ``salts`` tasks each; only the
+    dimension's rows for hot keys are repeated. ``how`` must keep the left side's rows whole
+    (inner, left, left_semi, left_anti).
     """
     on = [on] if isinstance(on, str) else list(on)
     if not stored:
         dim = materialise(dim, "dimension")
     if measured_bytes(dim) <= (BROADCAST_BYTES if limit is None else limit):
         return big.join(F.broadcast(dim), on, how)
-    salted = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    # Fewer than ``share`` keys, so this side is small by its definition.
+    hot = F.broadcast(hot_keys(big, on, share).withColumn("__hot", F.lit(True)))
+    some_null = F.lit(False)
+    for c in on:
+        some_null = some_null | F.col(c).isNull()
+    spot = F.pmod(F.spark_partition_id(), F.lit(salts))
+    salted = big.join(hot, on, "left").withColumn(
+        "__salt", F.when(F.col("__hot") | some_null, spot).otherwise(F.lit(0))
+    )
+    repeated = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = dim.join(hot, on, "left").withColumn("__salt", F.explode(repeated)).drop("__hot")
+    return salted.drop("__hot").join(copies, [*on, "__salt"], how).drop("__salt")

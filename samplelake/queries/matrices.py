@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplelake.operators.ordered import ordinal
 from samplelake.operators.prompts import file_context
-from samplelake.queries.registry import document_attr, query, table, ATTR_SQL
+from samplelake.queries.registry import ATTR_SQL, document_attr, query, table
 from samplelake.session import new_table_path
 from samplelake.sinks.tables import write_matrix
 from samplelake.sources.matrices import Matrix, label_matrix, orient, read_dense_matrix, read_mtx, whole_number
@@ -47,12 +48,11 @@ def vector_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 DENSE_SQL = """
 WITH vals AS (
-  SELECT label::VARCHAR AS sample, vec_id, u.pos, CAST(trunc(u.v::DOUBLE * 100) AS BIGINT) AS value
+  SELECT (vec_id // 200)::VARCHAR AS sample, vec_id, u.pos, CAST(trunc(u.v::DOUBLE * 100) AS BIGINT) AS value
   FROM embeddings, UNNEST(embedding) WITH ORDINALITY AS u(v, pos)
 ),
 names AS (
-  SELECT label::VARCHAR AS sample, vec_id,
-         row_number() OVER (PARTITION BY label, vec_id % 7 ORDER BY vec_id) - 1 AS k FROM embeddings
+  SELECT vec_id, row_number() OVER (PARTITION BY vec_id // 200, vec_id % 7 ORDER BY vec_id) - 1 AS k FROM embeddings
 )
 """
 
@@ -66,15 +66,15 @@ names AS (
     """
 )
 def dense_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """A dense table per label, its row names repeated, one column dropped by name."""
-    vectors = table(spark, folder, "embeddings")
+    """A dense table per run of 200 vectors, row names repeated, one column dropped by name."""
+    vectors = table(spark, folder, "embeddings").withColumn("part", F.floor(F.col("vec_id") / 200).cast("string"))
     numbers = F.transform("embedding", lambda v: (v.cast("double") * 100).cast("string"))
     header = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(F.lit('"g'), i.cast("string"), F.lit('"'))), ",")
     rows = vectors.select(
-        F.col("label").cast("string").alias("part"), F.col("vec_id").alias("at"),
+        "part", F.col("vec_id").alias("at"),
         F.concat_ws(",", F.concat(F.lit("c"), (F.col("vec_id") % 7).cast("string")), F.array_join(numbers, ",")).alias("value"),
     )
-    heads = vectors.select(F.col("label").cast("string").alias("part")).distinct().select(
+    heads = vectors.select("part").distinct().select(
         "part", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit("cell,"), header).alias("value")
     )
     files = _parts(spark, _write_lines(rows.unionByName(heads), "dense", "at"), "path")
@@ -84,29 +84,29 @@ def dense_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 MTX_SQL = """
 WITH owned AS (
-  SELECT s.s_nationkey AS nation, l.l_partkey AS part, l.l_suppkey AS supp, CAST(sum(l.l_quantity) AS BIGINT) AS q
-  FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey GROUP BY ALL
+  SELECT l_suppkey // 50 AS run, l_partkey AS part, l_suppkey AS supp, CAST(sum(l_quantity) AS BIGINT) AS q
+  FROM lineitem GROUP BY ALL
 ),
-cells AS (SELECT DISTINCT nation, supp FROM owned),
-cell_ix AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY supp) - 1 AS ix FROM cells),
-genes AS (SELECT DISTINCT o.nation, o.part, p.p_name FROM owned o JOIN part p ON p.p_partkey = o.part),
+cells AS (SELECT DISTINCT run, supp FROM owned),
+cell_ix AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY supp) - 1 AS ix FROM cells),
+genes AS (SELECT DISTINCT o.run, o.part, p.p_name FROM owned o JOIN part p ON p.p_partkey = o.part),
 gene_ix AS (
-  SELECT *, row_number() OVER (PARTITION BY nation ORDER BY part) - 1 AS ix,
-         row_number() OVER (PARTITION BY nation, p_name ORDER BY part) - 1 AS k FROM genes
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY part) - 1 AS ix,
+         row_number() OVER (PARTITION BY run, p_name ORDER BY part) - 1 AS k FROM genes
 )
 """
 
 
 def _supplier_matrices(spark: SparkSession, folder: str) -> Matrix:
-    """A gene-by-cell coordinate file per nation: suppliers as cells, parts as genes."""
-    items = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
-    owners = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("part"))
-    owned = items.join(owners, "l_suppkey").groupBy("part", "l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    """A gene-by-cell coordinate file per run of 50 suppliers: suppliers as cells, parts as genes."""
+    items = table(spark, folder, "lineitem").select(
+        F.floor(F.col("l_suppkey") / 50).cast("string").alias("part"), "l_partkey", "l_suppkey", "l_quantity"
+    )
+    owned = items.groupBy("part", "l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
 
-    # Positions: the labels of each nation in key order.
+    # Positions: the labels of each run in key order.
     def placed(key: str, name: str) -> DataFrame:
-        rank = F.array_sort(F.collect_set(key))
-        return owned.groupBy("part").agg(rank.alias("keys")).select("part", F.posexplode("keys").alias(name, key))
+        return ordinal(owned.select("part", key).distinct(), ["part"], key, name)
 
     cells, genes = placed("l_suppkey", "c"), placed("l_partkey", "g")
     named = genes.join(table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
@@ -132,9 +132,9 @@ def _supplier_matrices(spark: SparkSession, folder: str) -> Matrix:
 @query(
     MTX_SQL
     + """
-    SELECT o.nation::VARCHAR AS sample, 'S' || o.supp AS cell_id,
+    SELECT o.run::VARCHAR AS sample, 'S' || o.supp AS cell_id,
            g.p_name || CASE WHEN g.k > 0 THEN '-' || g.k ELSE '' END AS gene_name, o.q AS value
-    FROM owned o JOIN gene_ix g ON g.nation = o.nation AND g.part = o.part WHERE o.q <> 0
+    FROM owned o JOIN gene_ix g ON g.run = o.run AND g.part = o.part WHERE o.q <> 0
     """
 )
 def sparse_matrices(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,9 +144,9 @@ def sparse_matrices(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     MTX_SQL
     + """
-    SELECT o.nation::VARCHAR AS sample, c.ix AS cell_ix, g.ix AS gene_ix, o.q AS value
-    FROM owned o JOIN gene_ix g ON g.nation = o.nation AND g.part = o.part
-    JOIN cell_ix c ON c.nation = o.nation AND c.supp = o.supp WHERE o.q <> 0
+    SELECT o.run::VARCHAR AS sample, c.ix AS cell_ix, g.ix AS gene_ix, o.q AS value
+    FROM owned o JOIN gene_ix g ON g.run = o.run AND g.part = o.part
+    JOIN cell_ix c ON c.run = o.run AND c.supp = o.supp WHERE o.q <> 0
     """
 )
 def stored_matrices(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,24 +14,28 @@ from samplelake.sinks.tables import CSV_READ, write_table
 
 @query(
     """
-    SELECT o_orderkey, o_custkey AS "head.customer", o_orderpriority AS "head.priority",
-           l.l_partkey::VARCHAR AS "items.part", l.l_quantity AS "items.size.quantity", l.l_tax AS "items.size.tax"
-    FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+    SELECT l.l_orderkey AS "head.order", l.l_suppkey AS "head.supplier.key", l.l_linenumber, f.flag AS flags,
+           m.name AS "measures.name", m.value AS "measures.value"
+    FROM lineitem l
+    CROSS JOIN LATERAL (SELECT l.l_returnflag AS flag UNION ALL SELECT l.l_linestatus) f
+    LEFT JOIN LATERAL (
+      SELECT 'quantity' AS name, l.l_quantity AS value WHERE l.l_discount > 0
+      UNION ALL SELECT 'tax', l.l_tax WHERE l.l_discount > 0
+    ) m ON true
     """
 )
-def flat_orders(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "lineitem").select(
-        "l_orderkey",
-        F.struct(
-            F.col("l_partkey").cast("string").alias("part"),
-            F.struct(F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax")).alias("size"),
-        ).alias("item"),
+def flat_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Two arrays per row, one of structs and sometimes empty, and a struct in a struct."""
+    lines = table(spark, folder, "lineitem")
+    measures = F.array(
+        F.struct(F.lit("quantity").alias("name"), F.col("l_quantity").alias("value")),
+        F.struct(F.lit("tax").alias("name"), F.col("l_tax").alias("value")),
     )
-    lists = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("item").alias("items"))
-    nested = table(spark, folder, "orders").join(lists, "o_orderkey", "left").select(
-        "o_orderkey",
-        F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority")).alias("head"),
-        "items",
+    nested = lines.select(
+        F.struct(F.col("l_orderkey").alias("order"), F.struct(F.col("l_suppkey").alias("key")).alias("supplier")).alias("head"),
+        "l_linenumber",
+        F.when(F.col("l_discount") > 0, measures).alias("measures"),
+        F.array("l_returnflag", "l_linestatus").alias("flags"),
     )
     return flatten_nested(nested)
 

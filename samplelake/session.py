@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -59,6 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="samplelake-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
     return _LOCAL_FOLDERS[app]
 
 
@@ -70,8 +73,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/samplelake/{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/samplelake/{label}-{uuid.uuid4().hex}"
+    return f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once its results are written."""
+    system, path = fs.FileSystem.from_uri(_tables(spark))
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

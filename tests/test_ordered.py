@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from samplelake.operators.joins import join_dim, measured_bytes
+from samplelake.operators.joins import hot_keys, join_dim, measured_bytes
 from samplelake.operators.ordered import first_n, make_unique, ordinal, running
 
 
@@ -70,11 +70,14 @@ def test_first_n(spark, rows):
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, rows, how):
-    big = spark.range(1000).select("id", F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 50).alias("k"))
+    key = F.when(F.col("id") < 400, 1).when(F.col("id") < 600, None).otherwise(F.col("id") % 50)
+    big = spark.range(1000).select("id", key.alias("k"))
+    assert rows(hot_keys(big, ["k"], 4)) == [(1,)]
     dim = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "k bigint, name string")
     plain = rows(big.join(dim, "k", how))
     assert rows(join_dim(big, dim, "k", how)) == plain
     assert rows(join_dim(big, dim, "k", how, limit=0, salts=5)) == plain
+    assert rows(join_dim(big, dim, "k", how, limit=0, salts=3, share=2)) == plain
 
 
 def test_size_is_measured(spark):
