@@ -63,7 +63,7 @@ def _as_literals(tasks: DataFrame):
     return F.array(
         *[
             F.struct(F.lit(r["id"]).cast("bigint").alias("id"), F.lit(r["name"]).alias("name"))
-            for r in tasks.select("id", "name").orderBy("id").toLocalIterator()
+            for r in tasks.select("id", "name").orderBy("id").collect()
         ]
     )
 

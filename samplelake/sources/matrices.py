@@ -54,7 +54,7 @@ def label_matrix(matrix: Matrix) -> DataFrame:
 def _resolved(spark: SparkSession, files: DataFrame, column: str) -> tuple[list[str], DataFrame]:
     """The paths in ``files(sample, <column>)``, and ``file, sample`` with the paths as Spark
     reports them. A list of file names, as any read needs on the driver."""
-    paths = sorted({r[0] for r in files.select(column).toLocalIterator()})
+    paths = sorted({r[0] for r in files.select(column).collect()})
     tail = F.regexp_replace(F.col(column), r"^file:/*", "/")
     known = list_files(spark, paths).select("file", F.regexp_replace("file", r"^file:/*", "/").alias("__p"))
     return paths, known.join(files.select("sample", tail.alias("__p")), "__p").select("file", "sample")
@@ -83,6 +83,7 @@ def read_mtx(spark: SparkSession, files: DataFrame) -> Matrix:
     paths: coordinate text and two label files. A matrix whose first dimension is not the
     number of barcodes is turned. Names are made unique.
     """
+    files = materialise(files.select("sample", "matrix", "barcodes", "genes"), "matrix-files")
     cells = materialise(_numbered_lines(spark, files, "barcodes", "cell_ix", "cell_id"), "cells")
     genes = materialise(_numbered_lines(spark, files, "genes", "gene_ix", "gene_name"), "genes")
     paths, owner = _resolved(spark, files, "matrix")
@@ -132,7 +133,8 @@ def read_dense_matrix(spark: SparkSession, files: DataFrame) -> Matrix:
 
     What is known per file (header, drop list) is joined to lines, never to values.
     """
-    paths, owner = _resolved(spark, files.withColumnRenamed("path", "__path"), "__path")
+    files = materialise(files.select("sample", F.col("path").alias("__path"), "sep", "cell_by_gene", "drop"), "matrix-files")
+    paths, owner = _resolved(spark, files, "__path")
     lines = read_lines(spark, paths).filter("value != ''")
     header = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("__header"))
     spec = owner.join(files.select("sample", "sep", "cell_by_gene", "drop"), "sample").join(header, "file")

@@ -94,10 +94,10 @@ def read_soft(spark: SparkSession, paths: str | Sequence[str], *, check: bool =
     paths = [paths] if isinstance(paths, str) else list(paths)
     errors = spark.createDataFrame([], ERRORS)
     if check:
-        errors = broken_files(spark, paths).cache()
-        bad = {r["file"] for r in errors.toLocalIterator()}
+        errors = materialise(broken_files(spark, paths), "read-errors")
+        bad = {r["file"] for r in errors.collect()}
         if bad:
-            listed = list_files(spark, paths).select("file").toLocalIterator()
+            listed = list_files(spark, paths).select("file").collect()
             paths = [r["file"] for r in listed if r["file"] not in bad]
             if not paths:
                 attr = "file string, kind string, accession string, key string, key_ord bigint, pos bigint, value string"
