@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from samplelake.operators.joins import join_dim
 from samplelake.operators.ordered import running
 from samplelake.session import materialise, new_table_path
 
@@ -32,7 +33,7 @@ def neighbours(links: DataFrame, labels: DataFrame, direction: str = "predecesso
     here, there = ("dst", "src") if direction == "predecessors" else ("src", "dst")
     pairs = links.select(F.col(here).alias("id"), F.col(there).alias("neighbour"))
     named = labels.select(F.col("id").alias("neighbour"), "label")
-    return pairs.join(named, "neighbour").select("id", "neighbour", "label")
+    return join_dim(pairs, named, "neighbour", "inner").select("id", "neighbour", "label")
 
 
 def neighbour_labels(links: DataFrame, labels: DataFrame, direction: str = "predecessors") -> DataFrame:
@@ -145,7 +146,8 @@ def topo_layers(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     path = new_table_path(spark, "layers")
     schema = f"id {id_type}, layer int"
 
-    frontier = ids.join(fixed.select(F.col("dst").alias("id")), "id", "left_anti")
+    # A hub is one row once its ids are made distinct, which sums before it shuffles.
+    frontier = ids.join(fixed.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     layer, seen = 0, 0
     while seen < total:
         here = f"{path}/layer={layer}"
@@ -159,7 +161,7 @@ def topo_layers(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         pointed = fixed.join(latest.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
         pointed = materialise(pointed, "pointed")
         waiting = fixed.join(pointed, "dst", "left_semi").join(done, "src", "left_anti")
-        frontier = pointed.join(waiting.select("dst"), "dst", "left_anti").select(F.col("dst").alias("id"))
+        frontier = pointed.join(waiting.select("dst").distinct(), "dst", "left_anti").select(F.col("dst").alias("id"))
     if layer == 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)

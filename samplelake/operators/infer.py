@@ -7,6 +7,7 @@ or prompts may be sent twice.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ Responder = Callable[[str], str]
 Validator = Callable[[dict], bool]
 
 REPLY = "prompt_key string, attempt int, text string, error string, n_tokens_in bigint, n_tokens_out bigint"
+COLUMNS = [f.split()[0] for f in REPLY.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -60,21 +62,20 @@ class _Caller:
 
 
 def read_replies(spark: SparkSession, store: str) -> DataFrame | None:
-    """The reply table, or None if there is none yet."""
+    """The reply table, or None if there is none yet. Each run has a folder of its own in it,
+    whose files appear when the run's job is committed."""
     try:
-        return spark.read.schema(REPLY).parquet(store)
+        return spark.read.schema(REPLY).parquet(store).select(*COLUMNS)
     except AnalysisException:
         return None
 
 
 def cached(replies: DataFrame) -> DataFrame:
     """One good reply per prompt; of several the smallest text, so that runs agree."""
-    good = replies.filter(F.col("error").isNull())
-    fields = [f.split()[0] for f in REPLY.split(", ")]
-    rest = [F.col(f) for f in fields if f != "prompt_key"]
-    return good.groupBy("prompt_key").agg(F.min(F.struct(F.col("text").alias("t"), *rest)).alias("r")).select(
-        "prompt_key", *[F.col(f"r.{f}").alias(f) for f in fields if f != "prompt_key"]
-    )
+    rest = [c for c in COLUMNS if c != "prompt_key"]
+    smallest = F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("r")
+    good = replies.filter(F.col("error").isNull()).groupBy("prompt_key").agg(smallest)
+    return good.select("prompt_key", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def infer(
@@ -102,7 +103,7 @@ def infer(
     hits = None
     missing = wanted
     if before is not None:
-        hits = cached(before).join(prompts.select("prompt_key").distinct(), "prompt_key", "left_semi")
+        hits = cached(before.join(prompts.select("prompt_key").distinct(), "prompt_key", "left_semi"))
         known = before.filter(F.col("error").isNull()).select("prompt_key")
         missing = wanted.join(known, "prompt_key", "left_anti")
     if parallel:
@@ -123,11 +124,9 @@ def infer(
         token_count(F.col("prompt")).cast("bigint").alias("n_tokens_in"),
         F.coalesce(token_count(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens_out"),
     )
-    path = new_table_path(spark, "replies")
+    path = f"{store}/run={uuid.uuid4().hex}" if store else new_table_path(spark, "replies")
     asked.write.parquet(path)
     fresh = spark.read.schema(REPLY).parquet(path)
-    if store:
-        fresh.write.mode("append").parquet(store)
     return fresh if hits is None else hits.unionByName(fresh)
 
 

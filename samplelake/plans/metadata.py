@@ -75,8 +75,8 @@ def _ask(
     options: dict,
 ) -> tuple[DataFrame, DataFrame]:
     """``file, sample`` and the group's fields; and the errors."""
-    context = _context(attr, pair, group, texts)
-    prompts = materialise(build_prompts(context, group, model), "prompts")
+    context = materialise(_context(attr, pair, group, texts), "contexts")
+    prompts = build_prompts(context, group, model)
     replies = infer(prompts, responder, None, store, token_count=tokens, **options)
     parsed = parse_replies(replies)
     values = parsed.select("prompt_key", *[field(F.col("value"), f.name).alias(f.name) for f in group.fields])
