@@ -37,6 +37,9 @@ def pack_chunks(
     packed = with_chunks(
         df.select(key, text), text, min_words, sep, joiner=joiner, count_words=count_words, name="__chunks"
     )
-    return packed.select(key, F.posexplode("__chunks").alias("chunk_no", "__c")).select(
+    # An outer explode, since for a plain one the optimizer adds a filter on the array's size,
+    # which would compute the chunks again.
+    rows = packed.select(key, F.posexplode_outer("__chunks").alias("chunk_no", "__c"))
+    return rows.filter("chunk_no IS NOT NULL").select(
         key, "chunk_no", F.col("__c.text").alias("text"), F.col("__c.n_words").alias("n_words")
     )

@@ -102,8 +102,9 @@ def alias_scores(
         F.map_from_entries(F.transform("vec", lambda e: F.struct(e["gram"], e["w"]))).alias("weights"),
         _prefix(F.col("vec"), threshold).alias("alias_pre"),
     )
-    pairs = left.withColumn("gram", F.explode("pre")).join(
-        right.withColumn("gram", F.explode("alias_pre")), "gram"
+    # Outer explodes, since for plain ones the optimizer adds filters that compute the prefixes again.
+    pairs = left.withColumn("gram", F.explode_outer("pre")).join(
+        right.withColumn("gram", F.explode_outer("alias_pre")), "gram"
     )
     # Several shared grams make the same pair: keep it at the first of them only.
     once = F.get(F.array_intersect("pre", "alias_pre"), F.lit(0)) == F.col("gram")

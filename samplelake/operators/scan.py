@@ -86,9 +86,9 @@ def scan_keywords(
 
     lowered = F.transform(chunks, lambda c: F.lower(c["text"]))
     scanned = docs.select(key, let(lowered, fold).alias("__found"))
-    return scanned.select(key, F.explode("__found").alias("__f")).select(
-        key, "__f.task_id", "__f.task_name", "__f.chunk_no", "__f.tool_name"
-    )
+    # outer: see pack_chunks
+    rows = scanned.select(key, F.explode_outer("__found").alias("__f")).filter("__f IS NOT NULL")
+    return rows.select(key, "__f.task_id", "__f.task_name", "__f.chunk_no", "__f.tool_name")
 
 
 def task_prompt(chunk: str, task: ScanTask, tools: Sequence[dict]) -> str:
