@@ -2,7 +2,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from samplelake.operators.chunks import with_chunks
 from samplelake.operators.scan import ScanTask, scan_keywords, scan_tasks, task_prompt, valid_task_reply
