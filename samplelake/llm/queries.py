@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplelake.llm import langid
+from samplelake.llm import binary, langid, packing
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
+from samplelake.session import new_table_path
 
 QUERIES: dict[str, Query] = {}
 
@@ -23,3 +24,15 @@ def query(name: str, sql: str | None = None):
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return langid.identify(docs, langid.learn(docs))
+
+
+@query("op4_binary_records")
+def binary_records(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table_path(spark, "token-records")
+    binary.write_ids(table(spark, folder, "documents"), path)
+    return binary.read_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op6_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
