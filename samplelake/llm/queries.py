@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplelake.llm import binary, langid, packing
+from samplelake.llm import binary, langid, packing, simhash
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
 from samplelake.session import new_table_path
@@ -33,6 +33,11 @@ def binary_records(spark: SparkSession, folder: str) -> DataFrame:
     return binary.read_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op5_simhash")
+def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(table(spark, folder, "documents"), words=3)
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
