@@ -23,14 +23,13 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, Sequence]], schema: str) -> DataFrame:
-    """Row-local Python work on Arrow batches; ``work`` returns the columns of ``schema``."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    """Row-local Python work on Arrow batches; ``work`` returns the columns of ``schema``, in
+    its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = work(batch)
-                yield pa.RecordBatch.from_pydict({name: columns[name] for name in names})
+                yield pa.RecordBatch.from_pydict(work(batch))
 
     return df.mapInArrow(run, schema)
 

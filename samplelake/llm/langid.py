@@ -8,7 +8,7 @@ weights fold into one matrix, and documents are scored in batches by matrix prod
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -192,3 +192,18 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": names, "score": scores}
 
     return map_batches(held, work, SCHEMA)
+
+
+def without_unknown(docs: DataFrame, model: LanguageModel | None, least_score: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with a score of
+    ``least_score`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            names, scores = shared.value.decide(texts) if shared.value else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            known = [name != UNKNOWN and score >= least_score for name, score in zip(names, scores, strict=True)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from samplelake.llm import binary, langid, packing, simhash
+from samplelake.llm import binary, decontam, langid, lines, packing, simhash
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
 from samplelake.session import new_table_path
@@ -41,3 +42,43 @@ def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, u.pos - 1 AS pos, u.line, trim(u.line, E' \t\r\f\v') AS own
+  FROM documents, UNNEST(string_split(text, E'\n')) WITH ORDINALITY AS u(line, pos)
+),
+runs AS (
+  SELECT doc_id, pos, lead(pos, 2) OVER w AS stop, own || E'\n' || lead(own) OVER w || E'\n' || lead(own, 2) OVER w AS run
+  FROM lines WHERE own <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+),
+later AS (
+  SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n FROM runs WHERE run IS NOT NULL
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, stop + 1)) AS pos FROM later WHERE n > 1),
+marked AS (
+  SELECT l.*, g.pos IS NOT NULL AS gone FROM lines l LEFT JOIN gone g USING (doc_id, pos)
+),
+edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM marked
+)
+SELECT doc_id, coalesce(string_agg(line, E'\n' ORDER BY pos) FILTER (NOT gone), '') AS text,
+  (count(*) FILTER (own <> ''))::INT AS n_lines, (count(*) FILTER (own <> '' AND gone))::INT AS n_removed,
+  (count(*) FILTER (starts))::INT AS n_runs
+FROM edges GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0, 0 FROM documents WHERE text IS NULL
+"""
+
+
+@query("op9_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.without_repeats(docs).select(
+        "doc_id", "text", *[F.col(f"__{name}").alias(name) for name in ("n_lines", "n_removed", "n_runs")]
+    )
+
+
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -28,6 +28,7 @@ DISTANCE, PIECES, SEED = 2, 4, 42
 #: Above this many fingerprints under one pair of pieces, the other way is the cheaper one.
 CROWD = 64
 _CHUNK = 1 << 15
+LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -50,13 +51,14 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, bits`` of every row, the bits as a signed integer."""
+    """``doc_id, text_hash, bits`` of every row, the bits as a signed integer."""
 
     def work(batch: pa.RecordBatch) -> dict:
         bits = [fingerprint(text, words) for text in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "bits": pa.array(bits, pa.int64())}
+        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "bits": pa.array(bits, pa.int64())}
 
-    return map_batches(id_and_text(docs), work, "doc_id bigint, bits bigint")
+    own = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(own, work, "doc_id bigint, text_hash bigint, bits bigint")
 
 
 def _signed(mask: int) -> int:
@@ -92,6 +94,20 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     return close.unionByName(tied).distinct()
 
 
+def _components(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and for each distinct one the first document, by id and
+    then a hash of its text, that can be reached from it; null ids come last."""
+    stored = materialise(fingerprints(docs, words), "fingerprints")
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text_hash")
+    nodes = materialise(stored.groupBy("bits").agg(F.min(place).alias("first")), "distinct-fingerprints")
+    roots = materialise(components(links(nodes)), "roots").withColumnRenamed("node", "bits")
+    linked = roots.join(nodes, "bits")
+    first = linked.groupBy("root").agg(F.min("first").alias("least"))
+    moved = linked.join(first, "root").select("bits", "least")
+    every = nodes.join(moved, "bits", "left").select("bits", F.coalesce("least", "first").alias("first"))
+    return stored, every
+
+
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -100,13 +116,21 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     fingerprint 0 and are linked like any others. Repeated rows stay; an empty table gives no
     rows. Copies have one fingerprint, so only distinct fingerprints are compared.
     """
-    stored = materialise(fingerprints(docs, words), "fingerprints")
-    nodes = materialise(stored.groupBy("bits").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = materialise(components(links(nodes)), "roots").withColumnRenamed("node", "bits")
-    linked = roots.join(nodes, "bits")
-    first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(first, "root").select("bits", "component_id")
-    every = nodes.join(moved, "bits", "left").select("bits", F.coalesce("component_id", "first").alias("component_id"))
+    stored, every = _components(docs, words)
     return join_dim(stored, every, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
+        F.nullif(F.col("first.id"), F.lit(LAST)).alias("component_id"),
     )
+
+
+def without_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component;
+    of rows that repeat id and text, one stays."""
+    _, every = _components(docs, words)
+    first = every.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__text_hash")).distinct()
+    keyed = docs.withColumns({
+        "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)),
+        "__text_hash": F.xxhash64(F.col("text").cast("string")),
+    })
+    kept = keyed.join(first, ["__id", "__text_hash"], "left_semi")
+    return kept.dropDuplicates(["__id", "__text_hash"]).select(*docs.columns)
