@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplelake.llm import binary, decontam, langid, lines, packing, simhash
+from samplelake.llm import binary, decontam, langid, lines, packing, phrases, simhash
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
 from samplelake.session import new_table_path
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_phrase_fingerprints")
+def phrase_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.compare_with_edits(table(spark, folder, "documents"))
+
+
 @query("op2_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
