@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplelake.llm import binary, decontam, langid, lines, packing, phrases, simhash
+from samplelake.llm import binary, decontam, langid, lines, packing, phrases, shards, simhash
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
 from samplelake.session import new_table_path
@@ -32,6 +32,11 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+@query("op3_minimax_shards")
+def minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.assign(table(spark, folder, "documents"))
+
+
 @query("op4_binary_records")
 def binary_records(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table_path(spark, "token-records")
