@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from samplelake.session import materialise
 
 BLOCK_ROWS = 50_000
+#: Rows that a Python worker unpacks at once.
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,8 +30,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, Sequen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(work(batch))
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield pa.RecordBatch.from_pydict(work(batch.slice(at, SLICE_ROWS)))
 
     return df.mapInArrow(run, schema)
 

@@ -8,11 +8,16 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: The id put after each document, and how many distinct words a worker keeps before it starts anew.
-END_ID, KEPT_WORDS = 0, 600_000
-#: A text is cut before each space, which this kind of tokenizer does too, but for spaces inside
-#: longer white space.
-_INNER_SPACE = re.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)")
+#: The id put after each document, and about how many distinct words a worker keeps.
+END_ID, KEPT_WORDS = 0, 500_000
+_LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ɏ", " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Words of Latin letters, with one blank before them and apostrophes inside them.
+_WORD = re.compile(f"([{_BLANKS}]?[{_LETTERS}]+(?:'[{_LETTERS}]+)*)")
+#: Letters and numbers of other kinds may go on with such a word, and an apostrophe that starts
+#: a word may belong to what is before it.
+_OTHER, _BEFORE = re.compile(f"[^\\W\\d_{_LETTERS}]"), re.compile(f"(?:[^{_LETTERS}]|\\A)'[{_LETTERS}]")
+#: Texts with such letters are cut before each space, but for spaces inside longer blanks.
+_INNER_SPACE = re.compile(f"[{_BLANKS}] (?:[{_BLANKS}]|\\Z)|\\A (?:[{_BLANKS}]|\\Z)")
 
 
 def default_path() -> str:
@@ -24,9 +29,10 @@ def default_path() -> str:
 class Encoder:
     """Encodes texts by the tokenizers library, each distinct word once.
 
-    A byte-level tokenizer never joins what a single space between other characters divides,
-    so the ids of a text are those of its words in turn. Texts with spaces inside longer white
-    space, or that hold an added token, go to the library whole.
+    The tokenizer first cuts a text into words with at most one space before them, numbers,
+    runs of other signs, and blanks. No token crosses these cuts, so texts are cut at some of
+    them, and what lies between is looked up. Texts that hold an added token, or spaces inside
+    longer blanks beside letters that are not Latin, go to the library whole.
     """
 
     _by_path: dict[str, Encoder] = {}
@@ -38,7 +44,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Words used of late, and those of the time before.
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -56,14 +64,28 @@ class Encoder:
         end = np.array([END_ID], self.type).tobytes()
         if not text:
             return end
-        if _INNER_SPACE.search(text) or any(token in text for token in self.added):
-            return self._ids([text])[0] + end
+        pieces = self._pieces(text)
+        found = list(map(self.words.get, pieces))
+        if None in found:
+            self._learn({p for p, ids in zip(pieces, found, strict=True) if ids is None})
+            found = map(self.words.__getitem__, pieces)
+        ids = b"".join(found)
+        if len(self.words) > KEPT_WORDS // 2:
+            self.before, self.words = self.words, {}
+        return ids + end
+
+    def _learn(self, pieces: set[str]) -> None:
+        known = pieces & self.before.keys()
+        self.words.update((p, self.before[p]) for p in known)
+        new = list(pieces - known)
+        self.words.update(zip(new, self._ids(new), strict=True))
+
+    def _pieces(self, text: str) -> list[str]:
+        if any(token in text for token in self.added):
+            return [text]
+        if not _OTHER.search(text) and not ("'" in text and _BEFORE.search(text)):
+            return list(filter(None, _WORD.split(text)))
+        if _INNER_SPACE.search(text):
+            return [text]
         first, *rest = text.split(" ")
-        words = [first, *map(" ".__add__, rest)]
-        new = list(set(words).difference(self.words))
-        if new:
-            if len(self.words) + len(new) > KEPT_WORDS:
-                self.words.clear()
-                new = list(set(words))
-            self.words.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.words.__getitem__, words)) + end
+        return [first, *map(" ".__add__, rest)]
