@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplelake.llm import binary, decontam, langid, licenses, lines, packing, phrases, shards, simhash
+from samplelake.llm import binary, decontam, langid, licenses, lines, packing, phrases, repeats, shards, simhash
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
 from samplelake.session import new_table_path
@@ -59,6 +59,11 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query("op8_repeated_strings")
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"))
+
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, u.pos - 1 AS pos, u.line, trim(u.line, E' \t\r\f\v') AS own
