@@ -65,16 +65,17 @@ class _Sums:
             both[0] = self.left[total // 2] // 2
         if not both.any():
             return None
-        a = int(large[len(both) - 1 - both[::-1].argmax()])
+        # The largest part, as small ones fill gaps later on.
+        a = int(large[np.flatnonzero(both)[-1]])
         return a, total - a
 
-    def filling(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that make up ``gap``."""
-        if self.left[gap] > 0:
+    def filling(self, gap: int, parts: int) -> tuple[int, ...] | None:
+        """Up to ``parts`` (three at most) available lengths that make up ``gap``."""
+        if parts and self.left[gap] > 0:
             return (gap,)
-        if (two := self.pair(gap)) is not None:
+        if parts > 1 and (two := self.pair(gap)) is not None:
             return two
-        for a in np.flatnonzero(self.left[: gap - 1])[::-1].tolist() if gap > 2 else ():
+        for a in np.flatnonzero(self.left[: gap - 1])[::-1].tolist() if parts > 2 and gap > 2 else ():
             if 3 * a < gap:
                 break
             self.left[a] -= 1
@@ -86,9 +87,19 @@ class _Sums:
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns of lengths and how often each is used; every counted length is placed once."""
+    """Patterns of lengths and how often each is used; every counted length is placed once.
+
+    Where few lengths are left to choose from, fillings of many parts may use up what best fit
+    needs, so the plan is the one with the fewest sequences of those with fillings of up to
+    three, two and one parts and of none.
+    """
     if any(not 0 < length <= capacity for length in counts):
         raise ValueError("a length does not fit a sequence")
+    plans = (_plan(counts, capacity, parts) for parts in (3, 2, 1, 0))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[Pattern]:
     sums, patterns = _Sums(counts, capacity), []
     if sums.left[capacity]:
         patterns.append(((capacity,), int(sums.left[capacity])))
@@ -96,7 +107,7 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[Patt
     for length in range(capacity - 1, 0, -1):
         while sums.left[length] > 0:
             sums.left[length] -= 1
-            found = sums.filling(capacity - length)
+            found = sums.filling(capacity - length, parts)
             sums.left[length] += 1
             if found is None:
                 break
