@@ -1,6 +1,6 @@
 """Documents that hold test items, exactly or with a few edits.
 
-An item may occur with up to a twentieth of its length in edits, ``e``. Cut into ``e + 1``
+An item may occur with up to seven hundredths of its length in edits, ``e``. Cut into ``e + 1``
 pieces, an item with ``e`` edits keeps one piece as it was. All pieces are looked for in one
 pass over a document, and around each hit the least edit distance between the item and any part
 of the text is computed by Myers' bit-parallel algorithm. Texts and items are compared in lower
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from samplelake.llm.common import id_and_text, map_batches
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.07
 #: Items shorter than this are found only in documents that hold nothing else.
 LEAST_CHARS = 20
 #: Characters of the items that are looked for in one pass; more items take more passes.
