@@ -67,19 +67,37 @@ names AS (
 )
 def dense_tables(spark: SparkSession, folder: str) -> DataFrame:
     """A dense table per run of 200 vectors, row names repeated, one column dropped by name."""
+    return label_matrix(read_dense_matrix(spark, _dense_files(spark, folder, "dense", "c", "g", "")))
+
+
+def _dense_files(spark: SparkSession, folder: str, label: str, cell: str, gene: str, quote: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").withColumn("part", F.floor(F.col("vec_id") / 200).cast("string"))
     numbers = F.transform("embedding", lambda v: (v.cast("double") * 100).cast("string"))
-    header = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(F.lit('"g'), i.cast("string"), F.lit('"'))), ",")
+    header = F.array_join(
+        F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(F.lit(f'"{gene}'), i.cast("string"), F.lit('"'))), ","
+    )
+    name = F.concat(F.lit(f"{quote}{cell}"), (F.col("vec_id") % 7).cast("string"), F.lit(quote))
     rows = vectors.select(
-        "part", F.col("vec_id").alias("at"),
-        F.concat_ws(",", F.concat(F.lit("c"), (F.col("vec_id") % 7).cast("string")), F.array_join(numbers, ",")).alias("value"),
+        "part", F.col("vec_id").alias("at"), F.concat_ws(",", name, F.array_join(numbers, ",")).alias("value"),
     )
     heads = vectors.select("part").distinct().select(
         "part", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit("cell,"), header).alias("value")
     )
-    files = _parts(spark, _write_lines(rows.unionByName(heads), "dense", "at"), "path")
-    spec = files.select("*", F.lit(",").alias("sep"), F.lit(True).alias("cell_by_gene"), F.array(F.lit("g3")).alias("drop"))
-    return label_matrix(read_dense_matrix(spark, spec))
+    files = _parts(spark, _write_lines(rows.unionByName(heads), label, "at"), "path")
+    return files.select("*", F.lit(",").alias("sep"), F.lit(True).alias("cell_by_gene"), F.array(F.lit(f"{gene}3")).alias("drop"))
+
+
+@query(
+    DENSE_SQL
+    + """
+    SELECT v.sample, 'c,' || v.vec_id % 7 || CASE WHEN n.k > 0 THEN '-' || n.k ELSE '' END AS cell_id,
+           'g,' || v.pos AS gene_name, v.value
+    FROM vals v JOIN names n USING (vec_id) WHERE v.value <> 0 AND v.pos <> 3
+    """
+)
+def quoted_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that hold the separator, in files whose path holds a space and a percent sign."""
+    return label_matrix(read_dense_matrix(spark, _dense_files(spark, folder, "100% dense", "c,", "g,", '"')))
 
 
 MTX_SQL = """
@@ -98,9 +116,15 @@ gene_ix AS (
 
 
 def _supplier_matrices(spark: SparkSession, folder: str) -> Matrix:
-    """A gene-by-cell coordinate file per run of 50 suppliers: suppliers as cells, parts as genes."""
+    return read_mtx(spark, _supplier_files(spark, folder, 50))
+
+
+def _supplier_files(spark: SparkSession, folder: str, run: int, faults: bool = False) -> DataFrame:
+    """A gene-by-cell coordinate file per run of suppliers: suppliers as cells, parts as genes.
+    With ``faults``, of every four runs the second has two lines that are no entries, the third
+    an empty label file and the fourth a label too many."""
     items = table(spark, folder, "lineitem").select(
-        F.floor(F.col("l_suppkey") / 50).cast("string").alias("part"), "l_partkey", "l_suppkey", "l_quantity"
+        F.floor(F.col("l_suppkey") / run).cast("string").alias("part"), "l_partkey", "l_suppkey", "l_quantity"
     )
     owned = items.groupBy("part", "l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
 
@@ -121,12 +145,19 @@ def _supplier_matrices(spark: SparkSession, folder: str) -> Matrix:
         "part", F.lit(1).alias("at"), F.concat_ws(" ", (F.col("g") + 1).cast("string"), (F.col("c") + 1).cast("string"), F.col("n").cast("string")).alias("value")
     )
     comment = sizes.select("part", F.lit(0).alias("at"), F.lit("%%MatrixMarket matrix coordinate integer general").alias("value"))
-    files = (
+    if faults:
+        kind = F.col("part").cast("int") % 4
+        runs = sizes.select("part", "at")
+        broken = runs.filter(kind == 1).select("part", F.lit(3).alias("at"), F.explode(F.array(F.lit("x 1 1"), F.lit("7"))).alias("value"))
+        body = body.union(broken)
+        blank = runs.filter(kind == 2).select("part", F.lit(0).cast("bigint").alias("at"), F.lit("").alias("value"))
+        extra = runs.filter(kind == 3).select("part", F.lit(1 << 40).cast("bigint").alias("at"), F.lit("none").alias("value"))
+        barcodes = barcodes.filter(kind != 2).union(blank).union(extra)
+    return (
         _parts(spark, _write_lines(body.union(sizes).union(comment), "mtx", "at"), "matrix")
         .join(_parts(spark, _write_lines(barcodes, "barcodes", "at"), "barcodes"), "sample")
         .join(_parts(spark, _write_lines(symbols, "genes", "at"), "genes"), "sample")
     )
-    return read_mtx(spark, files)
 
 
 @query(
@@ -141,20 +172,48 @@ def sparse_matrices(spark: SparkSession, folder: str) -> DataFrame:
     return label_matrix(_supplier_matrices(spark, folder))
 
 
+FAULT_SQL = MTX_SQL.replace("l_suppkey // 50", "l_suppkey // 3")
+
+
+@query(
+    FAULT_SQL
+    + """,
+    sizes AS (
+      SELECT run, count(DISTINCT part) AS g, count(DISTINCT supp) AS c, count(*) AS n, sum(q) AS q FROM owned GROUP BY run
+    )
+    SELECT run::VARCHAR AS sample, 'entries' AS message, q::BIGINT AS value FROM sizes WHERE run % 4 < 2 AND q <> 0
+    UNION ALL SELECT run::VARCHAR, 'not an entry: ' || unnest(['x 1 1', '7']), NULL FROM sizes WHERE run % 4 = 1
+    UNION ALL
+    SELECT run::VARCHAR, 'the labels do not fit: size line ' || g || ' ' || c || ' ' || n || ', ' ||
+           CASE run % 4 WHEN 2 THEN 0 ELSE c + 1 END || ' barcodes, ' || g || ' genes', NULL
+    FROM sizes WHERE run % 4 > 1
+    """
+)
+def faulty_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of the entries that could be read, and what is said of the rest."""
+    matrix = read_mtx(spark, _supplier_files(spark, folder, 3, faults=True))
+    whole = label_matrix(matrix).groupBy("sample").agg(F.sum("value").alias("value"))
+    return whole.select("sample", F.lit("entries").alias("message"), "value").unionByName(
+        matrix.errors.select("sample", "message", F.lit(None).cast("bigint").alias("value"))
+    )
+
+
 @query(
     MTX_SQL
     + """
-    SELECT o.run::VARCHAR AS sample, c.ix AS cell_ix, g.ix AS gene_ix, o.q AS value
-    FROM owned o JOIN gene_ix g ON g.run = o.run AND g.part = o.part
-    JOIN cell_ix c ON c.run = o.run AND c.supp = o.supp WHERE o.q <> 0
+    SELECT o.run::VARCHAR AS sample, 'S' || o.supp AS cell_id,
+           g.p_name || CASE WHEN g.k > 0 THEN '-' || g.k ELSE '' END AS gene_name, o.q AS value
+    FROM owned o JOIN gene_ix g ON g.run = o.run AND g.part = o.part WHERE o.q <> 0
     """
 )
 def stored_matrices(spark: SparkSession, folder: str) -> DataFrame:
-    """Matrices written to the sink's folders and read back."""
+    """Matrices written to the sink's folders and read back, labels too."""
     path = new_table_path(spark, "matrices")
     write_matrix(_supplier_matrices(spark, folder), path)
-    back = spark.read.parquet(f"{path}/entries")
-    return back.select(F.col("sample").cast("string").alias("sample"), "cell_ix", "gene_ix", "value")
+    entries, cells, genes = (
+        spark.read.parquet(f"{path}/{name}").withColumn("sample", F.col("sample").cast("string")) for name in ("entries", "cells", "genes")
+    )
+    return label_matrix(Matrix(entries, cells, genes, entries.limit(0)))
 
 
 def _file_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from samplelake.operators.joins import join_dim
 from samplelake.operators.ordered import make_unique, running
 from samplelake.session import materialise
-from samplelake.sources.soft import list_files, read_lines
+from samplelake.sources.soft import list_files, plain_path, read_lines
 
 
 @dataclass(frozen=True)
@@ -52,12 +52,17 @@ def label_matrix(matrix: Matrix) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, files: DataFrame, column: str) -> tuple[list[str], DataFrame]:
-    """The paths in ``files(sample, <column>)``, and ``file, sample`` with the paths as Spark
-    reports them. A list of file names, as any read needs on the driver."""
+    """The paths in ``files(sample, <column>)``, and ``file, sample`` with the paths as the
+    readers report them. A list of file names, as any read needs on the driver."""
     paths = sorted({r[0] for r in files.select(column).collect()})
-    tail = F.regexp_replace(F.col(column), r"^file:/*", "/")
-    known = list_files(spark, paths).select("file", F.regexp_replace("file", r"^file:/*", "/").alias("__p"))
-    return paths, known.join(files.select("sample", tail.alias("__p")), "__p").select("file", "sample")
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    known = list_files(spark, paths).select("file", F.regexp_replace("file", scheme, "").alias("__bare"))
+    # A path without a scheme is in the session's own file system.
+    wanted = files.select("sample", plain_path(F.col(column)).alias("__p"))
+    full = wanted.filter(F.col("__p").rlike(scheme)).select("sample", F.col("__p").alias("file"))
+    bare = wanted.filter(~F.col("__p").rlike(scheme)).select("sample", F.col("__p").alias("__bare"))
+    both = known.join(full, "file").select("file", "sample").unionByName(known.join(bare, "__bare").select("file", "sample"))
+    return paths, both
 
 
 def _numbered_lines(spark: SparkSession, files: DataFrame, column: str, ix: str, name: str) -> DataFrame:
@@ -72,16 +77,21 @@ def _numbered_lines(spark: SparkSession, files: DataFrame, column: str, ix: str,
     )
 
 
-def _matrix_errors(bad: DataFrame) -> DataFrame:
-    return bad.select(
-        F.lit("matrix").alias("stage"), "sample", F.concat(F.lit("not a number: "), F.col("text")).alias("message")
-    )
+def _matrix_errors(bad: DataFrame, message: Column) -> DataFrame:
+    return bad.select(F.lit("matrix").alias("stage"), "sample", message.alias("message"))
+
+
+def _not_a_number() -> Column:
+    return F.concat(F.lit("not a number: "), F.col("text"))
 
 
 def read_mtx(spark: SparkSession, files: DataFrame) -> Matrix:
     """Sparse matrices from ``files(sample, matrix, barcodes, genes)``, the last three being
     paths: coordinate text and two label files. A matrix whose first dimension is not the
     number of barcodes is turned. Names are made unique.
+
+    A sample whose labels fit the matrix neither way, or whose size line cannot be read, gives no
+    entries and a row in ``errors``; so does a line that is no entry, for itself alone.
     """
     files = materialise(files.select("sample", "matrix", "barcodes", "genes"), "matrix-files")
     cells = materialise(_numbered_lines(spark, files, "barcodes", "cell_ix", "cell_id"), "cells")
@@ -93,28 +103,47 @@ def read_mtx(spark: SparkSession, files: DataFrame) -> Matrix:
     # lines of that text are counted and one of them is taken off.
     size = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("size"))
     shape = F.split(F.trim("size"), r"\s+")
+    n_rows, n_cols = (F.get(shape, F.lit(i)).try_cast("bigint") for i in (0, 1))
     barcodes = cells.groupBy("sample").agg(F.count("*").alias("n_cells"))
-    sizes = size.join(owner, "file").join(barcodes, "sample").select(
-        "file", "sample", "size", (shape[0].try_cast("bigint") == F.col("n_cells")).alias("by_cell")
+    names = genes.groupBy("sample").agg(F.count("*").alias("n_genes"))
+    counted = owner.join(size, "file", "left").join(barcodes, "sample", "left").join(names, "sample", "left").select(
+        "file", "sample", "size", n_rows.alias("n_rows"), n_cols.alias("n_cols"),
+        F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.coalesce("n_genes", F.lit(0)).alias("n_genes"),
     )
-    sizes = materialise(sizes, "sizes")
-    known = join_dim(lines.select("file", "value"), sizes, "file", "inner", stored=True)
-    plain = known.filter(F.col("value") != F.col("size")).select("sample", "by_cell", "value")
-    same = known.filter(F.col("value") == F.col("size")).groupBy("sample", "by_cell", "value").agg(F.count("*").alias("n"))
-    again = same.filter("n > 1").select("sample", "by_cell", "value", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
+    first_is_cell = (F.col("n_rows") == F.col("n_cells")) & (F.col("n_cols") == F.col("n_genes"))
+    first_is_gene = (F.col("n_rows") == F.col("n_genes")) & (F.col("n_cols") == F.col("n_cells"))
+    sizes = materialise(counted.select(
+        "*", first_is_cell.alias("by_cell"), F.coalesce(first_is_cell | first_is_gene, F.lit(False)).alias("fits")
+    ), "sizes")
+    fitting = sizes.filter("fits").select("file", "sample", "size", "by_cell", "n_rows", "n_cols")
+    known = join_dim(lines.select("file", "value"), fitting, "file", "inner")
+    kept = ["sample", "by_cell", "n_rows", "n_cols", "value"]
+    plain = known.filter(F.col("value") != F.col("size")).select(*kept)
+    same = known.filter(F.col("value") == F.col("size")).groupBy(*kept).agg(F.count("*").alias("n"))
+    again = same.filter("n > 1").select(*kept, F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
     parts = F.split(F.trim("value"), r"\s+")
+    row, col = (F.get(parts, F.lit(i)).try_cast("bigint") for i in (0, 1))
     parsed = plain.unionByName(again.drop("col")).select(
         "sample",
         "by_cell",
-        (parts[0].cast("bigint") - 1).alias("row_ix"),
-        (parts[1].cast("bigint") - 1).alias("col_ix"),
+        F.col("value").alias("line"),
+        (row - 1).alias("row_ix"),
+        (col - 1).alias("col_ix"),
+        F.coalesce(row.between(1, F.col("n_rows")) & col.between(1, F.col("n_cols")), F.lit(False)).alias("placed"),
         # a pattern matrix has no third column: what is listed is there once
         F.coalesce(F.get(parts, F.lit(2)), F.lit("1")).alias("text"),
     ).withColumn("value", whole_number(F.col("text")))
-    entries = orient(parsed.filter("value != 0"), F.col("by_cell"))
-    errors = _matrix_errors(parsed.filter(F.col("value").isNull()))
+    misfit = F.concat(
+        F.lit("the labels do not fit: size line "), F.coalesce("size", F.lit("missing")), F.lit(", "),
+        F.col("n_cells"), F.lit(" barcodes, "), F.col("n_genes"), F.lit(" genes"),
+    )
+    errors = (
+        _matrix_errors(parsed.filter("placed AND value IS NULL"), _not_a_number())
+        .unionByName(_matrix_errors(parsed.filter("NOT placed"), F.concat(F.lit("not an entry: "), F.col("line"))))
+        .unionByName(_matrix_errors(sizes.filter("NOT fits"), misfit))
+    )
     return Matrix(
-        entries,
+        orient(parsed.filter("placed AND value != 0"), F.col("by_cell")),
         make_unique(cells, "cell_id", "cell_ix", by=["sample"]),
         make_unique(genes, "gene_name", "gene_ix", by=["sample"]),
         errors,
@@ -122,7 +151,10 @@ def read_mtx(spark: SparkSession, files: DataFrame) -> Matrix:
 
 
 def _cells_of_line(value: Column, sep: Column) -> Column:
-    return F.transform(F.split(value, F.concat(F.lit("\\Q"), sep, F.lit("\\E"))), _unquote)
+    """The fields of a line; a separator inside double quotes is part of its field."""
+    quoted = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
+    field = F.concat(quoted, F.lit("(\"[^\"]*(?:\"\"[^\"]*)*\"|(?:(?!"), quoted, F.lit(").)*)"))
+    return F.transform(F.regexp_extract_all(F.concat(sep, value), field, F.lit(1)), _unquote)
 
 
 def read_dense_matrix(spark: SparkSession, files: DataFrame) -> Matrix:
@@ -131,44 +163,58 @@ def read_dense_matrix(spark: SparkSession, files: DataFrame) -> Matrix:
     those of the source, so what is dropped leaves a gap. Values are cut to integers; text
     that is no number goes to ``errors``. Names are made unique.
 
+    The first line after the header tells whether the header names the column of row names. If
+    the two do not fit the sample gives no entries; a line that is longer or shorter than that
+    first one gives none itself. Both are in ``errors``.
+
     What is known per file (header, drop list) is joined to lines, never to values.
     """
     files = materialise(files.select("sample", F.col("path").alias("__path"), "sep", "cell_by_gene", "drop"), "matrix-files")
     paths, owner = _resolved(spark, files, "__path")
     lines = read_lines(spark, paths).filter("value != ''")
-    header = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("__header"))
-    spec = owner.join(files.select("sample", "sep", "cell_by_gene", "drop"), "sample").join(header, "file")
-    spec = spec.select(
-        "*",
+    counted = running(lines, ["file"], ["block"], ["at"], sums={"n": F.lit(1).cast("bigint")})
+    numbered = materialise(counted.select("file", "n", "value"), "dense-lines")
+    header, first = (numbered.filter(F.col("n") == n).select("file", F.col("value").alias(name)) for n, name in ((1, "__header"), (2, "__first")))
+    spec = owner.join(files.select("sample", "sep", "cell_by_gene", "drop"), "sample").join(header, "file", "left").join(first, "file", "left")
+    split = spec.select(
+        "file", "sample", "sep", "cell_by_gene",
         F.coalesce("drop", F.array().cast("array<string>")).alias("__drop"),
-        _cells_of_line(F.col("__header"), F.col("sep")).alias("names"),
+        F.coalesce(_cells_of_line(F.col("__header"), F.col("sep")), F.array().cast("array<string>")).alias("names"),
+        F.coalesce(F.size(_cells_of_line(F.col("__first"), F.col("sep"))), F.lit(0)).alias("width"),
     )
-    spec = materialise(spec.drop("drop", "__header"), "dense-spec")
-    numbered = running(lines, ["file"], ["block"], ["at"], sums={"n": F.lit(1).cast("bigint")}).filter("n > 1")
-    owned = join_dim(numbered, spec, "file", "inner", stored=True).select(
-        "sample", "cell_by_gene", "__drop", "names", (F.col("n") - 2).alias("row_ix"),
+    # A header that leaves out the name of the row-name column is one entry shorter.
+    fits = (F.col("width") > 1) & F.col("width").isin(F.size("names"), F.size("names") + 1)
+    # A header alone is an empty matrix.
+    spec = materialise(split.withColumn("fits", fits | ((F.col("width") == 0) & (F.size("names") > 0))), "dense-spec")
+    known = spec.filter("fits").select(
+        "file", "sample", "sep", "cell_by_gene", "__drop", "width",
+        F.slice("names", F.size("names") - F.col("width") + 2, F.greatest(F.col("width") - 1, F.lit(0))).alias("names"),
+    )
+    owned = join_dim(numbered.filter("n > 1"), known, "file", "inner").select(
+        "sample", "cell_by_gene", "__drop", "names", "width", (F.col("n") - 2).alias("row_ix"), (F.col("n")).alias("line_no"),
         _cells_of_line(F.col("value"), F.col("sep")).alias("parts"),
     )
-    rows = owned.withColumn("name", F.col("parts")[0]).filter(~F.array_contains("__drop", F.col("name")))
-
-    # A header that leaves out the name of the row-name column is one entry shorter.
-    offset = F.when(F.size("names") == F.size("parts"), 1).otherwise(0)
+    owned = materialise(owned, "dense-rows")
+    whole = owned.filter(F.size("parts") == F.col("width"))
+    rows = whole.withColumn("name", F.col("parts")[0]).filter(~F.array_contains("__drop", F.col("name")))
+
+    # Dropped columns go before the values are spread over rows.
+    pairs = F.arrays_zip(
+        F.col("names").alias("name"), F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))).alias("text"),
+        F.sequence(F.lit(0), F.size("parts") - 2).alias("col_ix"),
+    )
     values = rows.select(
-        "sample", "cell_by_gene", "row_ix", "__drop", "names", offset.alias("offset"),
-        F.posexplode(F.slice("parts", 2, F.size("parts"))).alias("col_ix", "text"),
-    ).filter(~F.array_contains("__drop", F.get("names", F.col("col_ix") + F.col("offset"))))
+        "sample", "cell_by_gene", "row_ix", F.explode(F.filter(pairs, lambda p: ~F.array_contains("__drop", p["name"]))).alias("p")
+    )
     valued = values.select(
-        "sample", "cell_by_gene", "row_ix", F.col("col_ix").cast("bigint").alias("col_ix"), "text",
-        whole_number(F.col("text")).alias("value"),
+        "sample", "cell_by_gene", "row_ix", F.col("p.col_ix").cast("bigint").alias("col_ix"), F.col("p.text").alias("text"),
+        whole_number(F.col("p.text")).alias("value"),
     )
     entries = orient(valued.filter("value != 0"), F.col("cell_by_gene"))
 
-    names = materialise(rows.select("sample", "cell_by_gene", "row_ix", "name", (F.size("parts") - 1).alias("width")), "row-names")
-    row_names = names.select("sample", "cell_by_gene", F.col("row_ix").alias("ix"), "name", F.lit(True).alias("is_row"))
-    widths = names.groupBy("sample").agg(F.max("width").alias("width"))
+    row_names = rows.select("sample", "cell_by_gene", F.col("row_ix").alias("ix"), "name", F.lit(True).alias("is_row"))
     col_names = (
-        spec.join(widths, "sample")
-        .select("sample", "cell_by_gene", "__drop", F.posexplode(F.expr("slice(names, -width, width)")).alias("ix", "name"))
+        known.filter("width > 0").select("sample", "cell_by_gene", "__drop", F.posexplode("names").alias("ix", "name"))
         .filter(~F.array_contains("__drop", F.col("name")))
         .select("sample", "cell_by_gene", F.col("ix").cast("bigint").alias("ix"), "name", F.lit(False).alias("is_row"))
     )
@@ -176,13 +222,20 @@ def read_dense_matrix(spark: SparkSession, files: DataFrame) -> Matrix:
     on_cells = F.col("is_row") == F.col("cell_by_gene")
     cells = both.filter(on_cells).select("sample", F.col("ix").alias("cell_ix"), F.col("name").alias("cell_id"))
     genes = both.filter(~on_cells).select("sample", F.col("ix").alias("gene_ix"), F.col("name").alias("gene_name"))
+    uneven = F.concat(F.lit("line "), F.col("line_no"), F.lit(" has "), F.size("parts"), F.lit(" fields, not "), F.col("width"))
+    misfit = F.concat(
+        F.lit("the header does not fit: "), F.size("names"), F.lit(" names, "), F.col("width"), F.lit(" fields in the first line")
+    )
     return Matrix(
         entries,
         make_unique(cells, "cell_id", "cell_ix", by=["sample"]),
         make_unique(genes, "gene_name", "gene_ix", by=["sample"]),
-        _matrix_errors(valued.filter(F.col("value").isNull())),
+        _matrix_errors(valued.filter(F.col("value").isNull()), _not_a_number())
+        .unionByName(_matrix_errors(owned.filter(F.size("parts") != F.col("width")), uneven))
+        .unionByName(_matrix_errors(spec.filter("NOT fits"), misfit)),
     )
 
 
 def _unquote(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r'^"(.*)"$', "$1")
+    inner = F.regexp_replace(F.regexp_extract(F.trim(text), r'(?s)^"(.*)"$', 1), '""', '"')
+    return F.when(F.trim(text).rlike(r'(?s)^".*"$'), inner).otherwise(F.trim(text))

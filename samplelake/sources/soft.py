@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.operators.ordered import BLOCK_ROWS, running
@@ -28,19 +28,26 @@ class Soft:
     errors: DataFrame
 
 
+def plain_path(path: Column) -> Column:
+    """One form of a path: a local one has one slash after its scheme."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``file, length`` for files, folders and globs; contents are not read."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return listed.select(F.col("path").alias("file"), "length")
+    return listed.select(plain_path(F.col("path")).alias("file"), "length")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``file, block, at, value``: the lines of text files. Within ``(file, block)`` lines are in
     the order of ``at``; blocks in the order of ``block``, their offset in the file."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    # Here a blank or a percent sign in a path is encoded, in a listing it is not.
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     return spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.url_decode(encoded)).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
         "value",

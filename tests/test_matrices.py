@@ -93,3 +93,24 @@ def test_samples_from_proposed_specs(spark, tmp_path):
     assert labelled(loaded.matrices["MTX"]) == WANT and labelled(loaded.matrices["TABLE"]) == DENSE_WANT
     errors = {r["sample"]: r["message"] for r in loaded.errors.filter("message NOT LIKE 'not a number%'").collect()}
     assert errors == {"s3": "no reader for file type RDATA", "s4": "no reader for file type UNKNOWN", "s5": "the specification is not complete"}
+
+
+def test_faulty_dense_tables_do_not_touch_others(spark, tmp_path):
+    folder = tmp_path / "50% of it"
+    folder.mkdir()
+    contents = {
+        "good": 'id,"g,1",g2\n"a,b",5,6\n"say ""x""",1,2\n', "uneven": "id,g1,g2\nr1,1,2\nr2,3\nr3,4,5,6\n",
+        "misfit": "id,g1,g2,g3,g4\nr1,1\n", "empty": "",
+    }
+    for name, content in contents.items():
+        (folder / f"{name}.csv").write_text(content)
+    spec = spark.createDataFrame([(n, str(folder / f"{n}.csv"), ",", True, None) for n in contents],
+                                 "sample string, path string, sep string, cell_by_gene boolean, drop array<string>")
+    matrix = read_dense_matrix(spark, spec)
+    assert labelled(matrix, "good") == [("a,b", "g,1", 5), ("a,b", "g2", 6), ('say "x"', "g,1", 1), ('say "x"', "g2", 2)]
+    assert labelled(matrix, "uneven") == [("r1", "g1", 1), ("r1", "g2", 2)]
+    assert sorted((r["sample"], r["message"]) for r in matrix.errors.collect()) == [
+        ("empty", "the header does not fit: 0 names, 0 fields in the first line"),
+        ("misfit", "the header does not fit: 5 names, 2 fields in the first line"),
+        ("uneven", "line 3 has 2 fields, not 3"), ("uneven", "line 4 has 4 fields, not 3"),
+    ]
