@@ -11,7 +11,6 @@ from samplelake.functions.text import let, strip
 
 _STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
 _COMMENT = rf"({_STRING})|//[^\n]*"
-_ACTION = r'(?s)^(.*?"action_input":\s*")(.*)(".*)$'
 
 
 def _literal(word: str) -> str:
@@ -26,16 +25,6 @@ def extract_fenced(text: Column, language: str) -> Column:
     return strip(F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text))
 
 
-def escape_action_input(text: Column) -> Column:
-    """Escape line breaks, tabs and bare quotes inside the ``action_input`` string."""
-    inner = F.regexp_extract(text, _ACTION, 2)
-    for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        inner = F.replace(inner, F.lit(raw), F.lit(escaped))
-    inner = F.regexp_replace(inner, r'(?<!\\)"', r'\\"')
-    fixed = F.concat(F.regexp_extract(text, _ACTION, 1), inner, F.regexp_extract(text, _ACTION, 3))
-    return F.when(text.rlike(_ACTION), fixed).otherwise(text)
-
-
 def _where(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
     """``change`` of the texts that contain ``mark``; the others are left alone unread."""
     return let(text, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
@@ -46,7 +35,7 @@ def clean_json(text: Column) -> Column:
 
     Strings are left as they are, so an address with ``//`` in it survives.
     """
-    body = _where(extract_fenced(text, "json"), '"action_input"', escape_action_input)
+    body = extract_fenced(text, "json")
     body = _where(body, "//", lambda t: F.regexp_replace(t, _COMMENT, "$1"))
     body = _where(body, "True", lambda t: F.regexp_replace(t, _literal("True"), "$1true"))
     body = _where(body, "False", lambda t: F.regexp_replace(t, _literal("False"), "$1false"))

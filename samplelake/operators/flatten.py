@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,5 +48,7 @@ def typed_json(df: DataFrame, name: str) -> DataFrame:
     found = df.agg(F.schema_of_variant_agg(F.try_parse_json(column)).alias("s")).first()["s"]
     if found is None or found == "VOID":
         return df.withColumn(name, F.lit(None).cast("string"))
-    ddl = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    # A name, which a colon follows, stays as it is.
+    types = {"OBJECT<": "STRUCT<", "VOID": "STRING"}
+    ddl = re.sub(r"(`(?:[^`]|``)*`\s*:|\w+\s*:)|\bOBJECT<|\bVOID\b", lambda m: m[1] or types[m[0]], found)
     return df.withColumn(name, F.from_json(column, ddl))

@@ -7,7 +7,7 @@ rounds as the graph has levels, which for a workflow or a lineage graph is few.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplelake.operators.joins import join_dim
@@ -44,19 +44,16 @@ def neighbour_labels(links: DataFrame, labels: DataFrame, direction: str = "pred
     return rows.groupBy("id").agg(F.transform(ordered, lambda r: r["label"]).alias("labels"))
 
 
-def attach_tools(tasks: DataFrame, results: DataFrame) -> DataFrame:
-    """Every task with the tool found for it in each document that has results, and
-    ``has_tool_info``; ``results`` holds ``doc_id, task_id, tool``."""
-    per_doc = results.select("doc_id").distinct().withColumn("task", F.explode(_as_literals(tasks)))
+def attach_tools(tasks: DataFrame, results: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every task with the tool found for it in each of ``documents(doc_id)``, and
+    ``has_tool_info``; ``results`` holds ``doc_id, task_id, tool``. Rows of results without a
+    tool, such as those of failed tasks, tell of none."""
+    per_doc = documents.select("doc_id").distinct().withColumn("task", F.explode(_as_literals(tasks)))
     rows = per_doc.select("doc_id", "task.*")
-    found = results.filter(F.col("task_id").isNotNull()).select(
-        "doc_id", F.col("task_id").alias("id"), "tool", F.lit(True).alias("__hit")
-    )
-    return (
-        rows.join(found, ["doc_id", "id"], "left")
-        .withColumn("has_tool_info", F.coalesce("__hit", F.lit(False)))
-        .drop("__hit")
+    found = results.filter(F.col("task_id").isNotNull() & F.col("tool").isNotNull()).select(
+        "doc_id", F.col("task_id").alias("id"), "tool"
     )
+    return rows.join(found, ["doc_id", "id"], "left").withColumn("has_tool_info", F.col("tool").isNotNull())
 
 
 def _as_literals(tasks: DataFrame):
@@ -69,16 +66,13 @@ def _as_literals(tasks: DataFrame):
     )
 
 
-def _number_level(found: DataFrame, size: int, first: int) -> DataFrame:
-    """``id, ord``: the level's ``size`` nodes numbered from ``first`` by (parent, edge, id).
+def _number_level(found: DataFrame, first: int) -> DataFrame:
+    """``id, ord``: the level's nodes numbered from ``first`` by (parent, edge, id).
 
-    A level of more than ``ORDER_BLOCK`` nodes takes two running sums in place of one window
-    over all of it: children before a parent, and children before a node under its own
-    parent. So neither a wide level nor a hub sits in one task.
+    Two running sums take the place of one window over the level: children before a parent,
+    and children before a node under its own parent. So neither a wide level nor a hub sits in
+    one task.
     """
-    if size <= ORDER_BLOCK:
-        whole = Window.partitionBy(F.lit(0)).orderBy("parent", "edge", "id")
-        return found.select("id", (F.row_number().over(whole).cast("bigint") - 1 + first).alias("ord"))
     counts = found.groupBy("parent").agg(F.count("*").alias("n"))
     counts = counts.select(
         "*", F.lit(0).alias("__all"), F.floor(F.col("parent") / ORDER_BLOCK).alias("__block")
@@ -113,7 +107,7 @@ def bfs(links: DataFrame, roots: DataFrame) -> DataFrame:
         if size == 0:
             break
         here = f"{path}/level={level}"
-        _number_level(found, size, seen).write.parquet(here)
+        _number_level(found, seen).write.parquet(here)
         seen, level = seen + size, level + 1
         visited = spark.read.schema(schema).parquet(path)
         frontier = spark.read.schema(f"id {id_type}, ord bigint").parquet(here)

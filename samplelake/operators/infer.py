@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from samplelake.functions.replies import is_object, parse_lenient
 from samplelake.functions.reply_text import read_reply
 from samplelake.functions.text import WordCounter, word_count
-from samplelake.session import new_table_path
+from samplelake.session import materialise, new_table_path
+
+TASK_PROMPTS, RUN_PROMPTS = 100, 100_000
 
 Responder = Callable[[str], str]
 Validator = Callable[[dict], bool]
@@ -94,7 +96,9 @@ def infer(
 
     A key with a good reply in ``store`` is not asked again; new replies are added to it. A
     prompt that stays without a valid reply after ``retries`` tries has its ``error`` set and
-    is asked again in the next run. ``parallel`` bounds the number of calls at a time;
+    is asked again in the next run. Replies are written in runs of about ``RUN_PROMPTS`` prompts,
+    so a job that fails keeps those of the runs before. ``parallel`` bounds the number of calls
+    at a time; without it there is a task per ``TASK_PROMPTS`` prompts;
     ``check=False`` takes any text for valid.
     """
     spark = prompts.sparkSession
@@ -106,27 +110,35 @@ def infer(
         hits = cached(before.join(prompts.select("prompt_key").distinct(), "prompt_key", "left_semi"))
         known = before.filter(F.col("error").isNull()).select("prompt_key")
         missing = wanted.join(known, "prompt_key", "left_anti")
-    if parallel:
-        missing = missing.repartition(parallel)
+    missing = materialise(missing, "prompts")
+    n = missing.count()
     caller = _Caller(responder, validator, retries, error_marker, check)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, p, *caller(p)) for k, p in zip(batch["prompt_key"], batch["prompt"])]
-            yield pd.DataFrame(rows, columns=["prompt_key", "prompt", "attempt", "text", "error"])
-
-    asked = missing.mapInPandas(ask, "prompt_key string, prompt string, attempt int, text string, error string")
-    asked = asked.select(
-        "prompt_key",
-        "attempt",
-        "text",
-        "error",
-        token_count(F.col("prompt")).cast("bigint").alias("n_tokens_in"),
-        F.coalesce(token_count(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens_out"),
-    )
-    path = f"{store}/run={uuid.uuid4().hex}" if store else new_table_path(spark, "replies")
-    asked.write.parquet(path)
-    fresh = spark.read.schema(REPLY).parquet(path)
+            for at in range(0, len(batch), TASK_PROMPTS):
+                some = batch.iloc[at : at + TASK_PROMPTS]
+                rows = [(k, p, *caller(p)) for k, p in zip(some["prompt_key"], some["prompt"])]
+                yield pd.DataFrame(rows, columns=["prompt_key", "prompt", "attempt", "text", "error"])
+
+    runs = max(1, n // RUN_PROMPTS)
+    run = F.pmod(F.xxhash64("prompt_key"), F.lit(runs))
+    # Tasks by the number of prompts, whatever their size.
+    parts = parallel or max(1, -(-n // (runs * TASK_PROMPTS)))
+    paths = []
+    for i in range(runs):
+        dealt = missing.filter(run == i).repartition(parts, "prompt_key")
+        asked = dealt.mapInPandas(ask, "prompt_key string, prompt string, attempt int, text string, error string")
+        paths.append(f"{store}/run={uuid.uuid4().hex}" if store else new_table_path(spark, "replies"))
+        asked.select(
+            "prompt_key",
+            "attempt",
+            "text",
+            "error",
+            token_count(F.col("prompt")).cast("bigint").alias("n_tokens_in"),
+            F.coalesce(token_count(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens_out"),
+        ).write.parquet(paths[-1])
+    fresh = spark.read.schema(REPLY).parquet(*paths)
     return fresh if hits is None else hits.unionByName(fresh)
 
 
@@ -144,6 +156,6 @@ def parse_replies(replies: DataFrame) -> DataFrame:
 
 def reply_errors(replies: DataFrame) -> DataFrame:
     """``stage, prompt_key, message`` for the prompts that stayed without a good reply."""
-    return replies.filter(F.col("error").isNotNull()).select(
-        F.lit("infer").alias("stage"), "prompt_key", F.col("error").alias("message")
-    )
+    unread = F.when(~is_object(parse_lenient(F.col("text"))), F.lit("the reply is no readable JSON object"))
+    message = F.coalesce(F.col("error"), unread)
+    return replies.select(F.lit("infer").alias("stage"), "prompt_key", message.alias("message")).filter("message IS NOT NULL")

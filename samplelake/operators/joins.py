@@ -58,7 +58,10 @@ def join_dim(
     some_null = F.lit(False)
     for c in on:
         some_null = some_null | F.col(c).isNull()
-    spot = F.pmod(F.spark_partition_id(), F.lit(salts))
+    # By row, as a hot key may sit in one partition; by value, so that a task that runs again
+    # deals its rows as before.
+    hashable = [F.col(f"`{f.name}`") for f in big.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    spot = F.pmod(F.xxhash64(*hashable), F.lit(salts))
     salted = big.join(hot, on, "left").withColumn(
         "__salt", F.when(F.col("__hot") | some_null, spot).otherwise(F.lit(0))
     )

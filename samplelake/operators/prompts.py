@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplelake.fields import Group
 
+JSON_TYPES = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
+
 
 def response_format(group: Group) -> str:
-    """The JSON form that a reply must have, one line per field; a constant of the group."""
-    lines = []
+    """A JSON schema of the reply, a constant of the group."""
+    properties = {}
     for f in group.fields:
-        note = f.description
+        rule = {"type": JSON_TYPES.get(f.type, "string")}
+        if f.description:
+            rule["description"] = f.description
         if f.options:
-            note += " Choose from: " + ", ".join(f"`{o}`" for o in f.options)
-        lines.append((f'  "{f.name}": {f.type}', f"\\ {note}"))
-    last = len(lines) - 1
-    body = "\n".join(f"{head}{'' if i == last else ','} {note}" for i, (head, note) in enumerate(lines))
-    return f"```json\n{{\n{body}\n}}\n```\n"
+            rule["enum"] = list(f.options)
+        properties[f.name] = rule
+    schema = {"type": "object", "properties": properties, "required": list(properties)}
+    return json.dumps(schema, ensure_ascii=False, indent=1) + "\n"
 
 
 def metadata_prompt(context: Column, group: Group) -> Column:

@@ -187,8 +187,8 @@ def scan_tasks(
     """Scan with a model as the test: ``key, task_id, task_name, chunk_no, tool, error``.
 
     ``responder`` is asked per (task, chunk) up to the first hit and again on an unreadable
-    reply, ``retries`` times in all; then the document's scan ends with a row that has only
-    ``error``. Replies may differ from call to call, so the rows are written once to the
+    reply, ``retries`` times in all; then the task has a row with ``error`` alone, and the
+    scan goes on with the next task where the last hit was. Replies may differ from call to call, so the rows are written once to the
     shared folder and read back, never computed twice.
     """
     unknown = [(t.task_id, t.type) for t in tasks if t.type not in FIELDS_BY_TYPE]
@@ -203,11 +203,11 @@ def scan_tasks(
             rows = []
             for name, texts in zip(batch[key], batch["__texts"]):
                 state = _Scan(responder, retries)
-                try:
-                    for task in plan:
+                for task in plan:
+                    try:
                         state.look_for(task, texts)
-                except ValueError as error:
-                    state.rows.append((task.task_id, task.task_name, None, None, str(error)))
+                    except ValueError as error:
+                        state.rows.append((task.task_id, task.task_name, None, None, str(error)))
                 rows.extend((name, *row) for row in state.rows)
             names = [key, "task_id", "task_name", "chunk_no", "tool", "error"]
             out = pd.DataFrame(rows, columns=names)

@@ -19,7 +19,7 @@ from samplelake.operators.attrs import (
 )
 from samplelake.operators.link import link_concepts
 from samplelake.operators.ordered import first_n
-from samplelake.operators.prompts import build_prompts, response_format
+from samplelake.operators.prompts import build_prompts
 from samplelake.operators.union import ragged_union, run_summary
 from samplelake.plans.metadata import Vocabulary, extract_metadata, first_samples
 from samplelake.queries.registry import (
@@ -225,6 +225,32 @@ ASKED = Group(
 )
 
 
+# What the prompt has to say about ``ASKED``.
+ASKED_FORM = """{
+ "type": "object",
+ "properties": {
+  "language": {
+   "type": "string",
+   "description": "language of the text",
+   "enum": [
+    "en",
+    "de",
+    "fr",
+    "es"
+   ]
+  },
+  "organ/tissue": {
+   "type": "string"
+  }
+ },
+ "required": [
+  "language",
+  "organ/tissue"
+ ]
+}
+"""
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -232,7 +258,7 @@ def _sql_text(text: str) -> str:
 def _prompt_sql() -> str:
     head = "Read the attributes of a biological sample and fill in the form below.\nATTRIBUTES\n"
     tail = (
-        "\nFORM\n" + response_format(ASKED) + "\nUse null for what the attributes do not say. First give your reasons in "
+        "\nFORM\n" + ASKED_FORM + "\nUse null for what the attributes do not say. First give your reasons in "
         "at most 50 words, then one fenced json block that is valid JSON without comments."
     )
     return f"""{SERIES_TAIL_SQL},

@@ -153,7 +153,7 @@ def _workflow_sql() -> str:
     words(id, word) AS (VALUES {", ".join(f"({i}, '{w.strip()}')" for i, w in DEFAULT_WORDS.items())}),
     found AS (SELECT d.doc_id, w.id, w.word FROM trimmed d JOIN words w ON t <> '' AND contains(lowered, w.word))
     SELECT d.doc_id, t.id, t.name, f.word AS tool_name, f.id IS NOT NULL AS has_tool_info
-    FROM (SELECT DISTINCT doc_id FROM found) d CROSS JOIN tasks t LEFT JOIN found f ON f.doc_id = d.doc_id AND f.id = t.id
+    FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN tasks t LEFT JOIN found f ON f.doc_id = d.doc_id AND f.id = t.id
     """
 
 
@@ -165,7 +165,7 @@ def workflow_nodes(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     hits = scan_keywords(with_chunks(docs, min_words=LIMIT, sep=BLANK_LINE), plan)
     tool = F.from_json(F.to_json(F.struct("tool_name")), TOOL_TYPE).alias("tool")
-    nodes = attach_tools(tasks, hits.select("doc_id", "task_id", tool))
+    nodes = attach_tools(tasks, hits.select("doc_id", "task_id", tool), docs)
     return nodes.select("doc_id", "id", "name", F.col("tool.tool_name").alias("tool_name"), "has_tool_info")
 
 

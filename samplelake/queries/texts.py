@@ -76,23 +76,25 @@ def chunk_packing(spark: SparkSession, folder: str) -> DataFrame:
     WITH lines AS (
       SELECT doc_id, string_split(regexp_replace(text, '\r?\n$', ''), E'\n') AS l FROM documents
     ), peeks AS (
-      SELECT doc_id, len(l) AS total, u.pos, u.line
+      SELECT doc_id, l, len(l) AS total, u.pos, u.line
       FROM lines, UNNEST(l) WITH ORDINALITY AS u(line, pos)
     )
     SELECT doc_id, any_value(total) AS total,
            string_agg(CASE WHEN length(line) > 100
                            THEN substr(line, 1, 100) || '... [' || (length(line) - 100) || ' characters truncated]'
                            ELSE line END, E'\n' ORDER BY pos) AS peek
-    FROM peeks WHERE pos <= 10 GROUP BY doc_id
+    FROM peeks WHERE pos <= 10 AND l <> [''] GROUP BY doc_id
+    UNION ALL SELECT doc_id, 0, '' FROM lines WHERE l = ['']
     """
 )
 def document_peeks(spark: SparkSession, folder: str) -> DataFrame:
     def columns(lines):
         return F.struct(
-            F.size(lines).cast("bigint").alias("total"), F.array_join(peek_lines(lines), "\n").alias("peek")
+            F.when(F.col("text") == "", 0).otherwise(F.size(lines)).cast("bigint").alias("total"),
+            F.array_join(peek_lines(lines), "\n").alias("peek"),
         )
 
-    docs = table(spark, folder, "documents").filter("text <> ''")
+    docs = table(spark, folder, "documents")
     return docs.select("doc_id", let(text_lines(F.col("text")), columns).alias("p")).select("doc_id", "p.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplelake.operators.graph import attach_tools, edges, topo_layers
+from samplelake.operators.joins import join_dim
 from samplelake.sources.matrices import Matrix
 
 # The options a reader needs to get back what ``write_table`` wrote as CSV.
@@ -35,10 +36,11 @@ def write_matrix(matrix: Matrix, path: str, mode: str = "errorifexists") -> None
         table.write.mode(mode).partitionBy("sample").parquet(f"{path}/{name}")
 
 
-def write_workflow(tasks: DataFrame, results: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """``nodes``: each document's tasks with layer, tool and ``has_tool_info``; ``edges``."""
+def write_workflow(tasks: DataFrame, results: DataFrame, documents: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """``nodes``: the tasks of each of ``documents(doc_id)`` with layer, tool and
+    ``has_tool_info``; ``edges``."""
     links = edges(tasks)
     layers = topo_layers(links, tasks.select(F.col("id").cast("bigint").alias("id")))
-    nodes = attach_tools(tasks, results).join(F.broadcast(layers), "id", "left")
+    nodes = join_dim(attach_tools(tasks, results, documents), layers, "id")
     write_table(nodes, f"{path}/nodes", fmt)
     write_table(links, f"{path}/edges", fmt)

@@ -39,7 +39,9 @@ def check_tasks(tasks: DataFrame) -> DataFrame:
         .select("id"),
     }
     found = [
-        f"{text}: {sorted({str(r['id']) for r in rows.take(20)})}" for text, rows in problems.items() if rows.take(1)
+        f"{text}: {sorted({str(r['id']) for r in rows.limit(20).collect()})} of {rows.count()}"
+        for text, rows in problems.items()
+        if rows.take(1)
     ]
     if found:
         raise ValueError("; ".join(found))

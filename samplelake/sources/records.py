@@ -63,17 +63,23 @@ class _Node:
     href: str | None = None
     parts: list = field(default_factory=list)
 
+    def walk(self) -> Iterator[_Node | str]:
+        """What is inside, in order; pages may be nested deeper than calls can be."""
+        waiting = self.parts[::-1]
+        while waiting:
+            part = waiting.pop()
+            yield part
+            if isinstance(part, _Node) and part.tag not in HIDDEN:
+                waiting += part.parts[::-1]
+
     def text(self) -> str:
-        if self.tag in HIDDEN:
-            return ""
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+        return "" if self.tag in HIDDEN else "".join(p for p in self.walk() if isinstance(p, str))
 
     def find(self, wanted: Selector) -> Iterator[_Node]:
-        for part in self.parts:
-            if isinstance(part, _Node):
-                if part.tag == wanted.tag and (wanted.css_class is None or wanted.css_class in part.classes):
+        for part in self.walk():
+            if isinstance(part, _Node) and part.tag == wanted.tag:
+                if wanted.css_class is None or wanted.css_class in part.classes:
                     yield part
-                yield from part.find(wanted)
 
     def first(self, wanted: Selector | None) -> _Node | None:
         return next(self.find(wanted), None) if wanted else None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -34,10 +35,12 @@ def plain_path(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``file, length`` for files, folders and globs; contents are not read."""
+    """``file`` for files, folders and globs, those of length 0 included, which Spark's readers
+    pass over; contents are not read. Spark has the listing on the driver as for any read."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return listed.select(plain_path(F.col("path")).alias("file"), "length")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).inputFiles()
+    rows = spark.createDataFrame([(unquote(file),) for file in listed], "file string")
+    return rows.select(plain_path(F.col("file")).alias("file"))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -17,7 +18,7 @@ from samplelake.functions.text import cut_line
 from samplelake.operators.ordered import first_n
 from samplelake.sources.soft import list_files, read_lines
 
-MEMBER = "archive string, member string, content binary"
+MEMBER = "archive string, member string, content binary, error string"
 
 
 def base_name(path) -> F.Column:
@@ -28,14 +29,16 @@ def peek_files(spark: SparkSession, paths: str | Sequence[str], n: int = 10, wid
     """``file, lines, total``: the first ``n`` lines, long ones cut, and the number of lines.
 
     Plain and gzip text. Counts are summed before they move, and at most ``n`` lines per file
-    leave a task. Spark does not open files of length 0, so those have no row.
+    leave a task. An empty file has no lines and a total of 0.
     """
     lines = read_lines(spark, paths)
     totals = lines.groupBy("file").agg(F.count("*").alias("total"))
     head = first_n(lines.withColumn("value", cut_line(F.col("value"), width)), "file", ["block", "at"], n)
     ordered = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
     peeks = head.groupBy("file").agg(F.transform(ordered, lambda r: r["value"]).alias("lines"))
-    return totals.join(peeks, "file").select("file", "lines", "total")
+    none = F.array().cast("array<string>")
+    listed = list_files(spark, paths).join(totals.join(peeks, "file"), "file", "left")
+    return listed.select("file", F.coalesce("lines", none).alias("lines"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def _members(path: str) -> Iterator[tuple[str, bytes]]:
@@ -57,23 +60,28 @@ def _members(path: str) -> Iterator[tuple[str, bytes]]:
 
 
 def expand_archives(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``archive, member, content``: the files in tar archives, folders flattened, each name
-    once per archive. One task streams one archive and holds one member at a time; a member
-    must fit a binary cell (2 GB). Nothing is written to disk."""
+    """``archive, member, content, error``: the files in tar archives, folders flattened, each
+    name once per archive. One task streams one archive and holds one member at a time; a member
+    must fit a binary cell (2 GB). An archive that cannot be read to its end has one row, with
+    ``error`` alone. Nothing is written to disk."""
     listed = list_files(spark, paths).select("file").repartition("file")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["file"]:
-                for member, content in _members(path):
-                    yield pd.DataFrame({"archive": [path], "member": [member], "content": [content]})
+                try:
+                    for member, content in _members(path):
+                        yield pd.DataFrame({"archive": [path], "member": [member], "content": [content], "error": [None]})
+                except (OSError, EOFError, tarfile.TarError, zlib.error) as error:
+                    message = f"{type(error).__name__}: {error}"
+                    yield pd.DataFrame({"archive": [path], "member": [None], "content": [None], "error": [message]})
 
     return listed.mapInPandas(expand, MEMBER)
 
 
 def peek_members(members: DataFrame, n: int = 10, width: int = 100) -> DataFrame:
     """``archive, member, lines, total`` for the text files among archive members; gzip members
-    are read through."""
+    are read through. Rows of archives that could not be read are left out."""
 
     def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,7 +97,8 @@ def peek_members(members: DataFrame, n: int = 10, width: int = 100) -> DataFrame
             yield pd.DataFrame(rows, columns=["archive", "member", "lines", "total"])
 
     schema = "archive string, member string, lines array<string>, total bigint"
-    return members.mapInPandas(peek, schema).withColumn("lines", F.transform("lines", lambda x: cut_line(x, width)))
+    good = members.filter(F.col("member").isNotNull()).select("archive", "member", "content")
+    return good.mapInPandas(peek, schema).withColumn("lines", F.transform("lines", lambda x: cut_line(x, width)))
 
 
 def sample_type(supp: DataFrame, last_wins: bool = False) -> DataFrame:

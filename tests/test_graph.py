@@ -84,6 +84,20 @@ def test_text_ids(spark):
 
 def test_attach_tools(spark):
     tasks = default_tasks(spark).filter("id < 4")
-    results = spark.createDataFrame([("p", 3, "tool")], "doc_id string, task_id bigint, tool string")
-    got = {r["id"]: (r["tool"], r["has_tool_info"]) for r in attach_tools(tasks, results).collect()}
-    assert got == {1: (None, False), 2: (None, False), 3: ("tool", True)}
+    results = spark.createDataFrame([("p", 3, "tool"), ("p", 2, None)], "doc_id string, task_id bigint, tool string")
+    papers = spark.createDataFrame([("p",), ("q",), ("p",)], "doc_id string")
+    got = {(r["doc_id"], r["id"]): (r["tool"], r["has_tool_info"]) for r in attach_tools(tasks, results, papers).collect()}
+    none = {(d, i): (None, False) for d in "pq" for i in (1, 2, 3)}
+    assert got == {**none, ("p", 3): ("tool", True)}
+
+
+def test_stored_workflow(spark, tmp_path):
+    from samplelake.sinks.tables import write_workflow
+
+    results = spark.createDataFrame([("p", 3, "tool"), ("p", 2, None)], "doc_id string, task_id bigint, tool string")
+    papers = spark.createDataFrame([("p",), ("q",)], "doc_id string")
+    write_workflow(default_tasks(spark), results, papers, str(tmp_path / "flow"))
+    nodes = spark.read.parquet(str(tmp_path / "flow/nodes"))
+    assert nodes.count() == 46 and nodes.filter("layer IS NULL").count() == 0
+    assert [(r["doc_id"], r["id"]) for r in nodes.filter("has_tool_info").collect()] == [("p", 3)]
+    assert spark.read.parquet(str(tmp_path / "flow/edges")).count() == 23

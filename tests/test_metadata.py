@@ -45,7 +45,11 @@ def test_groups_and_form(tmp_path):
     copied, groups = split_fields(read_fields(tmp_path / "fields.json"))
     assert [f.name for f in copied] == ["d"] and [[f.name for f in g.fields] for g in groups] == [["a", "b"], ["c"]]
     assert groups[0].refs() == ("Sample_a", "Series_b")
-    assert response_format(groups[0]) == '```json\n{\n  "a": str, \\ first Choose from: `x`, `y`\n  "b": int \\ \n}\n```\n'
+    assert json.loads(response_format(groups[0])) == {
+        "type": "object",
+        "properties": {"a": {"type": "string", "description": "first", "enum": ["x", "y"]}, "b": {"type": "integer"}},
+        "required": ["a", "b"],
+    }
     assert split_fields([Field("x"), Field("y", ref=("Sample_y",))])[1][0].refs() is None
 
 

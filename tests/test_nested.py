@@ -56,3 +56,11 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).first()["s"] == 'é "q",\n中'
     with pytest.raises(ValueError):
         write_table(df, str(tmp_path / "x"), "xml")
+
+
+def test_names_that_look_like_types(spark):
+    from samplelake.operators.flatten import typed_json
+
+    df = spark.createDataFrame([('{"AVOID": 3, "VOID": null, "a b": {"OBJECT": "x"}}',)], "j string")
+    row = typed_json(df, "j").first()["j"]
+    assert row["AVOID"] == 3 and row["VOID"] is None and row["a b"]["OBJECT"] == "x"

@@ -43,7 +43,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_scans_read_what_they_need(spark):

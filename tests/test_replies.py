@@ -40,10 +40,22 @@ def test_in_task_reading_agrees(text, want):
         assert read_reply(text) == want
 
 
-def test_action_input(spark):
-    text = '```json\n{"action": "run", "action_input": "line "one"\nline\ttwo"}\n```'
-    row = spark.createDataFrame([(text,)], "t string").select(F.to_json(parse_lenient(F.col("t"))).alias("v")).first()
-    assert json.loads(row["v"]) == {"action": "run", "action_input": 'line "one"\nline\ttwo'}
+def test_replies_that_no_column_can_hold():
+    from samplelake.functions.reply_text import read_reply
+
+    for text in ('{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1e999}', '{"a": {"b": 1, "b": 1}}', "[1]"):
+        with pytest.raises(ValueError):
+            read_reply(text)
+    assert read_reply('{"a": 1.5, "b": {"a": true}}') == {"a": 1.5, "b": {"a": True}}
+
+
+def test_calls_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr("samplelake.operators.infer.TASK_PROMPTS", 20)
+    monkeypatch.setattr("samplelake.operators.infer.RUN_PROMPTS", 200)
+    prompts = spark.range(500).selectExpr("cast(id as string) AS prompt_key", "concat('p', id) AS prompt").coalesce(1)
+    replies = infer(prompts, lambda p: json.dumps({"n": p}))
+    assert replies.count() == 500 and len(replies.inputFiles()) >= 20
+    assert len({f.rsplit("/", 2)[1] for f in replies.inputFiles()}) == 2
 
 
 def test_language_tag_ends_with_the_word(spark):

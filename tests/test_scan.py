@@ -122,7 +122,7 @@ def test_workflow_of_papers(spark, tmp_path):
     papers = spark.createDataFrame([("p", "Quality Control was done.\n\nClustering with x. Normalization too.")], "doc_id string, text string")
     results = extract_workflow(papers, default_tasks(spark), by_keyword, min_words=2).cache()
     assert {r["task_id"]: r["chunk_no"] for r in results.collect()} == {3: 0, 4: 1, 8: 1}
-    write_workflow(default_tasks(spark), results, str(tmp_path / "out"), "json")
+    write_workflow(default_tasks(spark), results, papers, str(tmp_path / "out"), "json")
     nodes = spark.read.json(str(tmp_path / "out" / "nodes"))
     assert nodes.count() == 23 and nodes.filter("has_tool_info").count() == 3
     assert {r["id"]: r["layer"] for r in nodes.filter("id IN (1, 17)").collect()} == {1: 0, 17: 12}

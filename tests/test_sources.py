@@ -129,7 +129,7 @@ def test_peeks(spark, tmp_path):
     peeks = {r["file"].rsplit("/", 1)[1]: (r["lines"], r["total"]) for r in peek_files(spark, folder).collect()}
     assert peeks["a.csv"] == (["h"] + [str(i) for i in range(9)], 21)
     assert peeks["b.tsv.gz"] == (["v" * 100 + "... [30 characters truncated]", "x"], 2)
-    assert "c.txt" not in peeks
+    assert peeks["c.txt"] == ([], 0)
 
 
 @pytest.mark.parametrize("mode,name", [("w", "bundle.tar"), ("w:gz", "bundle.tar.gz")])
@@ -143,6 +143,41 @@ def test_archives(spark, tmp_path, mode, name):
     assert peeks == {"top.csv": (["later"], 1), "in.txt.gz": (["l1", "l2"], 2)}
 
 
+def test_a_cut_archive_does_not_stop_others(spark, tmp_path):
+    import io
+    import tarfile
+
+    def tar(size):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as archive:
+            for name in ("a.txt", "b.txt"):
+                info = tarfile.TarInfo(name)
+                info.size = size
+                archive.addfile(info, io.BytesIO(b"x" * size))
+        return out.getvalue()
+
+    (tmp_path / "good.tar").write_bytes(tar(3000))
+    (tmp_path / "cut.tar").write_bytes(tar(30_000)[:45_000])
+    found = expand_archives(spark, str(tmp_path)).collect()
+    assert sorted(r["member"] for r in found if r["error"] is None) == ["a.txt", "b.txt"]
+    assert [r["archive"].rsplit("/", 1)[-1] for r in found if r["error"] is not None] == ["cut.tar"]
+
+
+def test_peeks_of_empty_files(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    (folder / "none.txt").write_text("")
+    (folder / "some.txt").write_text("x\ny\n")
+    got = {r["file"].rsplit("/", 1)[-1]: (r["lines"], r["total"]) for r in peek_files(spark, str(folder)).collect()}
+    assert got == {"none.txt": ([], 0), "some.txt": (["x", "y"], 2)}
+
+
+def test_a_deep_page(spark):
+    pages = spark.createDataFrame([(1, "<div>" * 3000 + RESULTS), (2, RESULTS)], "page_id bigint, html string")
+    counts = {r["page_id"]: r["count"] for r in extract_records(pages).groupBy("page_id").count().collect()}
+    assert counts[1] == counts[2] > 0
+
+
 def test_sample_type(spark):
     supp = spark.createDataFrame(
         [("s1", "m.mtx.gz"), ("s1", "z_barcodes.tsv"), ("s2", "a.csv"), ("s2", "z.bin"), ("s3", "x.bin"), ("s4", "a.csv"), ("s4", "b.rdata")],
