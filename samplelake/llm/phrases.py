@@ -204,6 +204,6 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         lambda p: p["block"] >= 0,
     )
     dealt = places.select("doc_id", "text", "order", F.explode(copies).alias("p")).select("doc_id", "text", "order", "p.*")
-    parts = max(dealt.sparkSession.sparkContext.defaultParallelism, rows // (10 * BLOCK_ROWS))
+    parts = max(dealt.sparkSession.sparkContext.defaultParallelism, rows // (5 * BLOCK_ROWS))
     ordered = dealt.repartition(parts, "block").sortWithinPartitions("block", "copy", F.desc("order"), "text")
     return ordered.select("block", "copy", "doc_id", "text").mapInArrow(_compare, SCHEMA)
