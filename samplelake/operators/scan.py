@@ -8,16 +8,19 @@ where it was. Documents are independent, so both forms work row by row without a
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplelake.functions.reply_text import read_reply
 from samplelake.functions.text import let
-from samplelake.session import materialise
+from samplelake.session import new_table_path
 
 # The fields of a tool, with the type named in a prompt.
 TOOL_FIELDS = (("tool_name", "str"), ("version", "str"), ("description", "str"), ("parameters", "dict"))
@@ -183,13 +186,16 @@ def scan_tasks(
     chunks: str = "chunks",
     retries: int = 3,
     parallel: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Scan with a model as the test: ``key, task_id, task_name, chunk_no, tool, error``.
 
     ``responder`` is asked per (task, chunk) up to the first hit and again on an unreadable
     reply, ``retries`` times in all; then the task has a row with ``error`` alone, and the
-    scan goes on with the next task where the last hit was. Replies may differ from call to call, so the rows are written once to the
-    shared folder and read back, never computed twice.
+    scan goes on with the next task where the last hit was. Replies may differ from call to
+    call, so the rows are written once to the shared folder and read back, never computed
+    twice. With a ``store``, a document whose text was scanned before for the same tasks, without
+    an error, is not scanned again.
     """
     unknown = [(t.task_id, t.type) for t in tasks if t.type not in FIELDS_BY_TYPE]
     if unknown:
@@ -197,23 +203,55 @@ def scan_tasks(
     plan = tuple(tasks)
     key_type = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, task_id bigint, task_name string, chunk_no int, tool {TOOL_TYPE}, error string"
+    stored_schema = f"{schema}, __mark string, __done boolean"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, texts in zip(batch[key], batch["__texts"]):
-                state = _Scan(responder, retries)
+            for name, mark, texts in zip(batch[key], batch["__mark"], batch["__texts"]):
+                state, failed = _Scan(responder, retries), False
                 for task in plan:
                     try:
                         state.look_for(task, texts)
                     except ValueError as error:
+                        failed = True
                         state.rows.append((task.task_id, task.task_name, None, None, str(error)))
-                rows.extend((name, *row) for row in state.rows)
-            names = [key, "task_id", "task_name", "chunk_no", "tool", "error"]
+                rows.extend((name, *row, mark, False) for row in state.rows)
+                if not failed:
+                    rows.append((name, None, None, None, None, None, mark, True))
+            names = [key, "task_id", "task_name", "chunk_no", "tool", "error", "__mark", "__done"]
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"task_id": "Int64", "chunk_no": "Int32"})
+            yield out.astype({"task_id": "Int64", "chunk_no": "Int32", "__done": "boolean"})
 
     texts = docs.select(key, F.transform(chunks, lambda c: c["text"]).alias("__texts"))
+    # The document, its text and the tasks.
+    whole = F.to_json(F.struct(F.lit(repr(plan)).alias("plan"), F.col(key).alias("key"), F.col("__texts").alias("texts")))
+    texts = texts.withColumn("__mark", F.sha2(whole, 256))
+    spark, kept = docs.sparkSession, None
+    before = _stored(spark, store, stored_schema) if store else None
+    if before is not None:
+        done = before.filter("__done").select("__mark").distinct()
+        known = done.join(texts.select("__mark"), "__mark", "left_semi")
+        kept = before.filter("NOT __done").join(known, "__mark", "left_semi")
+        texts = texts.join(done, "__mark", "left_anti")
     if parallel:
         texts = texts.repartition(parallel)
-    return materialise(texts.mapInPandas(scan, schema), "task-results")
+    path = f"{store}/run={uuid.uuid4().hex}" if store else new_table_path(spark, "task-results")
+    texts.select(key, "__mark", "__texts").mapInPandas(scan, stored_schema).write.parquet(path)
+    fresh = spark.read.schema(stored_schema).parquet(path).filter("NOT __done")
+    every = fresh if kept is None else kept.select(fresh.columns).unionByName(fresh)
+    return every.drop("__mark", "__done")
+
+
+def _stored(spark: SparkSession, store: str, schema: str) -> DataFrame | None:
+    """What earlier runs left in the store; none if there was no run."""
+    try:
+        return spark.read.schema(schema).parquet(f"{store}/run=*").select(*[f"`{n}`" for n in _names(schema)])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _names(schema: str) -> list[str]:
+    return T.StructType.fromDDL(schema).names

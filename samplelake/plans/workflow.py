@@ -45,8 +45,9 @@ def extract_workflow(
     sep: str = BLANK_LINE,
     retries: int = 3,
     parallel: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Task results of all ``papers(key, text)``: chunks of more than ``min_words`` words are
-    scanned for the tasks in visit order."""
+    scanned for the tasks in visit order. A ``store`` keeps what was found for later runs."""
     chunked = with_chunks(papers.select(key, text), text, min_words, sep)
-    return scan_tasks(chunked, visit_plan(tasks), responder, key=key, retries=retries, parallel=parallel)
+    return scan_tasks(chunked, visit_plan(tasks), responder, key=key, retries=retries, parallel=parallel, store=store)

@@ -127,3 +127,23 @@ def test_workflow_of_papers(spark, tmp_path):
     assert nodes.count() == 23 and nodes.filter("has_tool_info").count() == 3
     assert {r["id"]: r["layer"] for r in nodes.filter("id IN (1, 17)").collect()} == {1: 0, 17: 12}
     assert spark.read.json(str(tmp_path / "out" / "edges")).count() == 23
+
+
+def test_a_second_run_asks_nothing(spark, tmp_path):
+    papers = spark.createDataFrame([("p", "Quality Control was done.\n\nClustering with x."), ("q", "Nothing is here.")], "doc_id string, text string")
+    store = str(tmp_path / "store")
+
+    def scan(model, docs):
+        rows = extract_workflow(docs, default_tasks(spark), model, min_words=2, store=store).collect()
+        return sorted((r["doc_id"], r["task_id"], r["chunk_no"], r["error"]) for r in rows)
+
+    def fail(prompt):
+        raise AssertionError("asked again")
+
+    first = scan(by_keyword, papers)
+    assert first and all(error is None for *_, error in first)
+    assert scan(fail, papers) == first
+    more = papers.union(spark.createDataFrame([("r", "Clustering again.")], "doc_id string, text string"))
+    assert {r[0] for r in scan(by_keyword, more)} == {"p", "r"}
+    changed = spark.createDataFrame([("q", "Clustering, after all.")], "doc_id string, text string")
+    assert [r[3] is not None for r in scan(fail, changed)] and [r[0] for r in scan(by_keyword, changed)] == ["q"]
