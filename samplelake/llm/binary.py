@@ -24,7 +24,7 @@ from samplelake.llm.tokens import Encoder, default_path
 
 _HEAD, _SUM, _META = struct.Struct("<II"), struct.Struct("<I"), struct.Struct("<?qB")
 END_MARK = b"\n"
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 
 
 def masked(data: bytes) -> int:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: The id put after each document, and about how many distinct words a worker keeps.
-END_ID, KEPT_WORDS = 0, 500_000
+END_ID, KEPT_WORDS = 0, 650_000
 _LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ɏ", " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words of Latin letters, with one blank before them and apostrophes inside them.
 _WORD = re.compile(f"([{_BLANKS}]?[{_LETTERS}]+(?:'[{_LETTERS}]+)*)")
