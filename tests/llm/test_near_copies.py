@@ -1,0 +1,80 @@
+"""Near copies by similarity against all pairs."""
+
+import random
+from itertools import combinations
+
+import duckdb
+import pytest
+
+from samplelake.llm import resemblance, simhash
+
+
+def _shingles(text):
+    found = (text or "").lower().split()
+    return frozenset(" ".join(found[i : i + 5]) for i in range(max(1, len(found) - 4))) if found else frozenset()
+
+
+def _firsts(pairs):
+    """The first of each component, by trying all pairs, and the number of links."""
+    sets, root, links = {i: _shingles(t) for i, t in pairs}, {i: i for i, _ in pairs}, 0
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or len(x & y) >= 0.8 * len(x | y):
+            links += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {find(k) for k in root}, links
+
+
+def _edited(words, edits, draw):
+    words = list(words)
+    for at in draw.sample(range(len(words)), edits):
+        words[at] = f"x{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("edits", [(0, 4), (2, 6), (5, 30)])
+def test_crowds_and_chains(frame, edits):
+    draw = random.Random(edits[1])
+    bases = [[f"w{draw.randrange(5000)}" for _ in range(200)] for _ in range(4)]
+    pairs = [(i, _edited(bases[i % 4], draw.randint(*edits), draw)) for i in range(240)]
+    chain = [f"c{i}" for i in range(600)]
+    pairs += [(1000 + k, " ".join(chain[k * 10 : k * 10 + 150])) for k in range(40)]
+    pairs += [(2000 + i, t) for i, t in enumerate((None, "", " ", "Few Words", "few\nwords", "few words more"))]
+    want, links = _firsts(pairs)
+    got = [r["doc_id"] for r in simhash.without_near_copies(frame(pairs)).collect()]
+    assert sorted(got) == sorted(want) and links > 40
+
+
+def test_pairs_far_apart_in_bits_are_linked(frame):
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(5000)}" for _ in range(200)]
+    pairs = [(1, " ".join(base)), (2, _edited(base, 4, draw)), (3, _edited(base, 30, draw))]
+    bits = [simhash.fingerprint(t, 5) for _, t in pairs[:2]]
+    assert ((bits[0] ^ bits[1]) % (1 << 64)).bit_count() > 2
+    assert sorted(r["doc_id"] for r in simhash.without_near_copies(frame(pairs)).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_recall_in_the_tables(spark, folder):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall()
+    want, _ = _firsts(docs)
+    got = {r["doc_id"] for r in simhash.without_near_copies(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert got == want
+
+
+def test_share_of_pairs_that_share_a_band():
+    draw, met, most = random.Random(8), 0, 400
+    for _ in range(most):
+        common = [draw.randrange(1 << 64) for _ in range(160)]
+        a, b = ([*common, *(draw.randrange(1 << 64) for _ in range(20))] for _ in range(2))
+        a, b = (resemblance.np.unique(resemblance.np.array(x, "u8")) for x in (a, b))
+        assert resemblance.jaccard(a, b, 0.8) == 0.8
+        met += bool(set(resemblance.bands(a)) & set(resemblance.bands(b)))
+    assert met >= most - 1
