@@ -3,9 +3,8 @@
 Lines are compared without the blanks around them; blank lines are passed over. Every ``GRAM``
 lines in a row are hashed, and of each ``RUN`` lines in a row the smallest of these hashes is
 its fingerprint (the first, of equals). Equal runs have equal fingerprints at equal places, so
-joining fingerprints misses no run of ``RUN`` lines or more, and only one hash in about two is
-joined. From a joined position the match is extended both ways over the runs that hold the
-fingerprint; longer matches are unions of such runs.
+dropping the fingerprints that occur once loses no repeated run of ``RUN`` lines or more. The runs
+that the others stand for are grouped by digest; longer matches are unions of such runs.
 """
 
 from __future__ import annotations
