@@ -58,3 +58,11 @@ def number_rows(
     same = [numbered[c].eqNullSafe(offsets[c]) for c in places]
     joined = numbered.join(offsets, [*same], "inner")
     return joined.select(*[numbered[c] for c in stored.columns], (F.col("__inside") + F.col("__before")).alias(name))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it if the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

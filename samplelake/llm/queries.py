@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplelake.llm import binary, decontam, langid, licenses, lines, packing, phrases, repeats, shards, simhash
+from samplelake.llm import (
+    binary, content_sort, decontam, langid, licenses, lines, packing, phrases, repeats, shards, simhash, simplex,
+)
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
 from samplelake.session import new_table_path
@@ -102,3 +104,60 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_decontamination")
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+COPIES_SQL = """
+WITH normal AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS own FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  sha256(own) AS text_sha256
+FROM normal WINDOW w AS (PARTITION BY own)
+"""
+
+
+@query("op11_exact_dedup", COPIES_SQL)
+def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return content_sort.copies(table(spark, folder, "documents"), keep="largest")
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256) -> str:
+    """The rounds one after the other; every assignment compares all pairs."""
+
+    def nearest(centroids: str) -> str:
+        return f"""
+  SELECT vec_id, own, cluster, distance FROM (
+    SELECT v.vec_id, v.own, c.cluster, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.own[i] - c.own[i]) ** 2))::BIGINT AS distance
+    FROM vectors v CROSS JOIN {centroids} c
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1"""
+
+    parts = [f"""vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS own FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}
+)""", f"""centroids0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, own FROM vectors
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= {k}
+)"""]
+    for i in range(rounds):
+        parts += [f"""found{i} AS ({nearest(f"centroids{i}")}
+)""", f"""means{i} AS (
+  SELECT cluster, list(mean ORDER BY place) AS own FROM (
+    SELECT cluster, place, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS mean
+    FROM (SELECT cluster, unnest(own) AS x, unnest(range({dims})) AS place FROM found{i}) GROUP BY cluster, place
+  ) GROUP BY cluster
+)""", f"""centroids{i + 1} AS (
+  SELECT c.cluster, coalesce(m.own, c.own) AS own FROM centroids{i} c LEFT JOIN means{i} m USING (cluster)
+)"""]
+    parts.append(f"""found AS ({nearest(f"centroids{rounds}")}
+)""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.own, ',')) AS centroid_sha256
+FROM found JOIN centroids{rounds} c USING (cluster)
+"""
+
+
+@query("op12_centroid_clustering", _clusters_sql())
+def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return simplex.with_inertia(*simplex.cluster(table(spark, folder, "embeddings")))
