@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.llm import (
-    binary, content_sort, decontam, langid, licenses, lines, packing, phrases, repeats, shards, simhash, simplex,
+    binary, content_sort, decontam, dialogue, langid, licenses, lines, packing, phrases, repeats, shards, simhash, simplex,
 )
 from samplelake.llm.common import table
 from samplelake.queries.registry import Query, Run
@@ -161,3 +161,110 @@ FROM found JOIN centroids{rounds} c USING (cluster)
 @query("op12_centroid_clustering", _clusters_sql())
 def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return simplex.with_inertia(*simplex.cluster(table(spark, folder, "embeddings")))
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS tab
+),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+),
+dealt AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(
+    list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS kind
+  FROM keyed, crc
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM dealt, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS num,
+    rtrim(text, E' \t\n\x0B\x0C\r') AS own
+  FROM damaged
+),
+marked AS (
+  SELECT *, CASE WHEN own = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY num) > 1 THEN 'duplicate'
+      WHEN right(own, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY num) AS following
+  FROM placed
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (following IS NOT NULL AND role[1] || following[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+),
+-- The best way so far into each state: nothing, after a system, a user, an assistant turn.
+ways AS (
+  SELECT conv_id, n, 0::BIGINT AS num, [
+    {'c': 0::BIGINT, 'a': '', 't': ''}, NULL,
+    {'c': 5::BIGINT, 'a': 'I', 't': E'user:\n'}, {'c': 10::BIGINT, 'a': 'II', 't': E'user:\nassistant:\n'}
+  ] AS w
+  FROM counts
+  UNION ALL
+  SELECT conv_id, n, num, [
+    b[1], b[2],
+    list_min(list_filter([
+      b[3], CASE WHEN b[1] IS NOT NULL THEN {'c': b[1].c + 5, 'a': b[1].a || 'I', 't': b[1].t || E'user:\n'} END,
+      CASE WHEN b[2] IS NOT NULL THEN {'c': b[2].c + 5, 'a': b[2].a || 'I', 't': b[2].t || E'user:\n'} END,
+      CASE WHEN b[4] IS NOT NULL THEN {'c': b[4].c + 5, 'a': b[4].a || 'I', 't': b[4].t || E'user:\n'} END
+    ], lambda x: x IS NOT NULL)),
+    list_min(list_filter([
+      b[4], CASE WHEN b[3] IS NOT NULL THEN {'c': b[3].c + 5, 'a': b[3].a || 'I', 't': b[3].t || E'assistant:\n'} END,
+      CASE WHEN b[1] IS NOT NULL THEN {'c': b[1].c + 10, 'a': b[1].a || 'II', 't': b[1].t || E'user:\nassistant:\n'} END,
+      CASE WHEN b[2] IS NOT NULL THEN {'c': b[2].c + 10, 'a': b[2].a || 'II', 't': b[2].t || E'user:\nassistant:\n'} END
+    ], lambda x: x IS NOT NULL))
+  ] AS w
+  FROM (
+    SELECT y.conv_id, y.n, m.num, [
+      list_min(list_filter([{'c': w[1].c + 2, 'a': w[1].a || 'D', 't': w[1].t}], lambda x: x.c IS NOT NULL)),
+      list_min(list_filter([
+        {'c': w[2].c + 2, 'a': w[2].a || 'D', 't': w[2].t},
+        CASE WHEN stays AND role[1] = 's' THEN {'c': w[1].c + more, 'a': w[1].a || 'K', 't': w[1].t || line} END
+      ], lambda x: x.c IS NOT NULL)),
+      list_min(list_filter([
+        {'c': w[3].c + 2, 'a': w[3].a || 'D', 't': w[3].t},
+        CASE WHEN stays AND role[1] = 'u' THEN {'c': w[1].c + more, 'a': w[1].a || 'K', 't': w[1].t || line} END,
+        CASE WHEN stays AND role[1] = 'u' THEN {'c': w[2].c + more, 'a': w[2].a || 'K', 't': w[2].t || line} END,
+        CASE WHEN stays AND role[1] = 'u' THEN {'c': w[4].c + more, 'a': w[4].a || 'K', 't': w[4].t || line} END,
+        CASE WHEN stays THEN {'c': w[1].c + more + 1, 'a': w[1].a || 'R', 't': w[1].t || 'user:' || text || E'\n'} END,
+        CASE WHEN stays THEN {'c': w[2].c + more + 1, 'a': w[2].a || 'R', 't': w[2].t || 'user:' || text || E'\n'} END,
+        CASE WHEN stays THEN {'c': w[4].c + more + 1, 'a': w[4].a || 'R', 't': w[4].t || 'user:' || text || E'\n'} END
+      ], lambda x: x.c IS NOT NULL)),
+      list_min(list_filter([
+        {'c': w[4].c + 2, 'a': w[4].a || 'D', 't': w[4].t},
+        CASE WHEN stays AND role[1] = 'a' THEN {'c': w[3].c + more, 'a': w[3].a || 'K', 't': w[3].t || line} END,
+        CASE WHEN stays THEN {'c': w[3].c + more + 1, 'a': w[3].a || 'R', 't': w[3].t || 'assistant:' || text || E'\n'} END
+      ], lambda x: x.c IS NOT NULL))
+    ] AS b
+    FROM ways y JOIN (
+      SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more,
+        role || ':' || text || E'\n' AS line
+      FROM marked
+    ) m ON y.conv_id IS NOT DISTINCT FROM m.conv_id AND m.num = y.num + 1
+  )
+),
+best AS (
+  SELECT conv_id, list_min(list_filter([w[1], w[4]], lambda x: x IS NOT NULL)) AS b FROM ways WHERE num = n
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit,
+  sha256(CASE WHEN coalesce(b.t, '') = '' THEN '' ELSE b.t[1:length(b.t) - 1] END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON i.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON i.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.repair_damaged(table(spark, folder, "conversations"))
