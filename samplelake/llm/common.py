@@ -66,3 +66,20 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text``: all columns but the text as one, so that no name inside it can
+    clash with those of an operator; the id as a number and the text as a string."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(
+        F.struct(*rest).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from ``row`` and ``text``."""
+    kinds = dict(like.dtypes)
+    return df.select(*[
+        (F.col("text") if c == "text" else F.col("row").getField(c)).cast(kinds[c]).alias(c) for c in like.columns
+    ])

@@ -19,8 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplelake.llm import resemblance
-from samplelake.llm.common import id_and_text, map_batches
+from samplelake.llm.common import id_and_text, map_batches, packed, unpacked
 from samplelake.llm.components import components
 from samplelake.operators.joins import join_dim
 from samplelake.session import materialise
@@ -124,28 +123,11 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     )
 
 
-def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = resemblance.SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the first of their component; of
-    rows that repeat id and text, one stays.
-
-    Rows are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or more,
-    whatever the distance of their fingerprints, which at 0.8 is up to 17 bits and more. Texts
-    without words are linked with each other.
-    """
-    keyed = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)),
-        "__text_hash": F.xxhash64(F.col("text").cast("string")),
-    })
-    own = keyed.select(F.col("__id").alias("id"), F.col("__text_hash").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    stored = materialise(resemblance.file(own, words), "shingles")
-    place = F.min(F.struct("id", "text_hash", "size", "keys")).alias("first")
-    nodes = materialise(stored.groupBy("node").agg(place).select("node", "first.*"), "distinct-shingles")
-    # Rows that repeat id and text have one node, so one text stands for it.
-    texts = nodes.join(own, ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
-    roots = resemblance.roots(nodes, texts, words, similarity)
-    place = F.struct("id", "text_hash").alias("first")
-    placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), place)
-    first = placed.groupBy("root").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__text_hash")).distinct()
-    kept = keyed.join(first, ["__id", "__text_hash"], "left_semi")
-    return kept.dropDuplicates(["__id", "__text_hash"]).select(*docs.columns)
+def without_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component, by id
+    and then a hash of the text; of rows that repeat id and text any one. Null ids come last."""
+    stored, every = _components(docs, words)
+    first = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text_hash")
+    kept = join_dim(stored, every, "bits").filter(F.col("first") == first).select("first.id", "first.text_hash").distinct()
+    keyed = packed(docs).withColumns({"id": F.coalesce("doc_id", F.lit(LAST)), "text_hash": F.xxhash64("text")})
+    return unpacked(keyed.join(kept, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]), docs)
