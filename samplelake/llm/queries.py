@@ -71,14 +71,41 @@ WITH lines AS (
   SELECT doc_id, u.pos - 1 AS pos, u.line, trim(u.line, E' \t\r\f\v') AS own
   FROM documents, UNNEST(string_split(text, E'\n')) WITH ORDINALITY AS u(line, pos)
 ),
-runs AS (
-  SELECT doc_id, pos, lead(pos, 2) OVER w AS stop, own || E'\n' || lead(own) OVER w || E'\n' || lead(own, 2) OVER w AS run
-  FROM lines WHERE own <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+owned AS (
+  SELECT doc_id, pos, own, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k,
+    len(string_split_regex(own, '[ \t\r\f\v]+')) AS words
+  FROM lines WHERE own <> ''
 ),
-later AS (
-  SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n FROM runs WHERE run IS NOT NULL
+around AS (
+  SELECT *, lag(own) OVER w AS before1, lag(own, 2) OVER w AS before2, lead(own) OVER w AS after1, lead(own, 2) OVER w AS after2,
+    lead(own, 3) OVER w AS after3, lead(own, 4) OVER w AS after4, lead(words) OVER w AS more
+  FROM owned WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+),
+sized AS (
+  SELECT *, CASE WHEN words >= 20 THEN 1 WHEN words + more >= 20 THEN 2 WHEN after2 IS NOT NULL THEN 3 END AS size FROM around
+),
+windows AS (
+  SELECT doc_id, k, size, before1, before2,
+    CASE size WHEN 1 THEN own WHEN 2 THEN own || E'\n' || after1 ELSE own || E'\n' || after1 || E'\n' || after2 END AS win,
+    CASE size WHEN 1 THEN after1 WHEN 2 THEN after2 ELSE after3 END AS next1,
+    CASE size WHEN 1 THEN after2 WHEN 2 THEN after3 ELSE after4 END AS next2
+  FROM sized WHERE size IS NOT NULL
+),
+met AS (
+  SELECT *, row_number() OVER w AS n, first_value(before1) OVER w AS b1, first_value(before2) OVER w AS b2,
+    first_value(next1) OVER w AS n1, first_value(next2) OVER w AS n2
+  FROM windows WINDOW w AS (PARTITION BY win ORDER BY doc_id, k)
+),
+spans AS (
+  SELECT doc_id,
+    k - CASE WHEN before1 = b1 AND before2 = b2 THEN 2 WHEN before1 = b1 THEN 1 ELSE 0 END AS a,
+    k + size - 1 + CASE WHEN next1 = n1 AND next2 = n2 THEN 2 WHEN next1 = n1 THEN 1 ELSE 0 END AS b
+  FROM met WHERE n > 1
+),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(x.pos, y.pos + 1)) AS pos
+  FROM spans s JOIN owned x USING (doc_id) JOIN owned y USING (doc_id) WHERE x.k = s.a AND y.k = s.b
 ),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, stop + 1)) AS pos FROM later WHERE n > 1),
 marked AS (
   SELECT l.*, g.pos IS NOT NULL AS gone FROM lines l LEFT JOIN gone g USING (doc_id, pos)
 ),
@@ -96,9 +123,7 @@ UNION ALL SELECT doc_id, NULL, 0, 0, 0 FROM documents WHERE text IS NULL
 @query("op9_line_dedup", LINES_SQL)
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return lines.without_repeats(docs).select(
-        "doc_id", "text", *[F.col(f"__{name}").alias(name) for name in ("n_lines", "n_removed", "n_runs")]
-    )
+    return lines.edited(docs).select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed", "n_runs")
 
 
 @query("op10_decontamination")
