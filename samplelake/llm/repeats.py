@@ -7,23 +7,29 @@ has about one per 32 bytes.
 
 Stretches that are equal as a whole are counted once: all but the first repeat it. Where stretches
 around one anchor differ, the first of each kind are compared in part, by the Burrows-Wheeler
-transform of the bytes of many such anchors together. Anchors that a sample shows in very many
-stretches are spread over tasks, and their strings compared one by one by their hashes.
+transform of the bytes of many such anchors together. Where those around one anchor are more
+than a transform may hold, they are cut by where the anchor is in a string, into blocks of 32
+places, then 16 and so on; all strings of a block share some bytes around the anchor, and only
+stretches that agree in them stay together. Blocks that are equal as a whole are counted once
+again, those that agree with no other are done, and those that are few enough by now go to the
+transform. A block of one place holds one string, so at the latest there nothing is left over.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplelake.llm.bwt import later_copies
 from samplelake.llm.common import id_and_text, map_batches
+from samplelake.operators.joins import join_dim
 from samplelake.session import materialise
 
 LENGTH, GRAM = 100, 32
@@ -32,12 +38,12 @@ WIDTH = LENGTH - GRAM + 1
 CHUNK, BATCH = 1 << 16, 1 << 19
 #: Longer texts are taken in parts that overlap by a string less one byte.
 PART = 1 << 22
-#: An anchor is common if it has over one ``COMMON``-th of a sample's stretches, so fewer are,
-#: and more than ``LEAST``.
-COMMON, LEAST, SAMPLE = 4000, 50, 0.02
-#: Starts and counts of strings are kept in one number.
-SHIFT = 7
+#: The start of a stretch, where its first string has the anchor, and how many strings it has are
+#: kept in one number.
+SHIFT, BITS = 14, 7
 MARK, ASK, ASK_ONE = 0, 1, 2
+#: An anchor of more stretches than this, or than so many for each task, is spread over tasks.
+COMMON, COMMON_PER_TASK = 1 << 20, 16
 KINDS = "kind tinyint, anchor bigint, id bigint, place bigint"
 
 
@@ -62,9 +68,9 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return np.maximum(value * np.uint32(0xC2B2AE3D), np.uint32(1))
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts of ``LENGTH`` bytes or more: per stretch the text it is in, its anchor, the
-    start of its first string and of its last."""
+    start of its first string and of its last, and the hash that has made it the anchor."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(sizes)
@@ -88,7 +94,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     # A gram as small as one before it is passed over if a smaller one follows soon enough.
     high = np.minimum.accumulate(following[::-1])[::-1] - 1
     some = high >= low
-    return text[some], anchor[some] - begin[some], low[some] - begin[some], high[some] - begin[some]
+    return text[some], anchor[some] - begin[some], low[some] - begin[some], high[some] - begin[some], grams[anchor[some]]
 
 
 def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
@@ -108,19 +114,20 @@ class _Stretches:
         self.common = common
 
     def __call__(self, batch: pa.RecordBatch) -> dict:
-        ids, hashes, contents, places = [], [], [], []
+        ids, hashes, contents, places, grams = [], [], [], [], []
         texts, own, base = [], [], []
 
         def flush() -> None:
             if not texts:
                 return
-            text, anchor, low, high = stretches(texts)
+            text, anchor, low, high, gram = stretches(texts)
             for t, a, x, y in zip(text.tolist(), anchor.tolist(), low.tolist(), high.tolist(), strict=True):
                 data = texts[t]
                 hashes.append(xxhash.xxh3_64_intdigest(data[a : a + GRAM]))
                 contents.append(xxhash.xxh3_64_intdigest(data[x : y + LENGTH]))
             ids.append(np.array(own, np.int64)[text])
-            places.append(low + np.array(base, np.int64)[text] << SHIFT | (high - low + 1))
+            places.append(low + np.array(base, np.int64)[text] << SHIFT | anchor - low << BITS | (high - low + 1))
+            grams.append(gram)
             for some in (texts, own, base):
                 some.clear()
 
@@ -141,12 +148,12 @@ class _Stretches:
         anchor, content = np.array(hashes, np.uint64).view(np.int64), np.array(contents, np.uint64).view(np.int64)
         own_id, place = np.concatenate(ids), np.concatenate(places)
         by = np.lexsort((place, own_id, content, anchor))
-        anchor, content, own_id, place = anchor[by], content[by], own_id[by], place[by]
+        anchor, content, own_id, place, gram = anchor[by], content[by], own_id[by], place[by], np.concatenate(grams)[by]
         new = _first_of_runs(anchor, content)
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         other = (own_id != own_id[lead]) | (place != place[lead])
         kept = new | other
-        kind = np.where(new, np.where(np.isin(anchor, self.common), ASK_ONE, ASK), MARK)
+        kind = np.where(new, np.where(np.isin(gram, self.common), ASK_ONE, ASK), MARK)
         return self._rows(*(x[kept] for x in (kind, anchor, content, own_id, place)))
 
     @staticmethod
@@ -206,7 +213,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by anchor; those of an anchor are compared in one transform."""
+    """Stretches sorted by group; those of a group are compared in one transform."""
     strings: list[bytes] = []
     ids: list[int] = []
     starts: list[int] = []
@@ -218,7 +225,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _runs(own, at)
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("anchor", "id", "start", "bytes"))
+        columns = (batch.column(c).to_pylist() for c in ("group", "id", "start", "bytes"))
         for key, own_id, start, data in zip(*columns, strict=True):
             if key != anchor and size >= BATCH:
                 yield done()
@@ -238,35 +245,54 @@ def _runs(own: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     own, at = own[by], at[by]
     new = _first_of_runs(own, at - np.arange(len(at)))
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(at) else at
-    new |= (np.arange(len(at)) - head) % (1 << SHIFT - 1) == 0
+    new |= (np.arange(len(at)) - head) % (1 << BITS - 1) == 0
     begin = np.flatnonzero(new)
     count = np.diff(np.concatenate((begin, [len(at)])))
     return pa.RecordBatch.from_pydict({"id": own[begin], "place": at[begin] << SHIFT | count})
 
 
+_CUT = "group bigint, id bigint, start bigint, lead int, bytes binary"
+_CUT_TYPES = {"group": pa.int64(), "id": pa.int64(), "start": pa.int64(), "lead": pa.int32(), "bytes": pa.binary()}
+
+
+def _columns(rows: list[tuple], types: dict) -> dict:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return {name: pa.array(c, kind) for (name, kind), c in zip(types.items(), columns, strict=True)}
+
+
 def _cut(batch: pa.RecordBatch) -> dict:
-    """The bytes of the stretches that are asked about."""
-    out: dict[str, list] = {"kind": [], "anchor": [], "id": [], "start": [], "bytes": []}
+    """The bytes of the stretches that are asked about, and the place of the anchor in them."""
+    rows = []
     for key, text, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "asked")), strict=True):
         data = text.encode("utf-8", "surrogatepass")
         for ask in asked:
-            start, count = ask["place"] >> SHIFT, ask["place"] & (1 << SHIFT) - 1
-            row = (ask["kind"], ask["anchor"], key, start, data[start : start + count - 1 + LENGTH])
-            for column, value in zip(out.values(), row, strict=True):
-                column.append(value)
-    types = {"kind": pa.int8(), "anchor": pa.int64(), "id": pa.int64(), "start": pa.int64(), "bytes": pa.binary()}
-    return {name: pa.array(out[name], kind) for name, kind in types.items()}
-
-
-def _one_by_one(batch: pa.RecordBatch) -> dict:
-    """Digests of all strings of the stretches."""
-    digests, ids, starts = [], [], []
-    for key, start, data in zip(*(batch.column(c).to_pylist() for c in ("id", "start", "bytes")), strict=True):
-        for i in range(len(data) - LENGTH + 1):
-            digests.append(xxhash.xxh3_128_digest(data[i : i + LENGTH]))
-            ids.append(key)
-            starts.append(start + i)
-    return {"digest": pa.array(digests, pa.binary()), "id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64())}
+            start, lead, count = _unpacked(ask["place"])
+            rows.append((ask["anchor"], key, start, lead, data[start : start + count - 1 + LENGTH]))
+    return _columns(rows, _CUT_TYPES)
+
+
+def _unpacked(place: int) -> tuple[int, int, int]:
+    return place >> SHIFT, place >> BITS & (1 << BITS) - 1, place & (1 << BITS) - 1
+
+
+def _blocks(batch: pa.RecordBatch, width: int) -> dict:
+    """Stretches cut into blocks of ``width`` places of the anchor. The group tells the block and
+    the bytes that all strings of such a block have around the anchor, ``whole`` all bytes."""
+    rows = []
+    for group, key, start, lead, data in zip(*(batch.column(c).to_pylist() for c in _CUT_TYPES), strict=True):
+        last = lead - (len(data) - LENGTH)
+        for block in range(last // width, lead // width + 1):
+            low, high = block * width, min((block + 1) * width, WIDTH) - 1
+            first, stop = min(lead, high), max(last, low)
+            at = lead - first
+            own = data[at : at + first - stop + LENGTH]
+            core = data[lead - low : lead + GRAM + WIDTH - 1 - high]
+            named = struct.pack("<qBB", group, width, block) + core
+            rows.append((
+                xxhash.xxh3_64_intdigest(named) - (1 << 63), key, start + at, first, own,
+                xxhash.xxh3_64_intdigest(struct.pack("<BB", first, stop) + own) - (1 << 63),
+            ))
+    return _columns(rows, _CUT_TYPES | {"whole": pa.int64()})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -284,41 +310,91 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return hashed.join(keys, same).select(keys["id"], hashed["doc_id"], hashed["text"])
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    """Anchors with a large share of a sample's stretches. They are only dealt otherwise."""
-    sampled = docs.filter(F.pmod(F.xxhash64("id"), F.lit(10_000)) < int(10_000 * SAMPLE))
-    schema = "kind tinyint, anchor bigint, content bigint, id bigint, place bigint"
-    anchors = map_batches(sampled, _Stretches(np.array([], np.int64)), schema).filter(f"kind <> {MARK}")
-    counts = materialise(anchors.groupBy("anchor").agg(F.count("*").alias("n")), "anchors")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return np.array([r["anchor"] for r in counts.filter(F.col("n") > max(LEAST, total // COMMON)).collect()], np.int64)
-
-
-def marks(docs: DataFrame) -> DataFrame:
-    """``id, place`` of the strings of ``docs(id, text)`` that also start earlier."""
+def _strings(start: str, count: Column) -> Column:
+    """Some strings in a row, as a place."""
+    return F.col(start) * (1 << SHIFT) + count
+
+
+def _in_groups(cut: DataFrame, most: int) -> Iterator[DataFrame]:
+    """``id, place`` of strings that also start earlier in the same group of stored stretches."""
+    width = 1 << (WIDTH - 1).bit_length() - 1
+    while True:
+        sizes = cut.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("size")).filter("n > 1").drop("n")
+        sizes = materialise(sizes, "group-sizes")
+        few = join_dim(cut, sizes.filter(F.col("size") <= most).select("group"), "group", "left_semi")
+        few = few.repartition("group").sortWithinPartitions("group")
+        yield few.select("group", "id", "start", "bytes").mapInArrow(_compare, "id bigint, place bigint")
+        large = materialise(sizes.filter(F.col("size") > most).select("group"), "large-groups")
+        if not width or not large.limit(1).count():
+            return
+        many = join_dim(cut, large, "group", "left_semi", stored=True)
+        step = width
+        blocks = materialise(map_batches(many, lambda batch, step=step: _blocks(batch, step), _CUT + ", whole bigint"), "blocks")
+        spot = F.struct("id", "start")
+        first = blocks.groupBy("group", "whole").agg(F.min(spot).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        met = materialise(join_dim(blocks, first, ["group", "whole"]), "equal-blocks")
+        again = F.coalesce(spot != F.col("first"), F.lit(False))
+        yield met.filter(again).select("id", _strings("start", F.octet_length("bytes") - LENGTH + 1).alias("place"))
+        cut = met.filter(~again).select(*_CUT_TYPES)
+        width //= 2
+
+
+def _common(docs: DataFrame, most: int, per_task: int) -> np.ndarray:
+    """The hashes of anchors of more than ``most`` stretches, or ``per_task`` for each task, whichever is more.
+
+    Each task counts all its anchors and tells those that may matter: if it told none of fewer
+    than half its share, the anchors looked for would still be told in half their places.
+    """
+    tasks = docs.rdd.getNumPartitions()
+    bound = max(most, per_task * tasks)
+    least = max(1, bound // (2 * max(1, tasks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, counts = np.array([], np.uint32), np.array([], np.int64)
+        for batch in batches:
+            for some in _few(batch.column("text")):
+                own, n = np.unique(stretches(some)[4], return_counts=True)
+                found, at = np.unique(np.concatenate((found, own)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
+        often = counts >= least
+        yield pa.RecordBatch.from_pydict({"gram": found[often].astype(np.int64), "n": counts[often]})
+
+    told = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.array([r["gram"] for r in told.filter(F.col("n") > bound // 2).collect()], np.uint32)
+
+
+def _few(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts' parts that are long enough, some at a time."""
+    some, size = [], 0
+    for text in texts:
+        data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        for at in range(0, len(data) - LENGTH + 1, PART):
+            some.append(data[at : at + PART + LENGTH - 1])
+            size += len(some[-1])
+            if size >= CHUNK:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def marks(docs: DataFrame, most: int = BATCH, common: int = COMMON, per_task: int = COMMON_PER_TASK) -> DataFrame:
+    """``id, place`` of the strings of ``docs(id, text)`` that also start earlier. Groups of up to
+    ``most`` bytes are compared in one transform."""
     schema = "kind tinyint, anchor bigint, content bigint, id bigint, place bigint"
     own = docs.select("id", "text")
-    rows = map_batches(own, _Stretches(_common(own)), schema)
-    # Marks only pass through; strings of common anchors are spread by their contents.
-    spot = F.when(F.col("kind") == MARK, F.col("id")).when(F.col("kind") == ASK_ONE, F.pmod("content", F.lit(256)))
+    rows = map_batches(own, _Stretches(_common(own, common, per_task)), schema)
+    # Marks only pass through; stretches of common anchors are spread by their contents.
+    spot = F.when(F.col("kind") == MARK, F.col("id")).when(F.col("kind") == ASK_ONE, F.col("content"))
     dealt = rows.withColumn("spot", F.coalesce(spot, F.lit(0))).repartition("anchor", "spot").drop("spot")
     sorted_rows = dealt.sortWithinPartitions("anchor", "content", "id", "place")
     found = materialise(sorted_rows.mapInArrow(_resolve, KINDS), "stretches")
-    asked = found.filter(F.col("kind") != MARK).groupBy("id").agg(
-        F.collect_list(F.struct("kind", "anchor", "place")).alias("asked")
-    )
-    cut = materialise(map_batches(
-        own.join(asked, "id"), _cut, "kind tinyint, anchor bigint, id bigint, start bigint, bytes binary"
-    ), "asked-stretches")
-    few = cut.filter(F.col("kind") == ASK).repartition("anchor").sortWithinPartitions("anchor")
-    partly = few.select("anchor", "id", "start", "bytes").mapInArrow(_compare, "id bigint, place bigint")
-    ones = materialise(map_batches(
-        cut.filter(F.col("kind") == ASK_ONE), _one_by_one, "digest binary, id bigint, start bigint"
-    ), "common-strings")
-    first = ones.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = ones.join(first, "digest").filter(F.struct("id", "start") != F.col("first"))
-    singly = again.select("id", (F.col("start") * (1 << SHIFT) + 1).alias("place")).distinct()
-    return found.filter(F.col("kind") == MARK).select("id", "place").unionByName(partly).unionByName(singly)
+    asked = found.filter(F.col("kind") != MARK).groupBy("id").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
+    cut = materialise(map_batches(own.join(asked, "id"), _cut, _CUT), "asked-stretches")
+    every = found.filter(F.col("kind") == MARK).select("id", "place")
+    for more in _in_groups(cut, most):
+        every = every.unionByName(more)
+    return every
 
 
 def _remove(batch: pa.RecordBatch) -> dict:
@@ -331,7 +407,7 @@ def _remove(batch: pa.RecordBatch) -> dict:
             edges = np.zeros(len(data) + 1, np.int32)
             start = place >> SHIFT
             np.add.at(edges, start, 1)
-            np.add.at(edges, start + (place & (1 << SHIFT) - 1) - 1 + LENGTH, -1)
+            np.add.at(edges, start + (place & (1 << BITS) - 1) - 1 + LENGTH, -1)
             covered = np.cumsum(edges[:-1]) > 0
         spans = int((covered[1:] & ~covered[:-1]).sum()) + int(covered[:1].sum())
         row = (doc_id.as_py(), len(data), int(covered.sum()), spans, hashlib.sha256(data[~covered].tobytes()).hexdigest())
@@ -344,7 +420,7 @@ def _remove(batch: pa.RecordBatch) -> dict:
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, most: int = BATCH, **bounds: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row: what is left without
     the bytes of strings of ``LENGTH`` bytes that also start earlier, in a document with a
     smaller id or earlier in the same one.
@@ -354,5 +430,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     their texts. An empty table gives no rows.
     """
     keyed = _keyed(docs)
-    places = marks(keyed).groupBy("id").agg(F.collect_list("place").alias("places"))
+    places = marks(keyed, most, **bounds).groupBy("id").agg(F.collect_list("place").alias("places"))
     return map_batches(keyed.join(places, "id", "left").select("doc_id", "text", "places"), _remove, SCHEMA)
