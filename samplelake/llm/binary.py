@@ -5,11 +5,13 @@ the payload (u32), end mark (one line feed). The payload is: whether there is a
 (u8), the id (i64), the byte width of a token (u8), and the tokens. Everything is little-endian.
 Checksums are CRC-32, rotated and moved by a constant, so that records that hold checksums have
 sound ones themselves. Files are numbered in the order of document ids. Spark's text writer
-writes the records as they are, so files appear only when their task has succeeded.
+writes the records as they are, so files appear only when their task has succeeded. The task
+that writes a file also writes the part of the index that tells its offsets, next to it.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from samplelake.llm.common import id_and_text, map_batches
+from samplelake.llm.common import SLICE_ROWS, id_and_text, map_batches
 from samplelake.llm.tokens import Encoder, default_path
+from samplelake.sources.files import plain_path
 
 _HEAD, _SUM, _META = struct.Struct("<II"), struct.Struct("<I"), struct.Struct("<?qB")
 END_MARK = b"\n"
 FILE_BYTES = 16 << 20
+RECORDS, INDEX_LINES = "records", "index"
 
 
 def masked(data: bytes) -> int:
@@ -65,8 +69,8 @@ def read_payload(payload: memoryview) -> tuple[int | None, np.ndarray]:
 
 
 def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, file_bytes: int = FILE_BYTES) -> None:
-    """Write the ids of every whole text to ``folder``/records, by ascending document id, and
-    the index to ``folder``/index: ``file, file_number, offset, size, doc_id, n_tokens``.
+    """Write the ids of every whole text to files in ``folder``, by ascending document id, and
+    the index (``read_index``) beside them.
 
     A null or empty text is the end id alone. Null ids come first; rows that share an id are
     ordered by their text. An empty table gives no records.
@@ -78,36 +82,57 @@ def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, file_byt
     files = max(2 * spark.sparkContext.defaultParallelism, size // file_bytes)
     ordered = some.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
-    def work(batch: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        width = encoder.type.itemsize
-        rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-        frames = [frame(payload_of(doc_id, encoder.encode(text), width)) for doc_id, text in rows]
-        return {"record": pa.array(frames, pa.binary())}
-
-    records = map_batches(ordered, work, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", END_MARK.decode()).text(f"{folder}/records")
-    _scan(_contents(spark, folder), with_sums=False).write.parquet(f"{folder}/index")
+        width, offset = encoder.type.itemsize, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                lines, told = [], []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    ids = encoder.encode(text)
+                    lines.append(frame(payload_of(doc_id, ids, width)))
+                    size = len(lines[-1]) + len(END_MARK)
+                    told.append(json.dumps({"offset": offset, "size": size, "doc_id": doc_id, "n_tokens": len(ids) // width}).encode())
+                    offset += size
+                kinds = [RECORDS] * len(lines) + [INDEX_LINES] * len(told)
+                yield pa.RecordBatch.from_pydict({"kind": kinds, "line": pa.array(lines + told, pa.binary())})
+
+    records = ordered.mapInArrow(run, "kind string, line binary").select("kind", F.col("line").cast("string").alias("line"))
+    _write_beside(records, folder)
+
+
+def _write_beside(rows: DataFrame, folder: str) -> None:
+    """Each kind of row to a folder of its own, in the order of the task; a sort by kind, which the
+    writer does without this setting, would not keep that order."""
+    spark, name = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, 2)
+    try:
+        rows.write.option("lineSep", END_MARK.decode()).partitionBy("kind").text(folder)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/records").select(
-        F.col("path").alias("file"), "content"
-    )
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    # Without any record there is no folder of a kind.
+    some = found.filter(F.col("kind") == RECORDS) if "kind" in found.columns else found
+    return some.select(plain_path(F.col("path")).alias("file"), "content")
 
 
 def _file_number(file: Column) -> Column:
     return F.regexp_extract(file, r"part-(\d+)", 1).cast("int")
 
 
+_LINES = "offset bigint, size bigint, doc_id bigint, n_tokens bigint"
 INDEX = "file string, file_number int, offset bigint, size bigint, doc_id bigint, n_tokens bigint"
 
 
-def _record(content: bytes, offset: int, with_sums: bool) -> tuple:
+def _record(content: bytes, offset: int) -> tuple:
     payload, after = read_frame(content, offset)
     doc_id, ids = read_payload(payload)
-    sums = (zlib.crc32(ids.astype("<u4").tobytes()),) if with_sums else ()
-    return (offset, after - offset, doc_id, len(ids), *sums)
+    return offset, after - offset, doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def _columns(rows: list[tuple], names: tuple[str, ...]) -> dict:
@@ -116,14 +141,14 @@ def _columns(rows: list[tuple], names: tuple[str, ...]) -> dict:
             for name, c in zip(names, columns, strict=True)}
 
 
-def _scan(contents: DataFrame, with_sums: bool) -> DataFrame:
+def _scan(contents: DataFrame) -> DataFrame:
     """Every record of the files in turn, checked."""
-    names = ("file", "file_number", "offset", "size", "doc_id", "n_tokens") + ("ids_crc32",) * with_sums
+    names = ("file", "file_number", "offset", "size", "doc_id", "n_tokens", "ids_crc32")
 
     def records(content: bytes) -> Iterator[tuple]:
         offset = 0
         while offset < len(content):
-            row = _record(content, offset, with_sums)
+            row = _record(content, offset)
             yield row
             offset += row[1]
 
@@ -134,17 +159,23 @@ def _scan(contents: DataFrame, with_sums: bool) -> DataFrame:
         return _columns(rows, names)
 
     numbered = contents.withColumn("file_number", _file_number(F.col("file")))
-    return map_batches(numbered, work, INDEX + ", ids_crc32 bigint" * with_sums)
+    return map_batches(numbered, work, f"{INDEX}, ids_crc32 bigint")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(INDEX).parquet(f"{folder}/index")
+    """``file, file_number, offset, size, doc_id, n_tokens`` of every record."""
+    lines = spark.read.schema(f"{_LINES}, kind string").json(folder).filter(F.col("kind") == INDEX_LINES).select(
+        # A file of records and the part of the index that tells of it have the same name.
+        F.replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), F.lit(f"/kind={INDEX_LINES}/"), F.lit(f"/kind={RECORDS}/")).alias("path"),
+        "offset", "size", "doc_id", "n_tokens",
+    )
+    return lines.select(plain_path(F.col("path")).alias("file"), _file_number(F.col("path")).alias("file_number"), *lines.columns[1:])
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """All records in turn, with ``start``, the number of ids in the records before, and
     ``ids_crc32``, over the ids as 32-bit integers."""
-    rows = _scan(_contents(spark, folder), with_sums=True)
+    rows = _scan(_contents(spark, folder))
     totals = read_index(spark, folder).groupBy("file_number").agg(F.sum("n_tokens").alias("n"))
     # One row per file.
     earlier = Window.orderBy("file_number").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,6 +16,8 @@ _WORD = re.compile(f"([{_BLANKS}]?[{_LETTERS}]+(?:'[{_LETTERS}]+)*)")
 #: Letters and numbers of other kinds may go on with such a word, and an apostrophe that starts
 #: a word may belong to what is before it.
 _OTHER, _BEFORE = re.compile(f"[^\\W\\d_{_LETTERS}]"), re.compile(f"(?:[^{_LETTERS}]|\\A)'[{_LETTERS}]")
+#: Words that may follow each other in one call, as each starts a new word of the tokenizer.
+_CHAINED, CHAIN = re.compile(f" [{_LETTERS}]+"), 256
 #: Texts with such letters are cut before each space, but for spaces inside longer blanks.
 _INNER_SPACE = re.compile(f"[{_BLANKS}] (?:[{_BLANKS}]|\\Z)|\\A (?:[{_BLANKS}]|\\Z)")
 
@@ -44,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lengths = self._lengths()
         # Words used of late, and those of the time before.
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -55,6 +58,33 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def _lengths(self) -> np.ndarray | None:
+        """How many bytes each token stands for, if its name has a sign for each byte."""
+        import json
+
+        model = json.loads(self.tokenizer.to_str())
+        if (model["pre_tokenizer"] or {}).get("type") != "ByteLevel" or model["normalizer"] is not None:
+            return None
+        vocabulary = self.tokenizer.get_vocab(True)
+        lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            lengths[number] = len(token)
+        return lengths
+
+    def _chained(self, words: list[str]) -> list[bytes]:
+        """The ids of words that start with a space, many at a time: tokens are told apart by the
+        bytes that they stand for."""
+        out = []
+        for at in range(0, len(words), CHAIN):
+            some = words[at : at + CHAIN]
+            (found,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, self.type)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in some])) + 1
+            data, size = ids.tobytes(), self.type.itemsize
+            stops = (ends * size).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
     def _ids(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.type).tobytes() for x in found]
@@ -77,8 +107,13 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         known = pieces & self.before.keys()
         self.words.update((p, self.before[p]) for p in known)
-        new = list(pieces - known)
-        self.words.update(zip(new, self._ids(new), strict=True))
+        new = pieces - known
+        if self.lengths is not None:
+            chained = [p for p in new if _CHAINED.fullmatch(p)]
+            self.words.update(zip(chained, self._chained(chained), strict=True))
+            new = new.difference(chained)
+        rest = list(new)
+        self.words.update(zip(rest, self._ids(rest), strict=True))
 
     def _pieces(self, text: str) -> list[str]:
         if any(token in text for token in self.added):
