@@ -4,22 +4,26 @@ An item may occur with up to seven hundredths of its length in edits, ``e``. Cut
 pieces, an item with ``e`` edits keeps one piece as it was. All pieces are looked for in one
 pass over a document, and around each hit the least edit distance between the item and any part
 of the text is computed by Myers' bit-parallel algorithm. Texts and items are compared in lower
-case with single spaces between words.
+case with single spaces between words. Short items have to stand there as whole words, without
+an edit. Items are looked for in blocks, one after the other, so a worker holds one block's
+automaton at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplelake.llm.common import id_and_text, map_batches
+from samplelake.llm.common import id_and_text, map_batches, packed, unpacked
+from samplelake.operators.joins import join_dim
+from samplelake.session import new_table_path
 
 ERROR_RATE = 0.07
-#: Items shorter than this are found only in documents that hold nothing else.
+#: Items shorter than this are found as whole words, without edits.
 LEAST_CHARS = 20
 #: Characters of the items that are looked for in one pass; more items take more passes.
 BLOCK_CHARS = 8 << 20
@@ -53,12 +57,23 @@ def best_distance(pattern: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+def spaced(text: str | None) -> str:
+    """The normal text with a space at both ends, so that every word has one on each side."""
+    return f" {normal(text)} "
+
+
 @dataclass(frozen=True)
 class Item:
     ids: tuple[int, ...]
     text: str
     edits: int
 
+    @classmethod
+    def of(cls, ids: Iterable[int], text: str, rate: float) -> Item:
+        """An item of a normal text."""
+        short = len(text) < LEAST_CHARS
+        return cls(tuple(sorted(set(ids))), f" {text} " if short else text, 0 if short else int(len(text) * rate))
+
     def pieces(self) -> Iterator[tuple[int, str]]:
         n = self.edits + 1
         bounds = [len(self.text) * i // n for i in range(n + 1)]
@@ -66,19 +81,16 @@ class Item:
 
 
 class Finder:
-    """Finds the items of one block in a text; built once per worker."""
+    """Finds the items of one block in a text; a worker keeps the last one it has built."""
 
-    _built: dict[str, Finder] = {}
+    _built: tuple[str, Finder] | None = None
 
     def __init__(self, items: list[Item]) -> None:
         import ahocorasick
 
-        self.items, self.whole = items, {}
+        self.items = items
         self.automaton, places = ahocorasick.Automaton(), {}
         for n, item in enumerate(items):
-            if len(item.text) < LEAST_CHARS:
-                self.whole[item.text] = n
-                continue
             for at, piece in item.pieces():
                 places.setdefault(piece, []).append((n, at))
         for piece, where in places.items():
@@ -88,18 +100,19 @@ class Finder:
 
     @classmethod
     def of(cls, name: str, items: Callable[[], list[Item]]) -> Finder:
-        if name not in cls._built:
-            cls._built[name] = cls(items())
-        return cls._built[name]
+        if cls._built is None or cls._built[0] != name:
+            cls._built = None
+            cls._built = name, cls(items())
+        return cls._built[1]
 
     def find(self, text: str | None) -> list[tuple[int, int]]:
         """``item_id, distance`` of the items found, by id."""
-        own = normal(text)
+        own = spaced(text)
         hits: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(own) if self.some else ():
             for n, at in where:
                 hits.setdefault(n, set()).add(end + 1 - size - at)
-        found = [(i, 0) for i in self.items[self.whole[own]].ids] if own in self.whole else []
+        found = []
         for n, starts in hits.items():
             distance = self._verify(self.items[n], own, sorted(starts))
             if distance is not None:
@@ -123,39 +136,62 @@ class Finder:
         return best
 
 
-def item_blocks(benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> Iterator[list[Item]]:
-    """The items in blocks of bounded size, those with equal texts as one; null and blank items
-    are in none."""
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """``own, ids``: each distinct normal text and the ids of its items. Null and blank items, and
+    those without an id, are left out."""
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    block: dict[str, list[int]] = {}
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"item_id": batch.column("item_id"), "own": [normal(t) for t in batch.column("text").to_pylist()]}
+
+    known = map_batches(rows.filter("item_id IS NOT NULL AND text IS NOT NULL"), work, "item_id bigint, own string")
+    return known.filter("own <> ''").groupBy("own").agg(F.collect_set("item_id").alias("ids"))
+
+
+def item_blocks(benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> Iterator[list[Item]]:
+    """The items in blocks of bounded size, in the order of their texts; those with equal texts
+    are one."""
+    block: list[Item] = []
     size = 0
-    for row in rows.filter("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        text = normal(row["text"])
-        if not text:
-            continue
-        if size + len(text) > block_chars and block:
-            yield _items(block, rate)
-            block, size = {}, 0
-        if text not in block:
-            size += len(text)
-        block.setdefault(text, []).append(row["item_id"])
+    for row in items_of(benchmark).orderBy("own").toLocalIterator():
+        if size + len(row["own"]) > block_chars and block:
+            yield block
+            block, size = [], 0
+        size += len(row["own"])
+        block.append(Item.of(row["ids"], row["own"], rate))
     if block:
-        yield _items(block, rate)
+        yield block
+
 
+LEAKS = "id bigint, text_hash bigint, doc_id bigint, item_id bigint, distance int"
+_TYPES = {"id": pa.int64(), "text_hash": pa.int64(), "doc_id": pa.int64(), "item_id": pa.int64(), "distance": pa.int32()}
 
-def _items(block: dict[str, list[int]], rate: float) -> list[Item]:
-    return [Item(tuple(sorted(set(ids))), text, int(len(text) * rate)) for text, ids in sorted(block.items())]
 
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, block_chars: int) -> DataFrame:
+    """``id, text_hash, doc_id, item_id, distance``, as a stored table; a block's items are let go of
+    before the next one's are looked for."""
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    own = id_and_text(docs).select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("text_hash"), "doc_id", "text"
+    )
+    path = new_table_path(spark, "leaks")
+    spark.createDataFrame([], LEAKS).write.parquet(path)
+    for number, items in enumerate(item_blocks(benchmark, rate, block_chars)):
+        shared, name = context.broadcast(items), f"{path}-{number}"
+        _leaks(own, lambda shared=shared, name=name: Finder.of(name, lambda: shared.value)).write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.schema(LEAKS).parquet(path)
 
-def _finders(docs: DataFrame, benchmark: DataFrame, rate: float, block_chars: int) -> list[Callable[[], Finder]]:
-    context = docs.sparkSession.sparkContext
 
-    def finder(items: list[Item]) -> Callable[[], Finder]:
-        shared = context.broadcast(items)
-        name = f"{context.applicationId}-{shared._jbroadcast.id()}"
-        return lambda: Finder.of(name, lambda: shared.value)
+def _leaks(own: DataFrame, finder: Callable[[], Finder]) -> DataFrame:
+    def work(batch: pa.RecordBatch) -> dict:
+        find = finder().find
+        columns = [batch.column(c).to_pylist() for c in ("id", "text_hash", "doc_id", "text")]
+        rows = [(*key, *hit) for *key, text in zip(*columns, strict=True) for hit in find(text)]
+        return {n: pa.array(c, t) for (n, t), c in zip(_TYPES.items(), list(zip(*rows, strict=True)) or [()] * len(_TYPES), strict=True)}
 
-    return [finder(items) for items in item_blocks(benchmark, rate, block_chars)]
+    return map_batches(own, work, LEAKS)
 
 
 def leaks(
@@ -167,43 +203,13 @@ def leaks(
     Documents without items, null and empty texts give no row, and so does an empty benchmark.
     Repeated rows of ``docs`` give repeated rows; repeated items count once.
     """
-    found = [_leaks(id_and_text(docs), finder) for finder in _finders(docs, benchmark, rate, block_chars)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, distance int")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every
-
-
-def _leaks(own: DataFrame, finder: Callable[[], Finder]) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> dict:
-        find = finder().find
-        rows = [
-            (doc_id, *hit)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            for hit in find(text)
-        ]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        types = {"doc_id": pa.int64(), "item_id": pa.int64(), "distance": pa.int32()}
-        return {n: pa.array(c, t) for (n, t), c in zip(types.items(), columns, strict=True)}
-
-    return map_batches(own, work, "doc_id bigint, item_id bigint, distance int")
+    return _found(docs, benchmark, rate, block_chars).select("doc_id", "item_id", "distance")
 
 
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, *, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item."""
-
-    def drop(rows: DataFrame, finder: Callable[[], Finder]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                find = finder().find
-                yield batch.filter(pa.array([not find(text) for text in batch.column("text").to_pylist()], pa.bool_()))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    for finder in _finders(docs, benchmark, rate, block_chars):
-        docs = drop(docs, finder)
-    return docs
+    bad = _found(docs, benchmark, rate, block_chars).select("id", "text_hash").distinct()
+    keyed = packed(docs).select("row", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("text_hash"))
+    return unpacked(join_dim(keyed, bad, ["id", "text_hash"], "left_anti"), docs)

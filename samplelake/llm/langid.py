@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplelake.llm.common import map_batches
+from samplelake.llm.common import map_batches, packed, unpacked
 
 #: 0 is everything but letters, 1 to OWN are the most frequent letters of the sample, and the
 #: rest of the letters share the symbols above by their code point.
@@ -198,6 +198,7 @@ def without_unknown(docs: DataFrame, model: LanguageModel | None, least_score: f
     """The rows of ``docs``, with all their columns, whose language is known with a score of
     ``least_score`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,4 +207,4 @@ def without_unknown(docs: DataFrame, model: LanguageModel | None, least_score: f
             known = [name != UNKNOWN and score >= least_score for name, score in zip(names, scores, strict=True)]
             yield batch.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return unpacked(rows.mapInArrow(run, rows.schema), docs)
