@@ -5,7 +5,8 @@ import pytest
 SYLLABLES = "an be con de er fi ga hi in jo ka lo mi no or pa qu ri so ta un ve wo ya zu".split()
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside.
-EXTRA = ", id long, bits long, key long, size long, number long, place long, block long, runs long, length long, __n long"
+EXTRA = ", id long, bits long, key long, size long, number long, place long, block long, runs long, length long, __n long, "
+EXTRA += "__id long, __n_lines long, __text_hash long, __spans long, `a.b` long, row long, text_hash long, n_lines long, n_removed long"
 
 
 def prose(seed: int, words: int) -> str:
@@ -19,7 +20,7 @@ def frame(spark):
     """Documents from ``(doc_id, text)`` pairs, with the other columns."""
 
     def make(pairs, extra=False):
-        rows = [(i, t, "xx", "s", None if t is None else len(t)) + (None,) * (10 * extra) for i, t in pairs]
+        rows = [(i, t, "xx", "s", None if t is None else len(t)) + (None,) * (EXTRA.count(" long") * extra) for i, t in pairs]
         return spark.createDataFrame(rows, COLUMNS + EXTRA * extra)
 
     return make

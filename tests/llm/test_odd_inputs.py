@@ -26,7 +26,7 @@ PER_ROW = {
     "binary": _binary,
     "simhash": simhash.near_copies,
     "repeats": repeats.without_repeats,
-    "lines": lines.without_repeats,
+    "lines": lines.edited,
 }
 OTHER = {
     "packing": packing.pack,
@@ -34,6 +34,7 @@ OTHER = {
     "leaks": lambda df: decontam.leaks(df, _items(df)),
     "no leaks": lambda df: decontam.without_leaks(df, _items(df)),
     "no near copies": simhash.without_near_copies,
+    "own lines": lines.without_repeats,
     "known language": lambda df: langid.without_unknown(df, langid.learn(df), 0.1),
 }
 
@@ -47,7 +48,8 @@ def test_empty_table(name, none):
 def test_every_row_has_a_result(name, odd):
     pairs, df = odd
     got = PER_ROW[name](df).collect()
-    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in pairs)
+    ids = [r["row"]["doc_id"] if "row" in r else r["doc_id"] for r in got]
+    assert sorted(map(str, ids)) == sorted(str(i) for i, _ in pairs)
 
 
 def test_phrases(odd):
@@ -95,7 +97,7 @@ def test_simhash(odd):
 
 
 def test_lines(odd):
-    got = {(r["doc_id"], r["__n_removed"]) for r in lines.without_repeats(odd[1]).collect()}
+    got = {(r["row"]["doc_id"], r["n_removed"]) for r in lines.edited(odd[1]).collect()}
     assert (1, 0) in got and (7, 0) in got and (9, 0) in got
     assert {n for i, n in got if i == 8} == {7} and {n for i, n in got if i == 13} != {0}
 
@@ -122,7 +124,7 @@ def test_packing(odd):
 
 
 def test_other_operators_keep_columns(odd):
-    for name in ("no leaks", "known language"):
+    for name in ("no leaks", "known language", "no near copies", "own lines"):
         assert OTHER[name](odd[1]).columns == odd[1].columns
     assert OTHER["no leaks"](odd[1]).count() == len(odd[0])
     assert OTHER["known language"](odd[1]).count() == len(odd[0]) - 5

@@ -182,7 +182,7 @@ def test_each_string_has_the_first_smallest_anchor(seed):
         n, kinds = draw.randint(100, 600), draw.choice((1, 2, 5, 26))
         text = bytes(draw.randrange(97, 97 + kinds) for _ in range(n))
         texts.append((text[: draw.randint(1, 9)] * n)[:n] if draw.random() < 0.3 else text)
-    text, anchor, low, high = repeats.stretches(texts)
+    text, anchor, low, high, _ = repeats.stretches(texts)
     for i, data in enumerate(texts):
         grams = repeats._gram_hashes(np.frombuffer(data, np.uint8))
         want = [s + int(np.argmin(grams[s : s + repeats.WIDTH])) for s in range(len(data) - repeats.LENGTH + 1)]
