@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.llm import decontam, langid, lines, packing, simhash
-from samplelake.llm.common import table
+from samplelake.llm.common import table, unpacked
 from samplelake.llm.queries import QUERIES, query
 from samplelake.session import materialise, ship_package
 
@@ -32,17 +32,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier runs; those that consist of them go."""
-    done = lines.without_repeats(docs)
-    some = done.filter((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
+    done = lines.edited(docs)
+    some = unpacked(done.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs)
     if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return some.select(*docs.columns)
+    return some
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles alike to 0.8 or more), the
-    one with the smallest id."""
-    return simhash.without_near_copies(docs, words=5)
+    """One document of each group whose fingerprints of three-word shingles are linked by
+    distances of two bits or less, the one with the smallest id."""
+    return simhash.without_near_copies(docs, words=3)
 
 
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
