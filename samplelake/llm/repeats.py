@@ -44,6 +44,8 @@ SHIFT, BITS = 14, 7
 MARK, ASK, ASK_ONE = 0, 1, 2
 #: An anchor of more stretches than this, or than so many for each task, is spread over tasks.
 COMMON, COMMON_PER_TASK = 1 << 20, 16
+#: Anchors that are counted together at least.
+MERGED = 1 << 19
 KINDS = "kind tinyint, anchor bigint, id bigint, place bigint"
 
 
@@ -351,11 +353,25 @@ def _common(docs: DataFrame, most: int, per_task: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counts = np.array([], np.uint32), np.array([], np.int64)
+        waiting: list[np.ndarray] = []
+        size = 0
+
+        def merge() -> None:
+            nonlocal found, counts, size
+            own, n = np.unique(np.concatenate([np.array([], np.uint32), *waiting]), return_counts=True)
+            found, at = np.unique(np.concatenate((found, own)), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((counts, n)), len(found)).astype(np.int64)
+            waiting.clear()
+            size = 0
+
         for batch in batches:
             for some in _few(batch.column("text")):
-                own, n = np.unique(stretches(some)[4], return_counts=True)
-                found, at = np.unique(np.concatenate((found, own)), return_inverse=True)
-                counts = np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
+                waiting.append(stretches(some)[4])
+                size += len(waiting[-1])
+                # As many as there are already, so that all merges cost no more than a few.
+                if size > len(found) + MERGED:
+                    merge()
+        merge()
         often = counts >= least
         yield pa.RecordBatch.from_pydict({"gram": found[often].astype(np.int64), "n": counts[often]})
 
