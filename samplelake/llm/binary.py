@@ -89,8 +89,8 @@ def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, file_byt
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
                 lines, told = [], []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = encoder.encode(text)
+                encoded = encoder.encode_many(batch.column("text").to_pylist())
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                     lines.append(frame(payload_of(doc_id, ids, width)))
                     size = len(lines[-1]) + len(END_MARK)
                     told.append(json.dumps({"offset": offset, "size": size, "doc_id": doc_id, "n_tokens": len(ids) // width}).encode())

@@ -35,8 +35,9 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     def work(batch: pa.RecordBatch) -> dict:
         encoder = Encoder.of(path)
         rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = np.frombuffer(encoder.encode(text), encoder.type)
+        encoded = encoder.encode_many(batch.column("text").to_pylist())
+        for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+            ids = np.frombuffer(data, encoder.type)
             rest = len(ids) % capacity or capacity
             bounds = [0, *range(rest, len(ids) + 1, capacity)]
             for piece, (at, to) in enumerate(zip(bounds, bounds[1:], strict=False)):

@@ -28,7 +28,33 @@ def test_encoder_forgets(monkeypatch):
     for text in ("one two three four five six", "six seven eight nine ten", "one six ten"):
         ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(text), encoder.type).tolist() == [*ids, 0]
-    assert len(encoder.words) + len(encoder.before) <= 24
+    assert len(encoder.known.keys) <= 8 and len(encoder.known.start) <= 8
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 19])
+def test_many_texts_at_once(monkeypatch, together):
+    monkeypatch.setattr("samplelake.llm.tokens.TOGETHER", together)
+    monkeypatch.setattr("samplelake.llm.tokens.KEPT_WORDS", 60)
+    monkeypatch.setattr("samplelake.llm.tokens.KEPT_PIECES", 20)
+    encoder, draw = Encoder(default_path()), random.Random(6)
+    parts = [" the", "it's", "a", " \0", "\0", "Ünal", " 12", ".", "\n", " ", "中", "x" * 30, "'", "\udc80", " of"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(400)]
+    texts = [t.replace("\udc80", "") for t in texts] + [None, "", " ", "a" * 300, "\0"]
+    want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode_many(texts)] == want
+    assert [np.frombuffer(encoder.encode(t), encoder.type).tolist() for t in texts] == want
+
+
+def test_words_with_one_hash(monkeypatch):
+    """Where the first hashes of two words are the same, the second tells them apart."""
+    from samplelake.llm import tokens
+
+    real = tokens._hashes
+    monkeypatch.setattr(tokens, "_hashes", lambda p, a, b, base: real(p, a, b, base) % 5 if base == tokens._BASES[0] else real(p, a, b, base))
+    encoder = Encoder(default_path())
+    for word in ["one", "two", "three", "four", "five", "six", "one", "two"] * 2 + ["one two three four five six seven eight nine ten"]:
+        ids = encoder.tokenizer.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(word), encoder.type).tolist() == [*ids, 0]
 
 
 def test_frames():
