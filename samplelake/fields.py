@@ -82,8 +82,8 @@ _ASKED = (
     ("cell line", "name of the cell line, for cell line samples"),
     ("gender", ""),
     ("age", ""),
-    ("alcohol use", "drinking history"),
-    ("tobacco use", "smoking history"),
+    ("alcohol use", "what the donor drinks or drank"),
+    ("tobacco use", "what the donor smokes or smoked"),
     ("tumor site", "for tumours: primary, metastasis, relapse or adjacent tissue"),
     ("stage/state", "stage of a disease or of development"),
     ("sampling site", "exact place the sample was taken from"),

@@ -91,10 +91,15 @@ def peek_lines(lines: Column, n: int = 10, width: int = 100) -> Column:
     return F.transform(F.slice(lines, 1, n), lambda line: cut_line(line, width))
 
 
+# What a cut line ends with, and what a stored summary has around its text.
+CUT_NOTE = ("... [", " characters truncated]")
+SUMMARY_NOISE, SUMMARY_END = ("more...", "(Submitter supplied) "), "Organism"
+
+
 def cut_line(line: Column, width: int = 100) -> Column:
     """Cut a long line and say how many characters were left out."""
     left_out = (F.length(line) - width).cast("string")
-    note = F.concat(F.lit("... ["), left_out, F.lit(" characters truncated]"))
+    note = F.concat(F.lit(CUT_NOTE[0]), left_out, F.lit(CUT_NOTE[1]))
     return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width), note)).otherwise(line)
 
 
@@ -111,9 +116,9 @@ def format_key(key: Column) -> Column:
 
 def clean_summary(text: Column) -> Column:
     """Drop the "more..." link text and the "(Submitter supplied) " mark, stop at "Organism"."""
-    for noise in ("more...", "(Submitter supplied) "):
+    for noise in SUMMARY_NOISE:
         text = F.replace(text, F.lit(noise), F.lit(""))
-    return strip(F.substring_index(text, "Organism", 1))
+    return strip(F.substring_index(text, SUMMARY_END, 1))
 
 
 def ordered_concat(value: Column, order: Column, sep: str) -> Column:

@@ -8,7 +8,9 @@ or prompts may be sent twice.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from samplelake.functions.replies import is_object, parse_lenient
 from samplelake.functions.reply_text import read_reply
 from samplelake.functions.text import WordCounter, word_count
-from samplelake.session import materialise, new_table_path
+from samplelake.operators.summary import Summary
+from samplelake.session import new_table_path
 
 TASK_PROMPTS, RUN_PROMPTS = 100, 100_000
 
@@ -63,6 +66,22 @@ class _Caller:
         return self.retries, text, problem
 
 
+def in_order(call: Callable, items: Iterable, most: int) -> Iterator:
+    """``call`` of each item, in their order, up to ``most`` of them at a time; none is begun before
+    there is room for it."""
+    if most == 1:
+        yield from map(call, items)
+        return
+    with ThreadPoolExecutor(most) as pool:
+        waiting: deque = deque()
+        for item in items:
+            if len(waiting) == most:
+                yield waiting.popleft().result()
+            waiting.append(pool.submit(call, item))
+        while waiting:
+            yield waiting.popleft().result()
+
+
 def read_replies(spark: SparkSession, store: str) -> DataFrame | None:
     """The reply table, or None if there is none yet. Each run has a folder of its own in it,
     whose files appear when the run's job is committed."""
@@ -88,29 +107,36 @@ def infer(
     retries: int = 3,
     *,
     parallel: int | None = None,
+    in_flight: int = 1,
     check: bool = True,
     error_marker: str | None = None,
     token_count: WordCounter = word_count,
+    summary: Summary | None = None,
 ) -> DataFrame:
     """Replies for ``prompts(prompt_key, prompt)``, one row per distinct key.
 
     A key with a good reply in ``store`` is not asked again; new replies are added to it. A
     prompt that stays without a valid reply after ``retries`` tries has its ``error`` set and
     is asked again in the next run. Replies are written in runs of about ``RUN_PROMPTS`` prompts,
-    so a job that fails keeps those of the runs before. ``parallel`` bounds the number of calls
-    at a time; without it there is a task per ``TASK_PROMPTS`` prompts;
-    ``check=False`` takes any text for valid.
+    so a job that fails keeps those of the runs before. ``parallel`` bounds the number of tasks;
+    without it there is a task per ``TASK_PROMPTS`` prompts. A task waits for up to ``in_flight``
+    replies at a time, in threads, so ``responder`` must bear that if it is over 1.
+    ``check=False`` takes any text for valid. ``summary`` is told of prompts, hits, replies, errors
+    and tokens as they are written.
     """
-    spark = prompts.sparkSession
+    if in_flight < 1:
+        raise ValueError("in_flight is 1 or more")
+    spark, summary = prompts.sparkSession, summary or Summary()
     wanted = prompts.select("prompt_key", "prompt").dropDuplicates(["prompt_key"])
     before = read_replies(spark, store) if store else None
     hits = None
     missing = wanted
     if before is not None:
         hits = cached(before.join(prompts.select("prompt_key").distinct(), "prompt_key", "left_semi"))
+        hits = summary.stored(hits, "stored replies")
         known = before.filter(F.col("error").isNull()).select("prompt_key")
         missing = wanted.join(known, "prompt_key", "left_anti")
-    missing = materialise(missing, "prompts")
+    missing = summary.stored(missing, "prompts")
     n = missing.count()
     caller = _Caller(responder, validator, retries, error_marker, check)
 
@@ -118,25 +144,34 @@ def infer(
         for batch in batches:
             for at in range(0, len(batch), TASK_PROMPTS):
                 some = batch.iloc[at : at + TASK_PROMPTS]
-                rows = [(k, p, *caller(p)) for k, p in zip(some["prompt_key"], some["prompt"])]
+                replies = in_order(caller, some["prompt"], in_flight)
+                rows = [(k, p, *r) for k, p, r in zip(some["prompt_key"], some["prompt"], replies, strict=True)]
                 yield pd.DataFrame(rows, columns=["prompt_key", "prompt", "attempt", "text", "error"])
 
     runs = max(1, n // RUN_PROMPTS)
-    run = F.pmod(F.xxhash64("prompt_key"), F.lit(runs))
+    dealt = missing.withColumn("run", F.pmod(F.xxhash64("prompt_key"), F.lit(runs)).cast("int"))
+    if runs > 1:
+        # Each run then reads its own prompts only.
+        path = new_table_path(spark, "prompt-runs")
+        dealt.repartition("run").write.partitionBy("run").parquet(path)
+        dealt = spark.read.schema("prompt_key string, prompt string, run int").parquet(path)
     # Tasks by the number of prompts, whatever their size.
     parts = parallel or max(1, -(-n // (runs * TASK_PROMPTS)))
     paths = []
     for i in range(runs):
-        dealt = missing.filter(run == i).repartition(parts, "prompt_key")
-        asked = dealt.mapInPandas(ask, "prompt_key string, prompt string, attempt int, text string, error string")
+        own = dealt.filter(F.col("run") == i).select("prompt_key", "prompt").repartition(parts, "prompt_key")
+        asked = own.mapInPandas(ask, "prompt_key string, prompt string, attempt int, text string, error string")
         paths.append(f"{store}/run={uuid.uuid4().hex}" if store else new_table_path(spark, "replies"))
-        asked.select(
+        told = asked.select(
             "prompt_key",
             "attempt",
             "text",
             "error",
             token_count(F.col("prompt")).cast("bigint").alias("n_tokens_in"),
             F.coalesce(token_count(F.col("text")), F.lit(0)).cast("bigint").alias("n_tokens_out"),
+        )
+        summary.watch(
+            told, "replies", errors=F.count("error"), calls=F.sum("attempt"), tokens_in=F.sum("n_tokens_in"), tokens_out=F.sum("n_tokens_out")
         ).write.parquet(paths[-1])
     fresh = spark.read.schema(REPLY).parquet(*paths)
     return fresh if hits is None else hits.unionByName(fresh)

@@ -11,7 +11,8 @@ from samplelake.session import materialise
 
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
-HOT_SHARE = 1000
+#: A key is hot if it has more than one of so many parts of the rows, or more rows than a task should.
+HOT_SHARE, HOT_ROWS = 1000, 1 << 22
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -21,11 +22,11 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """The keys that hold more than one ``share``-th of the rows; so there are fewer than
-    ``share`` of them. Counted with map-side sums."""
+    """The keys that hold more than one ``share``-th of the rows or more than ``HOT_ROWS``; so there are
+    fewer than ``share``, or than the rows over ``HOT_ROWS``. Counted with map-side sums."""
     counts = materialise(df.groupBy(*on).agg(F.count("*").alias("__n")), "key-counts")
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("t")).first()["t"]
-    return counts.filter(F.col("__n") * share > total).select(*on)
+    return counts.filter(F.col("__n") > min(total // share, HOT_ROWS)).select(*on)
 
 
 def join_dim(
@@ -53,7 +54,7 @@ def join_dim(
         dim = materialise(dim, "dimension")
     if measured_bytes(dim) <= (BROADCAST_BYTES if limit is None else limit):
         return big.join(F.broadcast(dim), on, how)
-    # Fewer than ``share`` keys, so this side is small by its definition.
+    # At most ``share`` keys, or a 4-millionth of the rows: small by its definition.
     hot = F.broadcast(hot_keys(big, on, share).withColumn("__hot", F.lit(True)))
     some_null = F.lit(False)
     for c in on:

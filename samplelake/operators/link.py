@@ -4,7 +4,10 @@ Score: cosine of trigram vectors, weight = count x idf over the distinct aliases
 six digits. Candidates come from prefix filtering, which is exact: with both vectors' grams
 in one global order (rarest first), two vectors whose cosine reaches the threshold share a
 gram of both prefixes, a prefix being what must be taken off for the rest's norm to fall
-below the threshold. So frequent grams take part in scores but not in the join.
+below the threshold. So frequent grams take part in scores but not in the join. At the first
+gram that two vectors share, the cosine is at most the product of the norms of what is left of
+each from there on; meetings below that bound are dropped. Only numbers of vectors are joined:
+vectors are fetched for the distinct pairs.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from samplelake.session import materialise
 
 DIGITS = 6
 _SLACK = 1e-6
+#: A gram under which more pairs than this would meet is dealt to ``SALTS`` x ``SALTS`` tasks.
+CROWD, SALTS = 1 << 24, 16
 
 
 def normal_form(text: Column) -> Column:
@@ -54,20 +59,50 @@ def _vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 
 
 def _prefix(vec: Column, threshold: float) -> Column:
-    """Grams to take off, rarest first, until the norm of the rest is below ``threshold``."""
+    """Grams to take off, rarest first, until the norm of the rest is below ``threshold``, each with
+    the norm from there on."""
     floor = max(threshold - _SLACK, 0.0) ** 2
-    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<string>").alias("grams"))
+    none = F.array().cast("array<struct<gram:string,rest:double>>")
+    start = F.struct(F.lit(1.0).alias("rest"), none.alias("grams"))
 
     def step(state: Column, e: Column) -> Column:
-        needed = state["rest"] >= floor
+        here = F.array(F.struct(e["gram"].alias("gram"), F.sqrt(F.greatest(state["rest"], F.lit(0.0))).alias("rest")))
         return F.struct(
             (state["rest"] - e["w"] * e["w"]).alias("rest"),
-            F.when(needed, F.concat(state["grams"], F.array(e["gram"]))).otherwise(state["grams"]).alias("grams"),
+            F.when(state["rest"] >= floor, F.concat(state["grams"], here)).otherwise(state["grams"]).alias("grams"),
         )
 
     return F.aggregate(vec, start, step, lambda s: s["grams"])
 
 
+def _postings(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``key, gram, rest``: the grams of each vector's prefix. An outer explode, since for a plain one
+    the optimizer adds a filter that computes the prefix again."""
+    return vectors.select(key, F.explode_outer(_prefix(F.col("vec"), threshold)).alias("p")).select(key, "p.gram", "p.rest")
+
+
+def candidate_pairs(mentions: DataFrame, aliases: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
+    """``mention_id, alias_id``, each pair once, of vectors (``vec``, rarest gram first) whose cosine
+    may reach the threshold. A gram of many on both sides is dealt on both: each pair under it
+    meets in one of the tasks."""
+    left = materialise(_postings(mentions, "mention_id", threshold), "mention-postings")
+    right = materialise(_postings(aliases, "alias_id", threshold), "alias-postings")
+    sizes = left.groupBy("gram").agg(F.count("*").alias("n")).join(right.groupBy("gram").agg(F.count("*").alias("m")), "gram")
+    crowded = materialise(sizes.filter(F.col("n") * F.col("m") > crowd).select("gram", F.lit(True).alias("crowded")), "crowded-grams")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    none = F.array(F.lit(0))
+
+    def dealt(postings: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        marked = join_dim(postings, crowded, "gram", stored=True)
+        spot = F.when(F.col("crowded"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        return marked.select(key, "gram", "rest", spot.alias(own), F.explode(F.when(F.col("crowded"), every).otherwise(none)).alias(other))
+
+    near = dealt(left, "mention_id", "row", "column")
+    far = dealt(right, "alias_id", "column", "row").withColumnRenamed("rest", "other")
+    met = near.join(far, ["gram", "row", "column"]).filter(F.col("rest") * F.col("other") >= threshold - _SLACK)
+    return met.select("mention_id", "alias_id").distinct()
+
+
 def _dot(left: Column, right: Column) -> Column:
     def term(total: Column, e: Column) -> Column:
         return total + e["w"] * F.coalesce(F.try_element_at(right, e["gram"]), F.lit(0.0))
@@ -83,7 +118,12 @@ def alias_vectors(aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = _gram_counts(names, "alias")
     df = counts.groupBy("gram").agg(F.count("*").alias("df"))
     idf = materialise(df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1), "idf")
-    return idf, materialise(_vectors(counts, idf, "alias"), "alias-vectors")
+    return idf, _numbered(_vectors(counts, idf, "alias"), "alias")
+
+
+def _numbered(vectors: DataFrame, key: str) -> DataFrame:
+    """A stored table of vectors, each with a number of its own."""
+    return materialise(vectors.withColumn(f"{key}_id", F.monotonically_increasing_id()), f"{key}-vectors")
 
 
 def alias_scores(
@@ -94,22 +134,11 @@ def alias_scores(
     idf, known = vectors or alias_vectors(aliases)
     asked = mentions.select(normal_form(F.col("mention")).alias("mention")).distinct()
     asked = asked.filter(F.length("mention") >= 3)
-    vecs = _vectors(_gram_counts(asked, "mention"), idf, "mention")
-
-    left = vecs.withColumn("pre", _prefix(F.col("vec"), threshold))
-    right = known.select(
-        "alias",
-        F.map_from_entries(F.transform("vec", lambda e: F.struct(e["gram"], e["w"]))).alias("weights"),
-        _prefix(F.col("vec"), threshold).alias("alias_pre"),
-    )
-    # Outer explodes, since for plain ones the optimizer adds filters that compute the prefixes again.
-    pairs = left.withColumn("gram", F.explode_outer("pre")).join(
-        right.withColumn("gram", F.explode_outer("alias_pre")), "gram"
-    )
-    # Several shared grams make the same pair: keep it at the first of them only.
-    once = F.get(F.array_intersect("pre", "alias_pre"), F.lit(0)) == F.col("gram")
-    scored = pairs.filter(once).select(
-        "mention", "alias", F.round(_dot(F.col("vec"), F.col("weights")), DIGITS).alias("score")
+    vecs = _numbered(_vectors(_gram_counts(asked, "mention"), idf, "mention"), "mention")
+    pairs = candidate_pairs(vecs, known, threshold)
+    weights = F.map_from_entries(F.transform("other.vec", lambda e: F.struct(e["gram"], e["w"])))
+    scored = pairs.join(vecs, "mention_id").join(known.alias("other"), "alias_id").select(
+        "mention", "alias", F.round(_dot(vecs["vec"], weights), DIGITS).alias("score")
     )
     return scored.filter(F.col("score") > threshold)
 
@@ -135,17 +164,18 @@ def link_concepts(
     texts = mentions.select("mention").filter(F.col("mention").isNotNull()).distinct()
     texts = texts.withColumn("norm", normal_form(F.col("mention")))
     scores = alias_scores(texts.select(F.col("norm").alias("mention")), aliases, threshold, vectors=vectors)
+    scores = materialise(scores, "alias-scores")
 
     owners = aliases.select("concept_id", normal_form(F.col("alias")).alias("alias")).distinct()
     ranked = Window.partitionBy("mention").orderBy(F.desc("score"), "concept_id", "alias")
     candidates = (
-        scores.join(owners, "alias")
+        join_dim(scores, owners, "alias", "inner")
         .withColumn("__rank", F.row_number().over(ranked))
         .filter(F.col("__rank") <= k)
     )
     known = concepts.filter(F.col("definition").isNotNull()).select("concept_id", "canonical_name")
     best = (
-        candidates.join(known, "concept_id")
+        join_dim(candidates, known, "concept_id", "inner")
         .groupBy("mention")
         .agg(
             F.max_by(

@@ -24,6 +24,7 @@ from samplelake.operators.joins import join_dim
 from samplelake.operators.link import link_concepts
 from samplelake.operators.ordered import first_n
 from samplelake.operators.prompts import build_prompts
+from samplelake.operators.summary import Summary
 from samplelake.fields import DEFAULT_FIELDS, Field, Group, split_fields
 from samplelake.session import materialise
 from samplelake.sources.soft import read_soft
@@ -39,8 +40,12 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Extraction:
+    """``rows`` and ``errors(stage, file, accession, message)`` are computed when they are read;
+    ``summary(item, metric, n)`` has the counts and token sums of what was written before."""
+
     rows: DataFrame
     errors: DataFrame
+    summary: DataFrame
 
 
 ERROR = ("stage", "file", "accession", "message")
@@ -73,11 +78,12 @@ def _ask(
     tokens: WordCounter,
     model: str,
     options: dict,
+    summary: Summary,
 ) -> tuple[DataFrame, DataFrame]:
     """``file, sample`` and the group's fields; and the errors."""
-    context = materialise(_context(attr, pair, group, texts), "contexts")
+    context = summary.stored(_context(attr, pair, group, texts), "contexts")
     prompts = build_prompts(context, group, model)
-    replies = infer(prompts, responder, None, store, token_count=tokens, **options)
+    replies = infer(prompts, responder, None, store, token_count=tokens, summary=summary, **options)
     parsed = parse_replies(replies)
     values = parsed.select("prompt_key", *[field(F.col("value"), f.name).alias(f.name) for f in group.fields])
     keyed = prompts.select("prompt_key", "file", "sample")
@@ -121,6 +127,7 @@ def extract_metadata(
     k: int = 30,
     threshold: float = 0.5,
     model: str = "",
+    summary: Summary | None = None,
     **options,
 ) -> Extraction:
     """A row per (file, sample) of ``pair``, with the columns of ``metadata_columns``.
@@ -128,12 +135,13 @@ def extract_metadata(
     Without a ``responder`` the model's fields are null; without a ``vocabulary`` a mapped
     field's concept is its own text. A sample whose reply failed keeps its row, with nulls,
     and has a row in ``errors(stage, file, accession, message)``. ``model`` is part of the
-    prompt key; ``options`` go to ``infer``.
+    prompt key; ``options`` go to ``infer``. ``summary`` is told of the tables as they are written.
 
     ``attr`` is read several times: hand over a stored table, not a plan that parses files.
     """
     copied, groups = split_fields(spec)
-    texts = materialise(sample_text(attr, max_tokens, token_count), "texts")
+    summary = summary or Summary()
+    texts = summary.stored(sample_text(attr, max_tokens, token_count), "texts")
     rows = copy_fields(attr, pair, copied).join(texts, ["file", "sample"], "left")
     errors = long_lines(attr, max_tokens, token_count).select(*ERROR)
     lonely = pair.filter(F.col("series").isNull())
@@ -148,7 +156,7 @@ def extract_metadata(
         if responder is None:
             rows = rows.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
         else:
-            answered, failed = _ask(attr, pair, group, responder, texts, store, token_count, model, options)
+            answered, failed = _ask(attr, pair, group, responder, texts, store, token_count, model, options, summary)
             rows = rows.join(answered, ["file", "sample"], "left")
             errors = errors.unionByName(failed)
     mapped = [f for g in groups for f in g.fields if f.map_to_umls]
@@ -157,12 +165,12 @@ def extract_metadata(
     else:
         rows = rows.select("*", *[F.col(f"`{f.name}`").alias(f"{f.name}_umls") for f in mapped])
     named = rows.withColumnRenamed("sample", "gsm")
-    return Extraction(named.select(*[F.col(f"`{c}`") for c in metadata_columns(spec)]), errors)
+    return Extraction(named.select(*[F.col(f"`{c}`") for c in metadata_columns(spec)]), errors, summary.table(attr.sparkSession))
 
 
 def extract_from_files(
     spark: SparkSession,
-    paths: str | Sequence[str],
+    paths: DataFrame | str | Sequence[str],
     spec: Sequence[Field] = DEFAULT_FIELDS,
     responder: Responder | None = None,
     vocabulary: Vocabulary | None = None,
@@ -171,26 +179,26 @@ def extract_from_files(
     accession: str | None = None,
     **options,
 ) -> Extraction:
-    """Metadata rows of the samples in SOFT files: of each series the first ``per_series`` (a
+    """Metadata rows of the samples in SOFT files (paths, or a frame of them): of each series the first ``per_series`` (a
     falsy number takes all), or the one sample named by ``accession``.
 
     Files are parsed once, into stored tables that hold the chosen samples and all series.
     """
-    soft = read_soft(spark, paths)
-    entity = materialise(soft.entity, "entities")
-    whole = materialise(soft.attr, "attributes")
+    soft, summary = read_soft(spark, paths), Summary()
+    entity = summary.stored(soft.entity, "entities")
+    whole = summary.stored(soft.attr, "attributes")
     pair = pair_series(whole, entity)
     bad = spark.createDataFrame([], "stage string, accession string, message string")
     if accession is not None:
         pair, bad = check_prefix(pair.filter(F.col("sample") == accession))
     else:
         pair = first_samples(pair, entity, per_series)
-    pair = materialise(pair, "pairs")
+    pair = summary.stored(pair, "samples")
     chosen = pair.select("file", F.lit("SAMPLE").alias("kind"), F.col("sample").alias("accession"))
     attr = whole.filter("kind = 'SERIES'").unionByName(
         join_dim(whole.filter("kind = 'SAMPLE'"), chosen, ["file", "kind", "accession"], "left_semi").select(*whole.columns)
     )
-    done = extract_metadata(materialise(attr, "chosen"), pair, spec, responder, vocabulary, **options)
+    done = extract_metadata(materialise(attr, "chosen"), pair, spec, responder, vocabulary, summary=summary, **options)
     unread = soft.errors.select("stage", "file", F.lit(None).cast("string").alias("accession"), "message")
     rejected = bad.select("stage", F.lit(None).cast("string").alias("file"), "accession", "message")
-    return Extraction(done.rows, done.errors.unionByName(unread).unionByName(rejected))
+    return Extraction(done.rows, done.errors.unionByName(unread).unionByName(rejected), done.summary)

@@ -5,7 +5,7 @@ its source is the series; a conversation is a sample with one attribute per role
 parts and suppliers give matrices, file names and a lineage graph.
 """
 
-from samplelake.queries import attributes, graphs, matrices, nested, records, replies, texts
+from samplelake.queries import attributes, files, graphs, matrices, nested, records, replies, texts
 from samplelake.queries.registry import QUERIES
 
 __all__ = ["QUERIES", "attributes", "graphs", "matrices", "nested", "records", "replies", "texts"]

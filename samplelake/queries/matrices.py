@@ -11,11 +11,12 @@ from samplelake.queries.registry import ATTR_SQL, document_attr, query, table
 from samplelake.session import new_table_path
 from samplelake.sinks.tables import write_matrix
 from samplelake.sources.matrices import Matrix, label_matrix, orient, read_dense_matrix, read_mtx, whole_number
-from samplelake.sources.soft import list_files, read_soft
+from samplelake.sources.files import list_files
+from samplelake.sources.soft import read_soft
 from samplelake.sources.supplementary import peek_files, sample_type
 
 
-def _write_lines(lines: DataFrame, label: str, *order: str) -> str:
+def write_lines(lines: DataFrame, label: str, *order: str) -> str:
     """Text files, one per ``part`` value, lines sorted by ``order``. ``lines`` holds ``part,
     value``; a part is small, and parts are spread over the tasks."""
     path = new_table_path(lines.sparkSession, label)
@@ -24,7 +25,7 @@ def _write_lines(lines: DataFrame, label: str, *order: str) -> str:
     return path
 
 
-def _parts(spark: SparkSession, path: str, column: str) -> DataFrame:
+def written_parts(spark: SparkSession, path: str, column: str) -> DataFrame:
     """``sample, <column>``: the file of each part."""
     files = list_files(spark, path).filter(F.col("file").endswith(".txt"))
     return files.select(F.regexp_extract("file", r"part=([^/]+)/", 1).alias("sample"), F.col("file").alias(column))
@@ -83,7 +84,7 @@ def _dense_files(spark: SparkSession, folder: str, label: str, cell: str, gene:
     heads = vectors.select("part").distinct().select(
         "part", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit("cell,"), header).alias("value")
     )
-    files = _parts(spark, _write_lines(rows.unionByName(heads), label, "at"), "path")
+    files = written_parts(spark, write_lines(rows.unionByName(heads), label, "at"), "path")
     return files.select("*", F.lit(",").alias("sep"), F.lit(True).alias("cell_by_gene"), F.array(F.lit(f"{gene}3")).alias("drop"))
 
 
@@ -119,9 +120,9 @@ def _supplier_matrices(spark: SparkSession, folder: str) -> Matrix:
     return read_mtx(spark, _supplier_files(spark, folder, 50))
 
 
-def _supplier_files(spark: SparkSession, folder: str, run: int, faults: bool = False) -> DataFrame:
-    """A gene-by-cell coordinate file per run of suppliers: suppliers as cells, parts as genes.
-    With ``faults``, of every four runs the second has two lines that are no entries, the third
+def supplier_lines(spark: SparkSession, folder: str, run: int, faults: bool = False) -> dict[str, DataFrame]:
+    """``part, at, value`` lines by role: a gene-by-cell coordinate file per run of suppliers, with
+    suppliers as cells and parts as genes. With ``faults``, of every four runs the second has two lines that are no entries, the third
     an empty label file and the fourth a label too many."""
     items = table(spark, folder, "lineitem").select(
         F.floor(F.col("l_suppkey") / run).cast("string").alias("part"), "l_partkey", "l_suppkey", "l_quantity"
@@ -153,11 +154,13 @@ def _supplier_files(spark: SparkSession, folder: str, run: int, faults: bool = F
         blank = runs.filter(kind == 2).select("part", F.lit(0).cast("bigint").alias("at"), F.lit("").alias("value"))
         extra = runs.filter(kind == 3).select("part", F.lit(1 << 40).cast("bigint").alias("at"), F.lit("none").alias("value"))
         barcodes = barcodes.filter(kind != 2).union(blank).union(extra)
-    return (
-        _parts(spark, _write_lines(body.union(sizes).union(comment), "mtx", "at"), "matrix")
-        .join(_parts(spark, _write_lines(barcodes, "barcodes", "at"), "barcodes"), "sample")
-        .join(_parts(spark, _write_lines(symbols, "genes", "at"), "genes"), "sample")
-    )
+    return {"matrix": body.union(sizes).union(comment), "barcodes": barcodes, "genes": symbols}
+
+
+def _supplier_files(spark: SparkSession, folder: str, run: int, faults: bool = False) -> DataFrame:
+    lines = supplier_lines(spark, folder, run, faults)
+    matrix, barcodes, genes = (written_parts(spark, write_lines(lines[r], r, "at"), r) for r in ("matrix", "barcodes", "genes"))
+    return matrix.join(barcodes, "sample").join(genes, "sample")
 
 
 @query(
@@ -298,7 +301,7 @@ def _family_files(spark: SparkSession, folder: str) -> str:
             F.lit(0).cast("bigint").alias("pos"), F.concat(F.lit("^SERIES = "), F.col("source")).alias("value"),
         )
     )
-    return _write_lines(lines.unionByName(heads), "soft", "a", "key_ord", "pos")
+    return write_lines(lines.unionByName(heads), "soft", "a", "key_ord", "pos")
 
 
 @query(

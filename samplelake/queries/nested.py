@@ -61,7 +61,7 @@ def unique_part_names(spark: SparkSession, folder: str) -> DataFrame:
     """
     SELECT l_orderkey, l_suppkey, n, l_linestatus || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS name FROM (
       SELECT l_orderkey, l_suppkey, l_linestatus, count(*) AS n,
-             row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey * 1000000 + l_suppkey) - 1 AS k
+             row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_suppkey) - 1 AS k
       FROM lineitem GROUP BY l_orderkey, l_suppkey, l_linestatus
     )
     """
@@ -69,9 +69,7 @@ def unique_part_names(spark: SparkSession, folder: str) -> DataFrame:
 def unique_status_names(spark: SparkSession, folder: str) -> DataFrame:
     """Two names over all rows: every group is hot."""
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_linestatus").agg(F.count("*").alias("n"))
-    place = F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey")
-    numbered = lines.withColumnRenamed("l_linestatus", "name").withColumn("place", place)
-    return make_unique(numbered, "name", "place", block_rows=1 << 32).drop("place")
+    return make_unique(lines.withColumnRenamed("l_linestatus", "name"), "name", ["l_orderkey", "l_suppkey"])
 
 
 @query("SELECT doc_id, text, lang FROM documents")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from samplelake.functions.replies import clean_json, extract_fenced, field, has_fields, parse_lenient
 from samplelake.functions.text import let
 from samplelake.operators.infer import infer
+from samplelake.operators.summary import Summary
 from samplelake.queries.registry import query, table
 from samplelake.session import new_table_path, spread
 
@@ -113,3 +114,28 @@ def stored_replies(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select(
         "prompt_key", "n_tokens_in", "n_tokens_out", "text", F.coalesce("early", F.lit(False)).alias("stored")
     )
+
+
+def unsteady_model(prompt: str) -> str:
+    """A stand-in that answers prompts with an odd number of words only."""
+    return counting_model(prompt) if len(prompt.split()) % 2 else "none"
+
+
+@query(
+    r"""
+    WITH asked AS (SELECT text, len(regexp_extract_all(text, '\S+')) AS words FROM (SELECT DISTINCT text FROM documents)),
+    sums AS (
+      SELECT count(*) AS n, count(*) FILTER (words % 2 = 0) AS failed, sum(words)::BIGINT AS tokens FROM asked
+    )
+    SELECT unnest(['prompts', 'replies', 'replies', 'replies', 'replies', 'replies']) AS item,
+           unnest(['rows', 'rows', 'errors', 'calls', 'tokens_in', 'tokens_out']) AS metric,
+           unnest([n, n, failed, n + 2 * failed, tokens, 2 * n - failed]) AS n FROM sums
+    """
+)
+def reply_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """What was asked and paid for: a prompt without a valid reply is tried three times. Several calls
+    are made at a time in each task."""
+    docs = table(spark, folder, "documents").select(F.sha2("text", 256).alias("prompt_key"), F.col("text").alias("prompt"))
+    summary = Summary()
+    infer(docs, unsteady_model, retries=3, parallel=spark.sparkContext.defaultParallelism, in_flight=4, summary=summary)
+    return summary.table(spark)

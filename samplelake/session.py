@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -83,9 +82,8 @@ def new_table_path(spark: SparkSession, label: str) -> str:
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once its results are written."""
-    system, path = fs.FileSystem.from_uri(_tables(spark))
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from samplelake.operators.joins import join_dim
-from samplelake.session import new_table_path
+from samplelake.session import materialise, new_table_path
 
 ERRORS = "file string, stage string, message string"
 #: Paths that are listed and read by one job.
@@ -54,11 +54,17 @@ class Files:
     """``lines(file, block, n, full, value)``: ``n`` numbers the lines of a file from 0, ``full``
     those that are not blank (for a blank one, the next of them). ``files(file, size, digest,
     n_lines, n_full)``: all that were read, empty ones included; size and digest of the content
-    are known for compressed files and members. ``errors(file, stage, message)``."""
+    are known for compressed files and members. ``errors(file, stage, message)``.
+
+    ``parts(file, block, n, full, value)`` are the lines as they are stored, with numbers inside
+    their block, and ``before(file, block, n_before, full_before)`` what stands before each block.
+    A task reads ``parts`` in the order of the file; ``lines`` may come in any order."""
 
     lines: DataFrame
     files: DataFrame
     errors: DataFrame
+    parts: DataFrame
+    before: DataFrame
 
 
 def plain_path(path: Column) -> Column:
@@ -80,13 +86,23 @@ def _listed(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[tupl
         return [unquote(f) for f in found], []
     except (AnalysisException, Py4JJavaError) as error:
         if len(paths) == 1:
-            return [], [(paths[0], "list", str(error).splitlines()[0])]
+            told = error.java_exception.toString() if isinstance(error, Py4JJavaError) else str(error)
+            return [], [(paths[0], "list", told.splitlines()[0])]
     half = len(paths) // 2
     parts = [_listed(spark, some) for some in (paths[:half], paths[half:])]
     return parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]
 
 
-def _batches(paths: DataFrame | str | Sequence[str], size: int) -> Iterator[list[str]]:
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``file`` for files, folders and globs, those of length 0 included, which Spark's readers
+    pass over; contents are not read. Spark has the listing on the driver as for any read."""
+    found, bad = _listed(spark, [paths] if isinstance(paths, str) else list(paths))
+    if bad:
+        raise FileNotFoundError(f"{bad[0][0]}: {bad[0][2]}")
+    return spark.createDataFrame([(f,) for f in found], "file string").select(plain_path(F.col("file")).alias("file"))
+
+
+def batches(paths: DataFrame | str | Sequence[str], size: int) -> Iterator[list[str]]:
     if isinstance(paths, DataFrame):
         named = paths.select(F.trim(F.col(paths.columns[0])).alias("path")).filter("path <> ''").distinct()
         rows: Iterable[str] = (r["path"] for r in named.toLocalIterator())
@@ -124,11 +140,14 @@ def _read(stream) -> Iterator[bytes]:
 
 def inflated(pieces: Iterable[bytes]) -> Iterator[bytes]:
     """The content of a gzip file of one or more members, in pieces of bounded size. An error if it
-    ends early; nothing at all is an empty file."""
+    ends early; nothing at all is an empty file. What comes after a member and is none is passed
+    over, as is usual."""
     stream, empty = zlib.decompressobj(31), True
     for piece in pieces:
         while piece:
             if stream.eof:
+                if not piece.startswith(b"\x1f"):
+                    return
                 stream = zlib.decompressobj(31)
             empty = False
             data = stream.decompress(piece, BLOCK_BYTES)
@@ -330,7 +349,7 @@ def read_files(
     spark.createDataFrame([], ERRORS).write.parquet(unlisted)
     spark.createDataFrame([], "file string").write.parquet(empty)
     kept = F.col("mark").isNotNull() | (F.lit(True) if keep is None else keep)
-    for some in _batches(paths, batch):
+    for some in batches(paths, batch):
         found, bad = _listed(spark, some)
         if bad:
             spark.createDataFrame(bad, ERRORS).write.mode("append").parquet(unlisted)
@@ -342,11 +361,11 @@ def read_files(
         plain = sorted(set(found) - set(packed))
         for reader, own in ((_packed, packed), (_plain, plain)):
             if own:
-                reader(spark, [_escaped(f) for f in own]).filter(kept).write.mode("append").parquet(target)
+                reader(spark, [escaped(f) for f in own]).filter(kept).write.mode("append").parquet(target)
     return _files(spark.read.schema(_RAW).parquet(target), spark.read.schema("file string").parquet(empty), spark.read.schema(ERRORS).parquet(unlisted))
 
 
-def _escaped(path: str) -> str:
+def escaped(path: str) -> str:
     """A path as a reader takes it, without what it would read as a pattern."""
     return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
 
@@ -358,8 +377,9 @@ def _files(raw: DataFrame, listed: DataFrame, unlisted: DataFrame) -> Files:
     before = blocks.select(
         "file", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "full")]
     )
+    before = materialise(before, "blocks")
     own = raw.filter(F.col("mark").isNull()).select("file", "block", "n", "full", "value")
-    lines = join_dim(own, before, ["file", "block"], "inner").select(
+    lines = join_dim(own, before, ["file", "block"], "inner", stored=True).select(
         "file", "block", (F.col("n") + F.col("n_before")).alias("n"), (F.col("full") + F.col("full_before")).alias("full"), "value"
     )
     ends = raw.filter(F.col("mark") == FILE)
@@ -370,4 +390,4 @@ def _files(raw: DataFrame, listed: DataFrame, unlisted: DataFrame) -> Files:
         F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_full", F.lit(0)).alias("n_full"),
     )
     errors = ends.filter("problem IS NOT NULL").select("file", F.lit("read").alias("stage"), F.col("problem").alias("message"))
-    return Files(lines, whole.unionByName(plain), unlisted.unionByName(errors))
+    return Files(lines, whole.unionByName(plain), unlisted.unionByName(errors), own, before)

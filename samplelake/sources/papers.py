@@ -55,31 +55,30 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 # The default single-cell workflow. Names decide whether a reply is a hit and
 # ids the order, so both are data: (id, dependencies, name, type, optional, tool required).
-_P, _C = "process", "cell_type_process"
 DEFAULT_TASKS = (
     (1, (), "Raw Data", "input", False, False),
-    (2, (1,), "Sample Metadata Alignment", _P, False, False),
-    (3, (2,), "Quality Control", _P, False, True),
-    (4, (3,), "Normalization", _P, False, True),
-    (5, (4,), "Feature selection", _P, False, True),
-    (6, (5,), "Data integration", _P, True, True),
-    (7, (6,), "Dimensionality Reduction", _P, False, True),
-    (8, (7,), "Clustering", _P, False, True),
-    (9, (8,), "Cell-type Annotation", _P, False, True),
-    (10, (9,), "Malignant Cell Detection", _P, True, True),
-    (11, (9,), "Compositional analysis", _P, True, False),
-    (12, (9,), "Differential Gene Expression Analysis", _P, True, False),
-    (13, (12,), "Enrichment and Pathway Analysis", _P, True, True),
-    (14, (9,), "Cell-type Specificity Analysis", _P, False, False),
+    (2, (1,), "Sample Metadata Alignment", "process", False, False),
+    (3, (2,), "Quality Control", "process", False, True),
+    (4, (3,), "Normalization", "process", False, True),
+    (5, (4,), "Feature selection", "process", False, True),
+    (6, (5,), "Data integration", "process", True, True),
+    (7, (6,), "Dimensionality Reduction", "process", False, True),
+    (8, (7,), "Clustering", "process", False, True),
+    (9, (8,), "Cell-type Annotation", "process", False, True),
+    (10, (9,), "Malignant Cell Detection", "process", True, True),
+    (11, (9,), "Compositional analysis", "process", True, False),
+    (12, (9,), "Differential Gene Expression Analysis", "process", True, False),
+    (13, (12,), "Enrichment and Pathway Analysis", "process", True, True),
+    (14, (9,), "Cell-type Specificity Analysis", "process", False, False),
     (15, (14,), "Cell with different types", "output", True, False),
-    (16, (15,), "Dimensionality Reduction", _C, True, True),
-    (17, (15, 16), "Subtype Explorations and Annotation", _C, False, True),
-    (18, (17,), "Trajectory Analysis", _C, False, True),
-    (19, (17,), "Compositional analysis", _C, False, False),
-    (20, (17,), "Differential Gene Expression Analysis", _C, False, True),
-    (21, (20,), "Enrichment and Pathway Analysis", _C, False, True),
-    (22, (17,), "Gene Regulatory Networks", _C, False, True),
-    (23, (17,), "Cell-Cell Communication", _C, False, True),
+    (16, (15,), "Dimensionality Reduction", "cell_type_process", True, True),
+    (17, (15, 16), "Subtype Explorations and Annotation", "cell_type_process", False, True),
+    (18, (17,), "Trajectory Analysis", "cell_type_process", False, True),
+    (19, (17,), "Compositional analysis", "cell_type_process", False, False),
+    (20, (17,), "Differential Gene Expression Analysis", "cell_type_process", False, True),
+    (21, (20,), "Enrichment and Pathway Analysis", "cell_type_process", False, True),
+    (22, (17,), "Gene Regulatory Networks", "cell_type_process", False, True),
+    (23, (17,), "Cell-Cell Communication", "cell_type_process", False, True),
 )
 
 

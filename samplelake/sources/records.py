@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplelake.functions.text import clean_summary, format_key, let, strip
+from samplelake.session import materialise
 
 # Tags that never hold content, and tags whose text is not shown.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -92,21 +94,27 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("")
         self.open = [self.root]
+        # Where in ``open`` the elements of a tag are.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+
+    def _close(self, depth: int) -> None:
+        for node in self.open[depth:]:
+            self.places[node.tag].pop()
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
         values = dict(attrs)
         if tag == "p" and self.open[-1].tag == "p":
-            self.open.pop()
+            self._close(len(self.open) - 1)
         node = _Node(tag, tuple((values.get("class") or "").split()), values.get("href"))
         self.open[-1].parts.append(node)
         if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
+        if self.places[tag]:
+            self._close(self.places[tag][-1])
 
     def handle_data(self, data):
         self.open[-1].parts.append(data)
@@ -163,22 +171,44 @@ def _last_wins(pairs: Column) -> Column:
     return let(pairs, mapped)
 
 
+def _parsed(pages: DataFrame, html: str, rules: Rules, key: str) -> DataFrame:
+    """``key, records, error`` of each page; a page that cannot be read has an error alone."""
+    key_type = pages.schema[key].dataType.simpleString()
+    raw = f"array<struct<title:string,summary:string,details:{_PAIRS},links:{_PAIRS}>>"
+
+    def read(page: str | None) -> tuple[list[dict] | None, str | None]:
+        try:
+            return _records(page, rules), None
+        except Exception as error:  # the parser has errors of many kinds
+            return None, f"{type(error).__name__}: {error}"
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [read(page) for page in batch[html]]
+            yield pd.DataFrame({key: batch[key], "records": [f for f, _ in found], "error": [e for _, e in found]})
+
+    return pages.select(key, html).mapInPandas(parse, f"`{key}` {key_type}, records {raw}, error string")
+
+
 def extract_records(pages: DataFrame, html: str = "html", rules: Rules = RESULT_PAGE, *, key: str = "page_id") -> DataFrame:
     """``key, rec_no, title, summary, details, links, url``, one row per record of a page.
 
     Pages are read by a small parser inside the tasks of the scan; everything after the raw
     texts is columns. ``details`` and ``links`` are maps with normalised keys; a record without
-    an accession has no url.
+    an accession has no url. A page that cannot be read gives no record (``read_pages`` tells why).
     """
-    key_type = pages.schema[key].dataType.simpleString()
-    raw = f"array<struct<title:string,summary:string,details:{_PAIRS},links:{_PAIRS}>>"
+    return _records_of(_parsed(pages, html, rules, key), rules, key)
+
+
+def read_pages(pages: DataFrame, html: str = "html", rules: Rules = RESULT_PAGE, *, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """The records (``extract_records``) and ``key, stage, message`` of the pages that cannot be read.
+    Pages are parsed once."""
+    parsed = materialise(_parsed(pages, html, rules, key), "pages")
+    bad = parsed.filter("error IS NOT NULL").select(key, F.lit("page").alias("stage"), F.col("error").alias("message"))
+    return _records_of(parsed, rules, key), bad
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_records(page, rules) for page in batch[html]]
-            yield pd.DataFrame({key: batch[key], "records": found})
 
-    parsed = pages.select(key, html).mapInPandas(parse, f"`{key}` {key_type}, records {raw}")
+def _records_of(parsed: DataFrame, rules: Rules, key: str) -> DataFrame:
     rows = parsed.select(key, F.posexplode("records").alias("rec_no", "r"))
 
     def tidy(pair: Column) -> Column:

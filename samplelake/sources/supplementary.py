@@ -1,104 +1,82 @@
-"""Supplementary files: listing, peeks, archives, types."""
+"""Supplementary files: peeks, archive members, types."""
 
 from __future__ import annotations
 
-import gzip
-import io
-import tarfile
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplelake.functions.filetypes import file_type
 from samplelake.functions.text import cut_line
-from samplelake.operators.ordered import first_n
-from samplelake.sources.soft import list_files, read_lines
+from samplelake.operators.joins import join_dim
+from samplelake.session import materialise, new_table_path
+from samplelake.sources.files import INSIDE, PATHS, Files, batches, escaped, is_archive, plain_path, read_files
 
-MEMBER = "archive string, member string, content binary, error string"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
-def base_name(path) -> F.Column:
+def base_name(path) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def peek_files(spark: SparkSession, paths: str | Sequence[str], n: int = 10, width: int = 100) -> DataFrame:
+def bare_path(path: Column) -> Column:
+    """A path without scheme and authority."""
+    return F.regexp_replace(plain_path(path), _SCHEME, "")
+
+
+def peek_files(spark: SparkSession, paths: DataFrame | str | Sequence[str], n: int = 10, width: int = 100) -> DataFrame:
     """``file, lines, total``: the first ``n`` lines, long ones cut, and the number of lines.
 
-    Plain and gzip text. Counts are summed before they move, and at most ``n`` lines per file
-    leave a task. An empty file has no lines and a total of 0.
+    Plain and gzip text, and the files in archives. Lines are counted where they are read, and only
+    the first ones are kept. An empty file has no lines and a total of 0; a file that cannot be read
+    has no row.
     """
-    lines = read_lines(spark, paths)
-    totals = lines.groupBy("file").agg(F.count("*").alias("total"))
-    head = first_n(lines.withColumn("value", cut_line(F.col("value"), width)), "file", ["block", "at"], n)
-    ordered = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    files = read_files(spark, paths, keep=F.col("n") < n)
+    head = files.lines.filter(F.col("n") < n).withColumn("value", cut_line(F.col("value"), width))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "value")))
     peeks = head.groupBy("file").agg(F.transform(ordered, lambda r: r["value"]).alias("lines"))
     none = F.array().cast("array<string>")
-    listed = list_files(spark, paths).join(totals.join(peeks, "file"), "file", "left")
-    return listed.select("file", F.coalesce("lines", none).alias("lines"), F.coalesce("total", F.lit(0)).alias("total"))
-
-
-def _members(path: str) -> Iterator[tuple[str, bytes]]:
-    """Base name and content of the files of a tar archive, read as a stream, twice: names
-    first, since of two members with one name the later one counts."""
-    system, name = fs.FileSystem.from_uri(path)
-
-    def walk() -> Iterator[tuple[int, tarfile.TarInfo, tarfile.TarFile]]:
-        with system.open_input_stream(name, compression=None) as handle, tarfile.open(fileobj=handle, mode="r|*") as tar:
-            for i, info in enumerate(tar):
-                if info.isfile():
-                    yield i, info, tar
-
-    last = {info.name.rsplit("/", 1)[-1]: i for i, info, _ in walk()}
-    for i, info, tar in walk():
-        base = info.name.rsplit("/", 1)[-1]
-        if last[base] == i:
-            yield base, tar.extractfile(info).read()
-
-
-def expand_archives(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``archive, member, content, error``: the files in tar archives, folders flattened, each
-    name once per archive. One task streams one archive and holds one member at a time; a member
-    must fit a binary cell (2 GB). An archive that cannot be read to its end has one row, with
-    ``error`` alone. Nothing is written to disk."""
-    listed = list_files(spark, paths).select("file").repartition("file")
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["file"]:
-                try:
-                    for member, content in _members(path):
-                        yield pd.DataFrame({"archive": [path], "member": [member], "content": [content], "error": [None]})
-                except (OSError, EOFError, tarfile.TarError, zlib.error) as error:
-                    message = f"{type(error).__name__}: {error}"
-                    yield pd.DataFrame({"archive": [path], "member": [None], "content": [None], "error": [message]})
-
-    return listed.mapInPandas(expand, MEMBER)
-
-
-def peek_members(members: DataFrame, n: int = 10, width: int = 100) -> DataFrame:
-    """``archive, member, lines, total`` for the text files among archive members; gzip members
-    are read through. Rows of archives that could not be read are left out."""
-
-    def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for archive, member, content in zip(batch["archive"], batch["member"], batch["content"]):
-                raw = io.BytesIO(content)
-                stream = gzip.open(raw) if member.lower().endswith(".gz") else raw
-                head, total = [], 0
-                for total, line in enumerate(stream, 1):
-                    if total <= n:
-                        head.append(line.decode("utf-8", "replace").rstrip("\r\n"))
-                rows.append((archive, member, head, total))
-            yield pd.DataFrame(rows, columns=["archive", "member", "lines", "total"])
-
-    schema = "archive string, member string, lines array<string>, total bigint"
-    good = members.filter(F.col("member").isNotNull()).select("archive", "member", "content")
-    return good.mapInPandas(peek, schema).withColumn("lines", F.transform("lines", lambda x: cut_line(x, width)))
+    return files.files.join(peeks, "file", "left").select("file", F.coalesce("lines", none).alias("lines"), F.col("n_lines").alias("total"))
+
+
+def with_members(supp: DataFrame, files: Files) -> DataFrame:
+    """``sample, name, path`` of ``supp`` with the files in its archives, folders flattened, in the
+    place of the archives. ``files`` are those read, of which the archives are some."""
+    rows = supp.select("sample", "name", "path")
+    inside = files.files.select("file", F.split("file", INSIDE, 2).alias("p")).filter(F.size("p") == 2)
+    members = inside.select(bare_path(F.col("p")[0]).alias("bare"), base_name(F.col("p")[1]).alias("name"), F.col("file").alias("path"))
+    archives = rows.filter(is_archive(F.col("name"))).select("sample", bare_path(F.col("path")).alias("bare"))
+    opened = join_dim(members, archives, "bare", "inner").select("sample", "name", "path")
+    return rows.filter(~is_archive(F.col("name"))).unionByName(opened)
+
+
+def one_per_name(supp: DataFrame, files: Files) -> tuple[DataFrame, DataFrame]:
+    """``sample, name, path`` with each name once in a sample, and ``sample, message`` of the names
+    that are left out.
+
+    Of files with one name in a sample, all with the same content are one, the one with the first
+    path; if contents differ none is taken. The content is told by its digest: the one taken when a
+    compressed file or a member was read, or, for a plain file that shares its name, of its bytes.
+    """
+    spark = supp.sparkSession
+    rows = supp.select("sample", "name", "path").distinct()
+    many = rows.groupBy("sample", "name").agg(F.count("*").alias("n")).filter("n > 1").select("sample", "name")
+    twice = join_dim(rows, many, ["sample", "name"], "left_semi")
+    bare = files.files.select(bare_path(F.col("file")).alias("bare"), "file", "digest")
+    told = join_dim(twice.withColumn("bare", bare_path(F.col("path"))), bare, "bare").select("sample", "name", "path", "file", "digest")
+    told = materialise(told, "same-names")
+    sums = new_table_path(spark, "digests")
+    spark.createDataFrame([], "bare string, own string").write.parquet(sums)
+    for some in batches(told.filter("digest IS NULL AND file IS NOT NULL").select("file"), PATHS):
+        found = spark.read.format("binaryFile").load([escaped(f) for f in some])
+        found.select(bare_path(F.col("path")).alias("bare"), F.sha2("content", 256).alias("own")).write.mode("append").parquet(sums)
+    plain = spark.read.schema("bare string, own string").parquet(sums)
+    told = join_dim(told.withColumn("bare", bare_path(F.col("path"))), plain, "bare", stored=True).withColumn("digest", F.coalesce("digest", "own"))
+    kept = told.groupBy("sample", "name").agg(F.min("path").alias("path"), F.count_distinct(F.coalesce("digest", F.col("path"))).alias("kinds"))
+    single = join_dim(rows, many, ["sample", "name"], "left_anti")
+    odd = kept.filter("kinds > 1").select("sample", F.concat(F.lit("files of one name differ: "), F.col("name")).alias("message"))
+    return single.unionByName(kept.filter("kinds = 1").select("sample", "name", "path")), odd
 
 
 def sample_type(supp: DataFrame, last_wins: bool = False) -> DataFrame:

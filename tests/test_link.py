@@ -70,3 +70,31 @@ def test_rare_grams_only_in_the_join(spark):
     mentions = aliases.selectExpr("alias AS mention")
     scores = alias_scores(mentions, aliases, 0.95)
     assert scores.filter("mention = alias").count() == 300
+
+
+def test_a_gram_of_half_of_all_aliases(spark, monkeypatch):
+    from samplelake.operators import link
+
+    monkeypatch.setattr(link.candidate_pairs, "__defaults__", (50,))
+    rng = random.Random(2)
+    aliases = [(f"C{i % 26:02d}", ("lun" if i % 2 else "") + "".join(rng.choices("abcdefgh", k=rng.randint(1, 5)))) for i in range(200)]
+    concepts = [(f"C{i:02d}", f"name {i}", "text") for i in range(26)]
+    mentions = [a for _, a in aliases[::3]] + ["lun", "lung", "lunab"]
+    links = link_concepts(
+        spark.createDataFrame([(m,) for m in mentions], "mention string"),
+        spark.createDataFrame(aliases, "concept_id string, alias string"),
+        spark.createDataFrame(concepts, "concept_id string, canonical_name string, definition string"), 30, 0.4,
+    )
+    got = {r["mention"]: (r["concept_id"], r["score"], r["label"]) for r in links.collect()}
+    assert got == brute(mentions, aliases, concepts, 30, 0.4)
+
+
+def test_vectors_are_fetched_for_distinct_pairs_only(spark):
+    from samplelake.operators import link
+
+    aliases = spark.createDataFrame([("C", f"alias number {i}") for i in range(50)], "concept_id string, alias string")
+    idf, known = link.alias_vectors(aliases)
+    asked = link._numbered(link._vectors(link._gram_counts(aliases.selectExpr("alias AS mention"), "mention"), idf, "mention"), "mention")
+    pairs = link.candidate_pairs(asked, known, 0.5)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "vec#" not in plan and pairs.count() == pairs.distinct().count() > 0

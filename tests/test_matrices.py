@@ -99,18 +99,41 @@ def test_faulty_dense_tables_do_not_touch_others(spark, tmp_path):
     folder = tmp_path / "50% of it"
     folder.mkdir()
     contents = {
-        "good": 'id,"g,1",g2\n"a,b",5,6\n"say ""x""",1,2\n', "uneven": "id,g1,g2\nr1,1,2\nr2,3\nr3,4,5,6\n",
-        "misfit": "id,g1,g2,g3,g4\nr1,1\n", "empty": "",
+        "good": 'id,"g,1",g2\n"a,b",5,6\n"say ""x""",1,2\n', "uneven": "id,g1,g2\nr1,1,2\nr2,3\nr3,4,5,6\nr4,7,8\n",
+        "misfit": "id,g1,g2,g3,g4\nr1,1\n", "empty": "", "short": "id,g1,g2\nr0,9\nr1,1,2\nr2,3,4\n", "long": "g1,g2\nr0,9,9,9\nr1,1,2\n\nr2,3,4\n",
+        "breaks": 'id,"g\n1",g2\n"a\n\nb",5,"6"\nr"2,7,"8\n"\n"c\nd","1\n0",11\nr3,12,13\n',
+        "stray": 'id,g1,g2\n"r1,1,2\nr2,3,4\nr3,5,6\n',
     }
     for name, content in contents.items():
         (folder / f"{name}.csv").write_text(content)
-    spec = spark.createDataFrame([(n, str(folder / f"{n}.csv"), ",", True, None) for n in contents],
+    paths = {n: str(folder / f"{n}.csv") for n in contents} | {"none": str(folder / "none.csv"), "cut": str(folder / "cut.csv.gz")}
+    (folder / "cut.csv.gz").write_bytes(gz("id,g1\n" + "".join(f"r{i},{i}\n" for i in range(9999)))[:-20])
+    spec = spark.createDataFrame([(n, p, ",", True, None) for n, p in paths.items()],
                                  "sample string, path string, sep string, cell_by_gene boolean, drop array<string>")
     matrix = read_dense_matrix(spark, spec)
     assert labelled(matrix, "good") == [("a,b", "g,1", 5), ("a,b", "g2", 6), ('say "x"', "g,1", 1), ('say "x"', "g2", 2)]
-    assert labelled(matrix, "uneven") == [("r1", "g1", 1), ("r1", "g2", 2)]
-    assert sorted((r["sample"], r["message"]) for r in matrix.errors.collect()) == [
-        ("empty", "the header does not fit: 0 names, 0 fields in the first line"),
-        ("misfit", "the header does not fit: 5 names, 2 fields in the first line"),
+    assert labelled(matrix, "uneven") == [("r1", "g1", 1), ("r1", "g2", 2), ("r4", "g1", 7), ("r4", "g2", 8)]
+    assert labelled(matrix, "short") == labelled(matrix, "long") == [("r1", "g1", 1), ("r1", "g2", 2), ("r2", "g1", 3), ("r2", "g2", 4)]
+    assert labelled(matrix, "breaks") == [
+        ("a\n\nb", "g\n1", 5), ("a\n\nb", "g2", 6), ("c\nd", "g2", 11), ('r"2', "g\n1", 7), ('r"2', "g2", 8), ("r3", "g\n1", 12), ("r3", "g2", 13),
+    ]
+    assert labelled(matrix, "stray") == [('"r1', "g1", 1), ('"r1', "g2", 2), ("r2", "g1", 3), ("r2", "g2", 4), ("r3", "g1", 5), ("r3", "g2", 6)]
+    errors = sorted((r["sample"], r["message"].split(": file:")[0].split(": /")[0]) for r in matrix.errors.collect())
+    assert errors == [
+        ("breaks", "not a number: 1\n0"),
+        ("cut", "not read: EOFError: the compressed file ends early"),
+        ("empty", "the header does not fit: 0 names, 0 fields in most lines"),
+        ("long", "line 2 has 4 fields, not 3"), ("misfit", "the header does not fit: 5 names, 2 fields in most lines"),
+        ("none", "not read: [PATH_NOT_FOUND] Path does not exist"), ("short", "line 2 has 2 fields, not 3"),
         ("uneven", "line 3 has 2 fields, not 3"), ("uneven", "line 4 has 4 fields, not 3"),
     ]
+
+
+def test_a_missing_or_cut_label_file_costs_its_sample_only(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text(HEAD + "1 1 1\n1 1 4\n")
+    (tmp_path / "b.tsv").write_text("c\n")
+    (tmp_path / "cut.gz").write_bytes(gz("c\n" * 9999)[:30])
+    rows = [(s, str(tmp_path / "m.mtx"), str(tmp_path / b), str(tmp_path / "b.tsv")) for s, b in (("a", "b.tsv"), ("b", "none.tsv"), ("c", "cut.gz"))]
+    matrix = read_mtx(spark, spark.createDataFrame(rows, "sample string, matrix string, barcodes string, genes string"))
+    assert [(r["sample"], r["value"]) for r in label_matrix(matrix).collect()] == [("a", 4)]
+    assert sorted((r["sample"], r["message"].split(":")[0]) for r in matrix.errors.collect()) == [("b", "not read"), ("c", "not read")]

@@ -153,3 +153,77 @@ def test_parse_replies(spark):
     got = parse_replies(spark.createDataFrame(data, "prompt_key string, text string, error string"))
     assert {r["prompt_key"]: (r["valid"], r["v"]) for r in got.select("prompt_key", "valid", F.to_json("value").alias("v")).collect()} == {
         "a": (True, '{"x":1}'), "b": (False, None), "c": (False, None), "d": (False, None)}
+
+
+def test_calls_in_flight_are_bounded_and_in_order():
+    import threading
+    import time
+
+    from samplelake.operators.infer import in_order
+
+    lock, now, most = threading.Lock(), 0, []
+
+    def slow(i):
+        nonlocal now
+        with lock:
+            now += 1
+            most.append(now)
+        time.sleep(0.02 * (3 - i % 3))
+        with lock:
+            now -= 1
+        return i * i
+
+    for k in (1, 2, 5):
+        most.clear()
+        begun = time.time()
+        assert list(in_order(slow, range(30), k)) == [i * i for i in range(30)]
+        assert max(most) == k and time.time() - begun < 1.8 / k + 0.6
+
+    # Items are taken as there is room for them.
+    taken = []
+    replies = in_order(lambda i: i, (taken.append(i) or i for i in range(100)), 3)
+    assert next(replies) == 0 and len(taken) <= 4
+    with pytest.raises(ZeroDivisionError):
+        list(in_order(lambda i: 1 // (5 - i), range(9), 3))
+
+
+def test_many_calls_at_once_in_a_task(spark, tmp_path):
+    prompts = spark.createDataFrame([(str(i), f"p{i}") for i in range(40)], "prompt_key string, prompt string")
+
+    def model(prompt):
+        import time
+
+        time.sleep(0.1)
+        return json.dumps({"n": prompt})
+
+    import time
+
+    begun = time.time()
+    got = infer(prompts, model, parallel=1, in_flight=20)
+    assert got.count() == 40 and time.time() - begun < 40 * 0.1
+    with pytest.raises(ValueError, match="in_flight"):
+        infer(prompts, model, in_flight=0)
+
+
+def test_runs_read_their_own_prompts(spark, tmp_path, monkeypatch):
+    from samplelake.operators import infer as module
+    from samplelake.operators.summary import Summary
+
+    monkeypatch.setattr(module, "RUN_PROMPTS", 10)
+    prompts = spark.createDataFrame([(str(i), f"p {i}") for i in range(45)] * 2, "prompt_key string, prompt string")
+    summary, store = Summary(), str(tmp_path / "store")
+
+    def model(prompt):
+        return "odd" if prompt.endswith("7") else json.dumps({"n": prompt})
+
+    assert infer(prompts, model, store=store, retries=2, summary=summary).count() == 45
+    assert len(list((tmp_path / "store").glob("run=*"))) == 4
+    told = {(r["item"], r["metric"]): r["n"] for r in summary.table(spark).collect()}
+    assert told == {
+        ("prompts", "rows"): 45, ("replies", "rows"): 45, ("replies", "errors"): 4, ("replies", "calls"): 49,
+        ("replies", "tokens_in"): 90, ("replies", "tokens_out"): 41 * 3 + 4,
+    }
+    again = Summary()
+    assert infer(prompts, lambda p: json.dumps({"n": 1}), store=store, summary=again).count() == 45
+    told = {(r["item"], r["metric"]): r["n"] for r in again.table(spark).collect()}
+    assert told["prompts", "rows"] == 4 and told["stored replies", "rows"] == 41

@@ -5,8 +5,9 @@ from fixtures import ALONE, FAMILY, LOST, RESULTS, gz, tar_bytes
 from samplelake.operators.attrs import check_prefix, context_lines, long_lines, pair_series, ref_context, sample_text
 from samplelake.sources.papers import TASK, check_tasks, default_tasks, read_papers, read_tasks
 from samplelake.sources.records import extract_records
-from samplelake.sources.soft import broken_files, read_path_list, read_soft
-from samplelake.sources.supplementary import base_name, expand_archives, peek_files, peek_members, sample_type
+from samplelake.sources.files import BLOCK_LINES, PIECE, read_files
+from samplelake.sources.soft import read_path_list, read_soft
+from samplelake.sources.supplementary import base_name, one_per_name, peek_files, sample_type, with_members
 
 
 def write(folder, **files):
@@ -69,9 +70,65 @@ def test_truncated_file_is_an_error_row(spark, tmp_path):
     assert only_bad.attr.count() == 0 and only_bad.errors.count() == 1
 
 
-def test_gzip_of_several_members_is_whole(spark, tmp_path):
-    folder = write(tmp_path, two__gz=gz("a\n") + gz("b\n"), empty__gz=gz(""))
-    assert broken_files(spark, folder).count() == 0
+def test_gzip_files_are_read_in_many_blocks(spark, tmp_path):
+    many = "".join(f"line {i}\n" for i in range(3 * BLOCK_LINES))
+    whole = gz("".join(f"{i:x}" * 40 + "\n" for i in range(40_000)))
+    folder = write(
+        tmp_path, two__gz=gz("a\n") + gz("b\n"), empty__gz=gz(""), many__gz=gz(many), cut__gz=whole[: len(whole) - 9],
+        tail__gz=gz("x\n") + b"\n", odd__gz=b"no gzip", ends__gz=gz("a\r\nb\rc\n\nlast"),
+    )
+    files = read_files(spark, folder)
+    named = {r["file"].rsplit("/", 1)[1]: (r["n_lines"], r["n_full"]) for r in files.files.collect()}
+    assert named == {"two.gz": (2, 2), "empty.gz": (0, 0), "many.gz": (3 * BLOCK_LINES,) * 2, "tail.gz": (1, 1), "ends.gz": (5, 4)}
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in files.errors.collect()) == ["cut.gz", "odd.gz"]
+    rows = files.lines.filter(F.col("file").endswith("many.gz"))
+    assert rows.select("block").distinct().count() >= 3 and rows.filter("value <> concat('line ', n) OR n <> full").count() == 0
+    ends = files.lines.filter(F.col("file").endswith("ends.gz")).orderBy("n")
+    assert [(r["value"], r["full"]) for r in ends.collect()] == [("a", 0), ("b", 1), ("c", 2), ("", 3), ("last", 3)]
+    # One pass over the compressed bytes; lines are not shuffled.
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_lines_in_pieces():
+    from samplelake.sources.files import _lines, inflated
+
+    text = b"one\r\ntwo\rthree\n\n\rlast"
+    for size in (1, 2, 3, 7, 100):
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        assert [x for some in _lines(pieces) for x in some] == text.splitlines()
+    data = gz("x" * 100_000) + gz("y" * 10)
+    for size in (1, 1000, PIECE):
+        assert b"".join(inflated(data[i : i + size] for i in range(0, len(data), size))) == b"x" * 100_000 + b"y" * 10
+
+
+def test_blocks_of_plain_files_are_numbered(spark, tmp_path):
+    folder = write(tmp_path / "a [b] 50%", **{"many__txt": "".join(f"{i}\n" if i % 3 else " \n" for i in range(5000)), "none__txt": ""})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        files = read_files(spark, folder.replace("[", "\\[").replace("]", "\\]"))
+        rows = files.lines.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len({r["block"] for r in rows}) > 5 and sorted(r["n"] for r in rows) == list(range(5000))
+    assert all(r["value"] == (str(r["n"]) if r["n"] % 3 else " ") and r["full"] == r["n"] - (r["n"] + 2) // 3 for r in rows)
+    assert sorted((r["n_lines"], r["n_full"]) for r in files.files.collect()) == [(0, 0), (5000, 3333)]
+
+
+def test_paths_that_are_not_there_do_not_stop_others(spark, tmp_path):
+    folder = write(tmp_path, a__soft=FAMILY, b__soft=ALONE)
+    lists = write(tmp_path / "lists", l__txt=f"{folder}/a.soft\n{folder}/none.soft\n \n{folder}/b.soft\nodd://x/y.soft\n{folder}/z*.soft\n")
+    soft = read_soft(spark, read_path_list(spark, lists))
+    assert attributes(soft) == sorted(expected(FAMILY) + expected(ALONE))
+    errors = {r["file"].rsplit("/", 1)[-1]: (r["stage"], r["message"]) for r in soft.errors.collect()}
+    assert set(errors) == {"none.soft", "y.soft", "z*.soft"} and {stage for stage, _ in errors.values()} == {"list"}
+    assert "does not exist" in errors["none.soft"][1]
+    batched = read_files(spark, read_path_list(spark, lists), batch=1)
+    assert batched.files.count() == 2 and batched.errors.count() == 3
+    nothing = read_soft(spark, [f"{folder}/none.soft"])
+    assert nothing.attr.count() == nothing.entity.count() == 0 and nothing.errors.count() == 1
 
 
 def test_path_list(spark, tmp_path):
@@ -132,35 +189,43 @@ def test_peeks(spark, tmp_path):
     assert peeks["c.txt"] == ([], 0)
 
 
-@pytest.mark.parametrize("mode,name", [("w", "bundle.tar"), ("w:gz", "bundle.tar.gz")])
+@pytest.mark.parametrize("mode,name", [("w", "bundle.tar"), ("w:gz", "bundle.tar.gz"), ("w:gz", "bundle.tgz")])
 def test_archives(spark, tmp_path, mode, name):
-    members = [("top.csv", b"a,b\n1,2\n"), ("deep", None), ("deep/in.txt.gz", gz("l1\nl2\n")), ("deep/top.csv", b"later\n")]
+    cut = gz("".join(f"{i}\n" for i in range(9000)))
+    members = [("top.csv", b"a,b\n1,2\n"), ("deep", None), ("deep/in.txt.gz", gz("l1\nl2\n")), ("bad.gz", cut[:2000]), ("deep/top.csv", b"later\n")]
     (tmp_path / name).write_bytes(tar_bytes(members, mode))
-    found = expand_archives(spark, str(tmp_path / name)).cache()
-    contents = {r["member"]: bytes(r["content"]) for r in found.collect()}
-    assert sorted(contents) == ["in.txt.gz", "top.csv"] and contents["top.csv"] == b"later\n"
-    peeks = {r["member"]: (r["lines"], r["total"]) for r in peek_members(found).collect()}
-    assert peeks == {"top.csv": (["later"], 1), "in.txt.gz": (["l1", "l2"], 2)}
+    peeks = {r["file"].split("!/")[1]: (r["lines"], r["total"]) for r in peek_files(spark, str(tmp_path / name)).collect()}
+    assert peeks == {"top.csv": (["a,b", "1,2"], 2), "deep/in.txt.gz": (["l1", "l2"], 2), "deep/top.csv": (["later"], 1)}
+    files = read_files(spark, str(tmp_path / name))
+    assert [r["file"].split("!/")[1] for r in files.errors.collect()] == ["bad.gz"]
+    supp = spark.createDataFrame([("s", name, str(tmp_path / name)), ("s", "own.txt", "/x/own.txt")], "sample string, name string, path string")
+    found = with_members(supp, files)
+    assert sorted(r["name"] for r in found.collect()) == ["in.txt.gz", "own.txt", "top.csv", "top.csv"]
+    single, odd = one_per_name(found, files)
+    assert sorted(r["name"] for r in single.collect()) == ["in.txt.gz", "own.txt"]
+    assert [r["message"] for r in odd.collect()] == ["files of one name differ: top.csv"]
+
+
+def test_one_file_per_name(spark, tmp_path):
+    for folder, contents in {"a": ("same", "one"), "b": ("same", "two"), "c": ("same", "one")}.items():
+        write(tmp_path / folder, x__txt=contents[0], y__txt=contents[1])
+    rows = [("s", f"{n}.txt", str(tmp_path / f / f"{n}.txt")) for f in "abc" for n in "xy"] + [("t", "y.txt", str(tmp_path / "a" / "y.txt"))]
+    rows += rows[:1]
+    supp = spark.createDataFrame(rows, "sample string, name string, path string")
+    single, odd = one_per_name(supp, read_files(spark, supp.select("path")))
+    assert sorted((r["sample"], r["name"], r["path"][-7:]) for r in single.collect()) == [("s", "x.txt", "a/x.txt"), ("t", "y.txt", "a/y.txt")]
+    assert [tuple(r) for r in odd.collect()] == [("s", "files of one name differ: y.txt")]
 
 
 def test_a_cut_archive_does_not_stop_others(spark, tmp_path):
-    import io
-    import tarfile
-
-    def tar(size):
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as archive:
-            for name in ("a.txt", "b.txt"):
-                info = tarfile.TarInfo(name)
-                info.size = size
-                archive.addfile(info, io.BytesIO(b"x" * size))
-        return out.getvalue()
-
-    (tmp_path / "good.tar").write_bytes(tar(3000))
-    (tmp_path / "cut.tar").write_bytes(tar(30_000)[:45_000])
-    found = expand_archives(spark, str(tmp_path)).collect()
-    assert sorted(r["member"] for r in found if r["error"] is None) == ["a.txt", "b.txt"]
-    assert [r["archive"].rsplit("/", 1)[-1] for r in found if r["error"] is not None] == ["cut.tar"]
+    members = [(f"{n}.txt", f"{n}\n".encode() * 9000) for n in "ab"]
+    (tmp_path / "good.tar").write_bytes(tar_bytes(members))
+    (tmp_path / "cut.tar").write_bytes(tar_bytes(members)[:30_000])
+    files = read_files(spark, str(tmp_path))
+    whole = sorted(r["file"].rsplit("/", 2)[-2:] for r in files.files.collect())
+    assert whole == [["cut.tar!", "a.txt"], ["good.tar!", "a.txt"], ["good.tar!", "b.txt"]]
+    assert [r["file"].rsplit("/", 1)[-1] for r in files.errors.collect()] == ["cut.tar"]
+    assert files.lines.filter(F.col("file").contains("cut.tar")).filter("value <> 'a'").count() == 0
 
 
 def test_peeks_of_empty_files(spark, tmp_path):
@@ -178,6 +243,25 @@ def test_a_deep_page(spark):
     assert counts[1] == counts[2] > 0
 
 
+def test_a_page_that_cannot_be_read_does_not_stop_others(spark):
+    from samplelake.sources.records import read_pages
+
+    pages = spark.createDataFrame([(1, "<![x[" + RESULTS), (2, RESULTS), (3, None)], "page_id bigint, html string")
+    records, bad = read_pages(pages)
+    assert {r["page_id"] for r in records.collect()} == {2} == {r["page_id"] for r in extract_records(pages).collect()}
+    assert [(r["page_id"], r["stage"]) for r in bad.collect()] == [(1, "page")]
+
+
+def test_end_tags_without_an_element_take_no_time(spark):
+    import time
+
+    from samplelake.sources.records import RESULT_PAGE, _records
+
+    begun = time.time()
+    assert len(_records("<div>" * 40_000 + "</b>" * 40_000 + RESULTS, RESULT_PAGE)) == len(_records(RESULTS, RESULT_PAGE))
+    assert time.time() - begun < 3
+
+
 def test_sample_type(spark):
     supp = spark.createDataFrame(
         [("s1", "m.mtx.gz"), ("s1", "z_barcodes.tsv"), ("s2", "a.csv"), ("s2", "z.bin"), ("s3", "x.bin"), ("s4", "a.csv"), ("s4", "b.rdata")],
