@@ -11,9 +11,9 @@ from operator import not_
 import numpy as np
 
 #: The id put after each document, and about how many distinct words a worker keeps.
-END_ID, KEPT_WORDS = 0, 1_000_000
+END_ID, KEPT_WORDS = 0, 500_000
 #: Characters whose words are looked up at once, and pieces of other texts that are kept.
-TOGETHER, KEPT_PIECES = 1 << 19, 100_000
+TOGETHER, KEPT_PIECES = 1 << 18, 100_000
 _LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ɏ", " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers of other kinds may go on with such a word, and an apostrophe that starts
 #: a word may belong to what is before it.
