@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from samplelake.session import materialise
@@ -24,9 +24,11 @@ def measured_bytes(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
     """The keys that hold more than one ``share``-th of the rows or more than ``HOT_ROWS``; so there are
     fewer than ``share``, or than the rows over ``HOT_ROWS``. Counted with map-side sums."""
-    counts = materialise(df.groupBy(*on).agg(F.count("*").alias("__n")), "key-counts")
-    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("t")).first()["t"]
-    return counts.filter(F.col("__n") > min(total // share, HOT_ROWS)).select(*on)
+    seen = Observation()
+    counted = df.groupBy(*on).agg(F.count("*").alias("__n")).observe(seen, F.coalesce(F.sum("__n"), F.lit(0)).alias("t"))
+    # Where every key is its own row there is nothing to keep.
+    counts = materialise(counted.filter("__n > 1"), "key-counts")
+    return counts.filter(F.col("__n") > min(seen.get["t"] // share, HOT_ROWS)).select(*on)
 
 
 def join_dim(

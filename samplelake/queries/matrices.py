@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from samplelake.operators.ordered import ordinal
 from samplelake.operators.prompts import file_context
 from samplelake.queries.registry import ATTR_SQL, document_attr, query, table
-from samplelake.session import new_table_path
+from samplelake.session import materialise, new_table_path
 from samplelake.sinks.tables import write_matrix
 from samplelake.sources.matrices import Matrix, label_matrix, orient, read_dense_matrix, read_mtx, whole_number
 from samplelake.sources.files import list_files
@@ -16,11 +16,17 @@ from samplelake.sources.soft import read_soft
 from samplelake.sources.supplementary import peek_files, sample_type
 
 
+def file_tasks(spark: SparkSession) -> int:
+    """Tasks that write many files. A given number is kept, where adaptive execution would merge tasks by their
+    bytes and leave thousands of small files to one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def write_lines(lines: DataFrame, label: str, *order: str) -> str:
     """Text files, one per ``part`` value, lines sorted by ``order``. ``lines`` holds ``part,
     value``; a part is small, and parts are spread over the tasks."""
     path = new_table_path(lines.sparkSession, label)
-    sorted_lines = lines.repartition("part").sortWithinPartitions("part", *order)
+    sorted_lines = lines.repartition(file_tasks(lines.sparkSession), "part").sortWithinPartitions("part", *order)
     sorted_lines.select("part", "value").write.partitionBy("part").text(path)
     return path
 
@@ -127,7 +133,7 @@ def supplier_lines(spark: SparkSession, folder: str, run: int, faults: bool = Fa
     items = table(spark, folder, "lineitem").select(
         F.floor(F.col("l_suppkey") / run).cast("string").alias("part"), "l_partkey", "l_suppkey", "l_quantity"
     )
-    owned = items.groupBy("part", "l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    owned = materialise(items.groupBy("part", "l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("bigint").alias("q")), "owned")
 
     # Positions: the labels of each run in key order.
     def placed(key: str, name: str) -> DataFrame:
@@ -138,7 +144,7 @@ def supplier_lines(spark: SparkSession, folder: str, run: int, faults: bool = Fa
     barcodes = cells.select("part", F.col("c").alias("at"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("value"))
     symbols = named.select("part", F.col("g").alias("at"), F.col("p_name").alias("value"))
 
-    entries = owned.join(cells, ["part", "l_suppkey"]).join(genes, ["part", "l_partkey"])
+    entries = materialise(owned.join(cells, ["part", "l_suppkey"]).join(genes, ["part", "l_partkey"]).select("part", "g", "c", "q"), "placed")
     body = entries.select(
         "part", F.lit(2).alias("at"), F.concat_ws(" ", (F.col("g") + 1).cast("string"), (F.col("c") + 1).cast("string"), F.col("q").cast("string")).alias("value")
     )

@@ -14,6 +14,7 @@ import io
 import tarfile
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import groupby, islice
 from urllib.parse import unquote
@@ -30,12 +31,14 @@ from samplelake.operators.joins import join_dim
 from samplelake.session import materialise, new_table_path
 
 ERRORS = "file string, stage string, message string"
-#: Paths that are listed and read by one job.
-PATHS = 5_000
+#: Paths that are listed and read by one job, and how many tasks a core has of a listing.
+PATHS, LISTING_TASKS = 20_000, 4
 #: Bytes of a compressed file that go to a task at once, and the longest such file.
 PIECE, LONGEST = 1 << 20, (1 << 31) - 1024
 #: Lines and bytes of a block, and the longest line of a compressed file.
 BLOCK_LINES, BLOCK_BYTES, LINE_BYTES = 1 << 15, 8 << 20, 64 << 20
+#: Rows that a task passes on at once, as far as its files are small, and bytes that opening a file is worth.
+PASSED_ROWS, OPEN_BYTES = 10_000, 1 << 18
 ARCHIVES = (".tar", ".tar.gz", ".tgz", ".tar.bz2")
 #: Between an archive's path and the path of a file in it.
 INSIDE = "!/"
@@ -79,10 +82,40 @@ def is_archive(path: Column) -> Column:
     return named
 
 
+_LISTING, _OPENING = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes"
+
+
+@contextmanager
+def _at_most(spark: SparkSession, key: str, most: int) -> Iterator[None]:
+    """A setting that is no higher than ``most`` for a while."""
+    before = spark.conf.get(key)
+    # Bytes may be told with a unit; a number in another one than bytes is the user's own choice.
+    if (number := before.removesuffix("b")).isdigit():
+        spark.conf.set(key, str(min(int(number), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _few_tasks(spark: SparkSession):
+    """Listings by a few tasks a core; Spark's own number is a task for each path."""
+    return _at_most(spark, _LISTING, LISTING_TASKS * spark.sparkContext.defaultParallelism)
+
+
+def _loaded(spark: SparkSession, paths: list[str], form: str) -> DataFrame:
+    with _few_tasks(spark):
+        return spark.read.format(form).option("recursiveFileLookup", "true").load(paths)
+
+
+def is_packed(file: str) -> bool:
+    return file.lower().endswith((".gz", *ARCHIVES))
+
+
 def _listed(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
     """The files behind some paths, and the paths that cannot be listed, found by halves."""
     try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).inputFiles()
+        found = _loaded(spark, paths, "binaryFile").inputFiles()
         return [unquote(f) for f in found], []
     except (AnalysisException, Py4JJavaError) as error:
         if len(paths) == 1:
@@ -96,10 +129,15 @@ def _listed(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[tupl
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``file`` for files, folders and globs, those of length 0 included, which Spark's readers
     pass over; contents are not read. Spark has the listing on the driver as for any read."""
+    found = [(f,) for f in listed_paths(spark, paths)]
+    return spark.createDataFrame(found, "file string").select(plain_path(F.col("file")).alias("file"))
+
+
+def listed_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     found, bad = _listed(spark, [paths] if isinstance(paths, str) else list(paths))
     if bad:
         raise FileNotFoundError(f"{bad[0][0]}: {bad[0][2]}")
-    return spark.createDataFrame([(f,) for f in found], "file string").select(plain_path(F.col("file")).alias("file"))
+    return found
 
 
 def batches(paths: DataFrame | str | Sequence[str], size: int) -> Iterator[list[str]]:
@@ -181,7 +219,7 @@ def _lines(pieces: Iterable[bytes]) -> Iterator[list[bytes]]:
 
 def _records(rows: dict) -> pa.RecordBatch:
     n = max(len(v) for v in rows.values())
-    return pa.RecordBatch.from_pydict({name: pa.array(rows.get(name, [None] * n), kind) for name, kind in _TYPES.items()})
+    return pa.RecordBatch.from_pydict({name: pa.array(rows[name], kind) if name in rows else pa.nulls(n, kind) for name, kind in _TYPES.items()})
 
 
 def _one(file: str, pieces: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +315,24 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _problem(file, error)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of some size, since each batch has a price of its own."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= PASSED_ROWS or size >= BLOCK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _packed(spark: SparkSession, files: list[str]) -> DataFrame:
     """The lines of compressed files and archives. Spark's reader gives a whole compressed file, which
     is cut into pieces before it leaves the JVM; longer files than it can hold are errors."""
-    found = spark.read.format("binaryFile").load(files)
+    found = _loaded(spark, files, "binaryFile")
     file = plain_path(F.col("path")).alias("file")
     short = found.filter(F.col("length") <= LONGEST)
     last = F.ceil(F.col("length") / PIECE).cast("int") - 1
@@ -289,44 +341,51 @@ def _packed(spark: SparkSession, files: list[str]) -> DataFrame:
     long = found.filter(F.col("length") > LONGEST).select(
         file, F.lit(FILE).alias("mark"), F.lit(f"longer than {LONGEST} bytes").alias("problem")
     )
-    return cut.mapInArrow(_unpacked, _RAW).unionByName(long, allowMissingColumns=True)
+    return cut.mapInArrow(lambda rows: _together(_unpacked(rows)), _RAW).unionByName(long, allowMissingColumns=True)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the lines of each block, and marks its end with what is in it."""
+    """Numbers the lines of each block, and marks its end with what is in it. A batch may hold the lines of many
+    small files, so it is looked at as a whole."""
     current, n, full = None, 0, 0
     for batch in batches:
         file, block, value = (batch.column(c) for c in ("file", "block", "value"))
-        if not len(value):
+        rows = len(value)
+        if not rows:
             continue
-        change = np.ones(len(value), bool)
-        change[1:] = pc.or_(pc.not_equal(file.slice(1), file.slice(0, len(file) - 1)), pc.not_equal(block.slice(1), block.slice(0, len(block) - 1)))
+        change = np.ones(rows, bool)
+        change[1:] = pc.or_(pc.not_equal(file.slice(1), file.slice(0, rows - 1)), pc.not_equal(block.slice(1), block.slice(0, rows - 1)))
+        change[0] = (file[0].as_py(), block[0].as_py()) != current
         own = pc.not_equal(pc.utf8_trim(value, " "), "").to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.flatnonzero(change)
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(value)], strict=True):
-            key = (file[a].as_py(), block[a].as_py())
-            if key != current:
-                if current is not None:
-                    yield _block_end(current, n, full)
-                current, n, full = key, 0, 0
-            some = own[a:b]
-            yield pa.RecordBatch.from_pydict({
-                "file": file.slice(a, b - a), "block": block.slice(a, b - a), "n": np.arange(n, n + b - a), "full": full + np.cumsum(some) - some,
-                "value": value.slice(a, b - a), **{c: pa.nulls(b - a, _TYPES[c]) for c in ("mark", "size", "digest", "problem")},
-            })
-            n, full = n + b - a, full + int(some.sum())
+        # Rows before the first start go on with the block of the batch before.
+        first = np.concatenate(([0], starts))[np.cumsum(change)]
+        goes_on = np.cumsum(change) == 0
+        before = np.cumsum(own) - own
+        numbers = np.arange(rows) - first + np.where(goes_on, n, 0)
+        fulls = before - before[first] + np.where(goes_on, full, 0)
+        if change[0] and current is not None:
+            yield _block_ends([current[0]], [current[1]], [n], [full])
+        yield pa.RecordBatch.from_pydict({
+            "file": file, "block": block, "n": numbers, "full": fulls, "value": value,
+            **{c: pa.nulls(rows, _TYPES[c]) for c in ("mark", "size", "digest", "problem")},
+        })
+        ends = starts[starts > 0] - 1
+        if len(ends):
+            yield _block_ends(file.take(ends), block.take(ends), numbers[ends] + 1, fulls[ends] + own[ends])
+        current, n, full = (file[rows - 1].as_py(), block[rows - 1].as_py()), int(numbers[-1]) + 1, int(fulls[-1] + own[-1])
     if current is not None:
-        yield _block_end(current, n, full)
+        yield _block_ends([current[0]], [current[1]], [n], [full])
 
 
-def _block_end(key: tuple[str, int], n: int, full: int) -> pa.RecordBatch:
-    return _records({"file": [key[0]], "block": [key[1]], "n": [n], "full": [full], "mark": [BLOCK]})
+def _block_ends(file, block, n, full) -> pa.RecordBatch:
+    return _records({"file": file, "block": block, "n": n, "full": full, "mark": [BLOCK] * len(n)})
 
 
 def _plain(spark: SparkSession, files: list[str]) -> DataFrame:
     # Here a blank or a percent sign in a path is encoded, in a listing it is not.
     encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    lines = spark.read.text(files).select(
+    lines = _loaded(spark, files, "text").select(
         plain_path(F.url_decode(encoded)).alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
     return lines.mapInArrow(_numbered, _RAW)
@@ -357,11 +416,13 @@ def read_files(
         if not names:
             continue
         spark.createDataFrame(names, "file string").select(plain_path(F.col("file")).alias("file")).write.mode("append").parquet(empty)
-        packed = [f for f in found if f.lower().endswith((".gz", *ARCHIVES))]
+        packed = [f for f in found if is_packed(f)]
         plain = sorted(set(found) - set(packed))
         for reader, own in ((_packed, packed), (_plain, plain)):
             if own:
-                reader(spark, [escaped(f) for f in own]).filter(kept).write.mode("append").parquet(target)
+                # Many small files to a task: each task starts Python and writes a file.
+                with _at_most(spark, _OPENING, OPEN_BYTES):
+                    reader(spark, [escaped(f) for f in own]).filter(kept).write.mode("append").parquet(target)
     return _files(spark.read.schema(_RAW).parquet(target), spark.read.schema("file string").parquet(empty), spark.read.schema(ERRORS).parquet(unlisted))
 
 
@@ -379,8 +440,14 @@ def _files(raw: DataFrame, listed: DataFrame, unlisted: DataFrame) -> Files:
     )
     before = materialise(before, "blocks")
     own = raw.filter(F.col("mark").isNull()).select("file", "block", "n", "full", "value")
-    lines = join_dim(own, before, ["file", "block"], "inner", stored=True).select(
-        "file", "block", (F.col("n") + F.col("n_before")).alias("n"), (F.col("full") + F.col("full_before")).alias("full"), "value"
+    # Small files are one block each, before which nothing stands, and only a compressed file or a member can
+    # lack its end. So lines meet two short tables instead of a row for each file.
+    inside = F.lower("file").endswith(".gz") | is_archive(F.col("file")) | F.col("file").contains(INSIDE)
+    lost = own.filter(inside).select("file", "block").distinct().join(before, ["file", "block"], "left_anti")
+    later = before.filter("n_before > 0 OR full_before > 0")
+    whole = join_dim(own, lost, ["file", "block"], "left_anti")
+    lines = join_dim(whole, later, ["file", "block"]).select(
+        "file", "block", *[(F.col(c) + F.coalesce(f"{c}_before", F.lit(0))).alias(c) for c in ("n", "full")], "value"
     )
     ends = raw.filter(F.col("mark") == FILE)
     sums = blocks.groupBy("file").agg(F.sum("n").alias("n_lines"), F.sum("full").alias("n_full"))

@@ -116,8 +116,17 @@ def read_mtx(spark: SparkSession, files: DataFrame, read: Files | None = None) -
     cells = materialise(_labels(files, "barcodes", read, "cell_ix", "cell_id"), "cells")
     genes = materialise(_labels(files, "genes", read, "gene_ix", "gene_name"), "genes")
     owner = materialise(_owned(files, "matrix", read), "matrix-owners")
-    every = join_dim(read.lines, owner.select("file").distinct(), "file", "left_semi")
-    lines = every.filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    every = join_dim(read.lines.select("file", "n", "value"), owner.select("file").distinct(), "file", "left_semi")
+    parts = F.split(F.trim("value"), r"\s+")
+    row, col = (F.get(parts, F.lit(i)).try_cast("bigint") for i in (0, 1))
+    # a pattern matrix has no third column: what is listed is there once
+    text = F.coalesce(F.get(parts, F.lit(2)), F.lit("1"))
+    # Stored as they are taken apart, since the size, the entries and the errors are taken from them.
+    lines = materialise(
+        every.filter(~F.col("value").startswith("%") & (F.trim("value") != "")).select(
+            "*", row.alias("row"), col.alias("col"), text.alias("text")
+        ), "matrix-lines",
+    )
 
     # The first line that is no comment gives the size.
     size = lines.groupBy("file").agg(F.min_by("value", "n").alias("size"), F.min("n").alias("size_at"))
@@ -135,9 +144,8 @@ def read_mtx(spark: SparkSession, files: DataFrame, read: Files | None = None) -
         "*", first_is_cell.alias("by_cell"), F.coalesce(first_is_cell | first_is_gene, F.lit(False)).alias("fits")
     ), "sizes")
     fitting = sizes.filter("fits").select("file", "sample", "size_at", "by_cell", "n_rows", "n_cols")
-    plain = join_dim(lines.select("file", "n", "value"), fitting, "file", "inner").filter(F.col("n") > F.col("size_at"))
-    parts = F.split(F.trim("value"), r"\s+")
-    row, col = (F.get(parts, F.lit(i)).try_cast("bigint") for i in (0, 1))
+    plain = join_dim(lines, fitting, "file", "inner").filter(F.col("n") > F.col("size_at"))
+    row, col = F.col("row"), F.col("col")
     parsed = plain.select(
         "sample",
         "by_cell",
@@ -145,8 +153,7 @@ def read_mtx(spark: SparkSession, files: DataFrame, read: Files | None = None) -
         (row - 1).alias("row_ix"),
         (col - 1).alias("col_ix"),
         F.coalesce(row.between(1, F.col("n_rows")) & col.between(1, F.col("n_cols")), F.lit(False)).alias("placed"),
-        # a pattern matrix has no third column: what is listed is there once
-        F.coalesce(F.get(parts, F.lit(2)), F.lit("1")).alias("text"),
+        "text",
     ).withColumn("value", whole_number(F.col("text")))
     misfit = F.concat(
         F.lit("the labels do not fit: size line "), F.coalesce("size", F.lit("missing")), F.lit(", "),

@@ -297,3 +297,49 @@ def test_records(spark):
     assert first["url"] == "https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=GSE77"
     assert (second["title"], second["summary"], second["details"], second["url"]) == ("No parts", None, {}, None)
     assert (third["title"], third["details"], third["url"]) == ("Third", {"id": "5"}, None)
+
+
+def test_small_files_are_numbered_together():
+    import pyarrow as pa
+
+    from samplelake.sources import files as module
+
+    def batch(rows):
+        return pa.RecordBatch.from_pydict({
+            "file": pa.array([r[0] for r in rows], pa.string()), "block": pa.array([r[1] for r in rows], pa.int64()),
+            "value": pa.array([r[2] for r in rows], pa.string()),
+        })
+
+    rows = [(f"f{i // 5}", 0, "" if i % 3 else f"v{i}") for i in range(503)] + [("f100", 9, "x"), ("f100", 9, " "), ("f100", 9, "y")]
+    cuts = [rows[:1], rows[1:202], [], rows[202:505], rows[505:]]
+    got = list(module._numbered(iter([batch(c) for c in cuts])))
+    assert len(got) <= 3 * len(cuts)  # not two for each file
+    told = [r for b in got for r in b.to_pylist()]
+    want, ends = [], {}
+    for file, block, value in rows:
+        n, full = ends.get((file, block), (0, 0))
+        want.append((file, block, n, full, value))
+        ends[file, block] = (n + 1, full + bool(value.strip(" ")))
+    assert [(r["file"], r["block"], r["n"], r["full"], r["value"]) for r in told if r["mark"] is None] == want
+    marks = [(r["file"], r["block"], r["n"], r["full"]) for r in told if r["mark"] == module.BLOCK]
+    assert marks == [(*key, *n) for key, n in ends.items()]
+
+
+def test_settings_are_lowered_for_a_while(spark):
+    from samplelake.sources import files as module
+
+    keys = (module._LISTING, module._OPENING)
+    before = [spark.conf.get(k) for k in keys]
+    for key in keys:
+        with module._at_most(spark, key, 7):
+            assert spark.conf.get(key).removesuffix("b") == "7"
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_many_small_files_are_written_by_many_tasks(spark):
+    from samplelake.queries.matrices import write_lines, written_parts
+
+    lines = spark.range(120).selectExpr("cast(id div 3 as string) AS part", "id AS at", "concat('v', id) AS value")
+    files = [r["path"] for r in written_parts(spark, write_lines(lines, "small", "at"), "path").collect()]
+    tasks = {f.rsplit("/", 1)[1].split("-")[1] for f in files}
+    assert len(files) == 40 and len(tasks) > 4
