@@ -6,6 +6,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from samplelake.plans.count_matrix import load_matrices
-from samplelake.queries.matrices import DENSE_SQL, MTX_SQL, supplier_lines, write_lines, written_parts
+from samplelake.queries.matrices import DENSE_SQL, MTX_SQL, file_tasks, supplier_lines, write_lines, written_parts
 from samplelake.queries.registry import ATTR_SQL, document_attr, query, table
-from samplelake.session import new_table_path
+from samplelake.session import materialise, new_table_path
+from samplelake.sources.files import listed_paths
 from samplelake.sources.matrices import label_matrix, read_dense_matrix
 from samplelake.sources.soft import read_path_list, read_soft
 from samplelake.sources.supplementary import base_name
 
 
+#: Files that are renamed at a time.
+RENAMES = 16
+
+
 @F.pandas_udf(BinaryType())
 def _zipped(content: pd.Series) -> pd.Series:
     return content.map(lambda text: gzip.compress(text.encode(), mtime=0))
@@ -51,13 +57,18 @@ def _write_named(files: DataFrame, label: str) -> str:
     the bytes, with a line feed after them, and chooses names of its own, which are changed then."""
     spark = files.sparkSession
     path = new_table_path(spark, label)
-    files.select("name", F.col("content").cast("string")).repartition("name").write.partitionBy("name").text(path)
+    files.select("name", F.col("content").cast("string")).repartition(file_tasks(spark), "name").write.partitionBy("name").text(path)
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in system.globStatus(hadoop.Path(f"{path}/name=*/part-*")):
-        name = part.getPath().getParent().getName().removeprefix("name=")
-        system.rename(part.getPath(), hadoop.Path(folder, name))
+
+    def rename(part: str) -> None:
+        system.rename(hadoop.Path(part), hadoop.Path(folder, part.rsplit("/", 2)[1].removeprefix("name=")))
+
+    # Spark lists the folders in tasks; a rename is a wait for the file system, so many wait at a time.
+    with ThreadPoolExecutor(RENAMES) as pool:
+        for _ in pool.map(rename, listed_paths(spark, path)):
+            pass
     return path
 
 
@@ -149,7 +160,8 @@ def archived_matrices(spark: SparkSession, folder: str) -> DataFrame:
     # The first member is cut, too.
     content = F.when(kind == 3, F.substr(tar, F.lit(1), F.lit(530))).otherwise(tar)
     name = F.concat(F.lit("s"), F.col("part"), F.lit(".tar"))
-    path = _write_named(rows.select(name.alias("name"), content.alias("content")), "archives")
+    rows = materialise(rows.select("part", content.alias("content")), "archive-contents")
+    path = _write_named(rows.select(name.alias("name"), "content"), "archives")
     supp = rows.select(F.col("part").alias("sample"), name.alias("name"), F.concat(F.lit(f"{path}/"), name).alias("path"))
     text = F.lit(None).cast("string")
     specs = rows.select(
