@@ -25,6 +25,8 @@ from samplelake.operators.summary import Summary
 from samplelake.session import new_table_path
 
 TASK_PROMPTS, RUN_PROMPTS = 100, 100_000
+#: Files of prompts that a run reads, or a few more.
+RUN_FILES = 10
 
 Responder = Callable[[str], str]
 Validator = Callable[[dict], bool]
@@ -99,6 +101,24 @@ def cached(replies: DataFrame) -> DataFrame:
     return good.select("prompt_key", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def _runs(stored: DataFrame, path: str) -> list[tuple[int, DataFrame]]:
+    """Runs of about ``RUN_PROMPTS`` of the prompts stored in ``path`` and how many each has, whole files to a run.
+    The driver has the names of the files."""
+    spark = stored.sparkSession
+    sizes = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect()
+    total = sum(r["n"] for r in sizes)
+    runs = total // RUN_PROMPTS
+    if runs < 2:
+        return [(total, stored)]
+    names, numbers, before = [[] for _ in range(runs)], [0] * runs, 0
+    for r in sizes:
+        run = before * runs // total
+        names[run].append(f"{path}/{r['file']}")
+        numbers[run] += r["n"]
+        before += r["n"]
+    return [(n, spark.read.schema(stored.schema).parquet(*own)) for n, own in zip(numbers, names, strict=True)]
+
+
 def infer(
     prompts: DataFrame,
     responder: Responder,
@@ -136,8 +156,10 @@ def infer(
         hits = summary.stored(hits, "stored replies")
         known = before.filter(F.col("error").isNull()).select("prompt_key")
         missing = wanted.join(known, "prompt_key", "left_anti")
-    missing = summary.stored(missing, "prompts")
-    n = missing.count()
+    # Stored in files of a part of a run, so a run is some of them and no prompt is dealt again.
+    path = new_table_path(spark, "prompts")
+    summary.watch(missing, "prompts").write.option("maxRecordsPerFile", max(1, RUN_PROMPTS // RUN_FILES)).parquet(path)
+    dealt = _runs(spark.read.schema(missing.schema).parquet(path), path)
     caller = _Caller(responder, validator, retries, error_marker, check)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,18 +170,10 @@ def infer(
                 rows = [(k, p, *r) for k, p, r in zip(some["prompt_key"], some["prompt"], replies, strict=True)]
                 yield pd.DataFrame(rows, columns=["prompt_key", "prompt", "attempt", "text", "error"])
 
-    runs = max(1, n // RUN_PROMPTS)
-    dealt = missing.withColumn("run", F.pmod(F.xxhash64("prompt_key"), F.lit(runs)).cast("int"))
-    if runs > 1:
-        # Each run then reads its own prompts only.
-        path = new_table_path(spark, "prompt-runs")
-        dealt.repartition("run").write.partitionBy("run").parquet(path)
-        dealt = spark.read.schema("prompt_key string, prompt string, run int").parquet(path)
-    # Tasks by the number of prompts, whatever their size.
-    parts = parallel or max(1, -(-n // (runs * TASK_PROMPTS)))
     paths = []
-    for i in range(runs):
-        own = dealt.filter(F.col("run") == i).select("prompt_key", "prompt").repartition(parts, "prompt_key")
+    for n, run in dealt:
+        # Tasks by the number of prompts, whatever their size.
+        own = run.repartition(parallel or max(1, -(-n // TASK_PROMPTS)), "prompt_key")
         asked = own.mapInPandas(ask, "prompt_key string, prompt string, attempt int, text string, error string")
         paths.append(f"{store}/run={uuid.uuid4().hex}" if store else new_table_path(spark, "replies"))
         told = asked.select(

@@ -227,3 +227,19 @@ def test_runs_read_their_own_prompts(spark, tmp_path, monkeypatch):
     assert infer(prompts, lambda p: json.dumps({"n": 1}), store=store, summary=again).count() == 45
     told = {(r["item"], r["metric"]): r["n"] for r in again.table(spark).collect()}
     assert told["prompts", "rows"] == 4 and told["stored replies", "rows"] == 41
+
+
+def test_runs_are_whole_files_of_bounded_size(spark, monkeypatch):
+    from samplelake.operators import infer as module
+
+    monkeypatch.setattr(module, "RUN_PROMPTS", 100)
+    seen = []
+    told = module._runs
+    monkeypatch.setattr(module, "_runs", lambda stored, path: seen.append((stored, told(stored, path))) or seen[-1][1])
+    prompts = spark.range(1050).selectExpr("cast(id as string) AS prompt_key", "concat('p ', id) AS prompt").coalesce(1)
+    got = infer(prompts, lambda p: json.dumps({"n": p}), parallel=4)
+    stored, runs = seen[0]
+    # No run is dealt by one task: what is stored are files of a tenth of a run.
+    assert stored.groupBy("_metadata.file_name").count().agg(F.max("count")).first()[0] <= 10
+    assert len(runs) == 10 and all(90 <= n <= 120 and df.count() == n for n, df in runs)
+    assert got.select("prompt_key").distinct().count() == got.count() == 1050
