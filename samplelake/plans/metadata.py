@@ -142,7 +142,7 @@ def extract_metadata(
     copied, groups = split_fields(spec)
     summary = summary or Summary()
     texts = summary.stored(sample_text(attr, max_tokens, token_count), "texts")
-    rows = copy_fields(attr, pair, copied).join(texts, ["file", "sample"], "left")
+    rows = copy_fields(attr, pair, copied)
     errors = long_lines(attr, max_tokens, token_count).select(*ERROR)
     lonely = pair.filter(F.col("series").isNull())
     errors = errors.unionByName(
@@ -164,7 +164,8 @@ def extract_metadata(
         rows = _linked(materialise(rows, "answered"), mapped, vocabulary, k, threshold)
     else:
         rows = rows.select("*", *[F.col(f"`{f.name}`").alias(f"{f.name}_umls") for f in mapped])
-    named = rows.withColumnRenamed("sample", "gsm")
+    # The texts, which are most of the bytes, come last, so that none of the tables above holds them.
+    named = rows.join(texts, ["file", "sample"], "left").withColumnRenamed("sample", "gsm")
     return Extraction(named.select(*[F.col(f"`{c}`") for c in metadata_columns(spec)]), errors, summary.table(attr.sparkSession))
 
 
