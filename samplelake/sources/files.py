@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import tarfile
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -33,6 +34,8 @@ from samplelake.session import materialise, new_table_path
 ERRORS = "file string, stage string, message string"
 #: Paths that are listed and read by one job, and how many tasks a core has of a listing.
 PATHS, LISTING_TASKS = 20_000, 4
+#: Paths that are looked for at a time where some are not there.
+LOOKS = 16
 #: Bytes of a compressed file that go to a task at once, and the longest such file.
 PIECE, LONGEST = 1 << 20, (1 << 31) - 1024
 #: Lines and bytes of a block, and the longest line of a compressed file.
@@ -42,6 +45,8 @@ PASSED_ROWS, OPEN_BYTES = 10_000, 1 << 18
 ARCHIVES = (".tar", ".tar.gz", ".tgz", ".tar.bz2")
 #: Between an archive's path and the path of a file in it.
 INSIDE = "!/"
+#: The file system that a path names, paths of which it takes a look to say if they are there, and what is said of one that is not.
+_SYSTEM, _UNSURE, _GONE = re.compile("([^/:]+:(//[^/]*)?)?"), re.compile(r"[{}\[\]*?\\$\n\r]|(^|/)[._][^/]*/*$|^$"), "Input path does not exist: "
 
 _TYPES = {
     "file": pa.string(), "block": pa.int64(), "n": pa.int64(), "full": pa.int64(), "value": pa.string(), "mark": pa.string(),
@@ -113,17 +118,60 @@ def is_packed(file: str) -> bool:
 
 
 def _listed(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
-    """The files behind some paths, and the paths that cannot be listed, found by halves."""
+    """The files behind some paths, and the paths that cannot be listed: those that are not there are told
+    at once, others are found by halves."""
     try:
         found = _loaded(spark, paths, "binaryFile").inputFiles()
         return [unquote(f) for f in found], []
     except (AnalysisException, Py4JJavaError) as error:
-        if len(paths) == 1:
-            told = error.java_exception.toString() if isinstance(error, Py4JJavaError) else str(error)
-            return [], [(paths[0], "list", told.splitlines()[0])]
-    half = len(paths) // 2
-    parts = [_listed(spark, some) for some in (paths[:half], paths[half:])]
-    return parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]
+        told = error.java_exception.toString() if isinstance(error, Py4JJavaError) else str(error)
+        told, named = told.splitlines()[0], None
+        if isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND":
+            named = error.getMessageParameters()["path"]
+    if len(paths) == 1:
+        return [], [(paths[0], "list", told)]
+    systems: dict[str, list[str]] = {}
+    for path in paths:
+        systems.setdefault(_SYSTEM.match(path)[0], []).append(path)
+    if len(systems) > 1:
+        parts = [_listed(spark, some) for some in systems.values()]
+    elif named and (missing := _missing(spark, paths)):
+        # Spark names one path that is not there; of the others it would say the same.
+        parts = [([], [(path, "list", told.replace(named, full)) for path, full in missing.items()])]
+        if rest := [path for path in paths if path not in missing]:
+            parts.append(_listed(spark, rest))
+    else:
+        half = len(paths) // 2
+        parts = [_listed(spark, some) for some in (paths[:half], paths[half:])]
+    # A file may be named in several ways, and is read once.
+    return list(dict.fromkeys(f for found, _ in parts for f in found)), [b for _, bad in parts for b in bad]
+
+
+def _missing(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Of paths in one file system those that are not there, with their full names, by one listing: Hadoop
+    tells all of them together where Spark stops at the first. What it does not surely tell is left out:
+    patterns, hidden files, which it passes over, and what it would read as a variable."""
+    plain = list(dict.fromkeys(p for p in paths if not _UNSURE.search(p)))
+    if not plain:
+        return {}
+    mapreduce, text = spark._jvm.org.apache.hadoop.mapreduce, spark._jvm.org.apache.hadoop.util.StringUtils
+    inputs, told = mapreduce.lib.input.FileInputFormat, ""
+    try:
+        job = mapreduce.Job.getInstance(spark._jsparkSession.sessionState().newHadoopConf())
+        job.getConfiguration().unset(inputs.PATHFILTER_CLASS)
+        job.getConfiguration().setInt(inputs.LIST_STATUS_NUM_THREADS, LOOKS)
+        # A call for each path would be a wait for each; so they go over as one text.
+        inputs.setInputPaths(job, text.stringToPath(text.getStrings("\n".join(plain), "\n")))
+        full = [name.replace("\\,", ",") for name in re.split(r"(?<!\\),", job.getConfiguration().get(inputs.INPUT_DIR))]
+        try:
+            mapreduce.lib.input.TextInputFormat().getSplits(job)
+        except Py4JJavaError as error:
+            told = error.java_exception.getMessage() or ""
+    except Py4JJavaError:
+        # Some path has another fault.
+        return {}
+    gone = {line.removeprefix(_GONE) for line in told.split("\n") if line.startswith(_GONE)}
+    return {path: name for path, name in zip(plain, full, strict=True) if name in gone}
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

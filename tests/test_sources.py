@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from fixtures import ALONE, FAMILY, LOST, RESULTS, gz, tar_bytes
 from samplelake.operators.attrs import check_prefix, context_lines, long_lines, pair_series, ref_context, sample_text
+from samplelake.sources import files as files_module
 from samplelake.sources.papers import TASK, check_tasks, default_tasks, read_papers, read_tasks
 from samplelake.sources.records import extract_records
 from samplelake.sources.files import BLOCK_LINES, PIECE, read_files
@@ -131,6 +132,21 @@ def test_paths_that_are_not_there_do_not_stop_others(spark, tmp_path):
     assert nothing.attr.count() == nothing.entity.count() == 0 and nothing.errors.count() == 1
 
 
+def test_paths_that_are_not_there_are_told_at_once(spark, tmp_path, monkeypatch):
+    folder = write(tmp_path / "a, b 50%", a__soft=ALONE, _hidden__soft=ALONE)
+    (tmp_path / "empty").mkdir()
+    lost = [f"{folder}/none{i}.soft" for i in range(100)] + [f"file:{folder}//x.soft", f"{folder}/$y.soft", f"{folder}/_z.soft", "odd://x/y"]
+    paths = [path for some in zip([f"{folder}/a.soft"] * len(lost), lost) for path in some]
+    paths += [f"{folder}/_hidden.soft", f"{tmp_path}/empty", f"file:{folder}/a.soft", f"{folder}/q*"]
+    alone = [row for path in [*lost, f"{folder}/q*"] for row in files_module._listed(spark, [path])[1]]
+    loads, loaded = [], files_module._loaded
+    monkeypatch.setattr(files_module, "_loaded", lambda *given: loads.append(1) or loaded(*given))
+    found, bad = files_module._listed(spark, list(dict.fromkeys(paths)))
+    assert [name.rsplit("/", 1)[1] for name in found] == ["a.soft"] and sorted(bad) == sorted(alone) and len(bad) == len(lost) + 1
+    # A load for each path that is not there took 200 of them and more.
+    assert len(loads) < 40
+
+
 def test_path_list(spark, tmp_path):
     folder = write(tmp_path, paths__txt=" /a/b.soft \n\n/c.soft.gz\n")
     assert sorted(r["path"] for r in read_path_list(spark, folder).collect()) == ["/a/b.soft", "/c.soft.gz"]
