@@ -5,10 +5,14 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import tarfile
+import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -29,7 +33,7 @@ RENAMES = 16
 
 @F.pandas_udf(BinaryType())
 def _zipped(content: pd.Series) -> pd.Series:
-    return content.map(lambda text: gzip.compress(text.encode(), mtime=0))
+    return content.map(lambda text: None if text is None else gzip.compress(text.encode(), mtime=0))
 
 
 @F.pandas_udf(BinaryType())
@@ -52,15 +56,42 @@ def _first_half(content: Column) -> Column:
     return F.substr(content, F.lit(1), (F.octet_length(content) / 2).cast("int"))
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """A folder as Python names it, if it is in a file system that all machines have mounted."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(folder).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def _written_in(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*(batch.column(c).to_pylist() for c in ("name", "content")), strict=True):
+                # Another attempt at the task may write the same file.
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(content + b"\n")
+                os.replace(part, f"{folder}/{name}")
+            yield batch.select(["name"])
+
+    return write
+
+
 def _write_named(files: DataFrame, label: str) -> str:
-    """Files of given names from ``files(name, content)``, in one folder. Spark's text writer writes
-    the bytes, with a line feed after them, and chooses names of its own, which are changed then."""
+    """Files of given names from ``files(name, content)``, in one folder, a line feed after each content.
+    In a mounted folder the tasks write them in place. Elsewhere Spark's text writer writes the bytes, and
+    chooses names of its own, which are changed then."""
     spark = files.sparkSession
     path = new_table_path(spark, label)
-    files.select("name", F.col("content").cast("string")).repartition(file_tasks(spark), "name").write.partitionBy("name").text(path)
+    spread = files.select("name", "content").repartition(file_tasks(spark), "name")
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if local := _local_folder(spark, path):
+        system.mkdirs(folder)
+        spread.mapInArrow(_written_in(local), "name string").write.format("noop").mode("overwrite").save()
+        return path
+    spread.select("name", F.col("content").cast("string")).write.partitionBy("name").text(path)
 
     def rename(part: str) -> None:
         system.rename(hadoop.Path(part), hadoop.Path(folder, part.rsplit("/", 2)[1].removeprefix("name=")))
@@ -107,9 +138,11 @@ def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     one is not there: the attributes of the sound ones, and what is said of the others."""
     run, text = F.col("run") % 4, F.col("text")
     half = (F.length(text) / 2).cast("int")
-    # The second member goes on in the middle of a line.
-    two = F.concat(_zipped(F.substr(text, F.lit(1), half)), _zipped(F.substr(text, half + 1, F.length(text))))
-    content = F.when(run == 0, _zipped(text)).when(run == 1, two).otherwise(_first_half(_zipped(text)))
+    # The second member goes on in the middle of a line. A function runs for all rows, whatever is taken of it: so
+    # each text is zipped in one go or in two halves.
+    first = _zipped(F.when(run == 1, F.substr(text, F.lit(1), half)).otherwise(text))
+    second = _zipped(F.when(run == 1, F.substr(text, half + 1, F.length(text))))
+    content = F.when(run == 0, first).when(run == 1, F.concat(first, second)).otherwise(_first_half(first))
     texts = _family_texts(spark, folder).withColumn("name", F.concat(F.lit("f"), F.col("run").cast("string"), F.lit(".soft.gz")))
     path = _write_named(texts.filter(run < 3).select("name", content.alias("content")), "families")
     lists = new_table_path(spark, "lists")

@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import ALONE, FAMILY, LOST, RESULTS, gz, tar_bytes
 from samplelake.operators.attrs import check_prefix, context_lines, long_lines, pair_series, ref_context, sample_text
+from samplelake.queries import files as file_queries
 from samplelake.sources import files as files_module
 from samplelake.sources.papers import TASK, check_tasks, default_tasks, read_papers, read_tasks
 from samplelake.sources.records import extract_records
@@ -147,6 +150,24 @@ def test_paths_that_are_not_there_are_told_at_once(spark, tmp_path, monkeypatch)
     assert len(loads) < 40
 
 
+def test_files_are_written_under_their_names(spark, monkeypatch):
+    contents = {f"f{i}.gz": gz(f"{i}\n" * i) for i in range(20)}
+    files = spark.createDataFrame(list(contents.items()), "name string, content binary")
+
+    def written():
+        folder = Path(file_queries._local_folder(spark, file_queries._write_named(files, "named")))
+        return {name: (folder / name).read_bytes() for name in contents}
+
+    renamed, listed = [], file_queries.listed_paths
+    monkeypatch.setattr(file_queries, "listed_paths", lambda *given: renamed.append(1) or listed(*given))
+    in_place = written()
+    assert not renamed and in_place == {name: content + b"\n" for name, content in contents.items()}
+    local = file_queries._local_folder
+    monkeypatch.setattr(file_queries, "_local_folder", lambda spark, path: None)
+    path = file_queries._write_named(files, "named")
+    assert renamed and {name: (Path(local(spark, path)) / name).read_bytes() for name in contents} == in_place
+
+
 def test_path_list(spark, tmp_path):
     folder = write(tmp_path, paths__txt=" /a/b.soft \n\n/c.soft.gz\n")
     assert sorted(r["path"] for r in read_path_list(spark, folder).collect()) == ["/a/b.soft", "/c.soft.gz"]
